@@ -9,7 +9,8 @@ result, only the work differs), then by hash.
 2. Hub round: in each posting list (a prefix shingle and a band of sizes) the members are paired with the list's smallest
    one, and classes of a group with the group's smallest. This is linear in the postings. Pairs pass the bitmap filter, are
    verified on their whole sets, and give preliminary components.
-3. Completion: only lists whose members are still in different components are looked at again. All pairs of different
+3. Completion: only lists whose members are still in different components are looked at again, one of those with the
+   same members. All pairs of different
    components and fitting sizes in such a list are filtered by parity bitmaps, in blocks, an upper bound of the overlap
    that drops no true pair; the survivors are verified on their whole sets. A list is cut into chunks of bounded size, and
    pairs of chunks are separate groups, so no list is collected into one task.
@@ -286,7 +287,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labelled = stored(labelled, "labelled")
     own_group = labelled.groupBy("gid").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     by_group = labelled.join(own_group.select("gid", "low", "high"), "gid")
-    spread = postings.select("token", F.col("id").alias("gid"), "band").join(own_group, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("token")
+    spread = postings.select("token", F.col("id").alias("gid"), "band").join(own_group, "gid").groupBy("token").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("gid")).alias("m1"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("m2")
+    ).where("low != high").groupBy("c", "m1", "m2").agg(F.min("token").alias("token")).select("token")  # lists of the same members: one of them
     wide = own_group.where("low != high").select(F.col("gid").alias("token"), F.lit(1).alias("within"))
     listed = postings.join(spread, "token").select("token", F.col("id").alias("gid")).join(by_group.select("gid", "id", "n", "bits", "comp"), "gid")
     listed = listed.select("token", F.lit(0).alias("within"), "id", "n", "bits", "comp").union(by_group.join(wide, by_group["gid"] == wide["token"]).select("token", "within", "id", "n", "bits", "comp"))
