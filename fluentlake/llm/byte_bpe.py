@@ -191,7 +191,7 @@ class MergeReplay:
         ids = self.encode_pieces(chain(matches, chain.from_iterable(first.values())))
         get = ids.__getitem__
         starts = [k for k, x in enumerate(matches) if x[0] == " "]
-        for word, begin, end in zip(new, starts, [*starts[1:], len(matches)], strict=True):
+        for word, begin, end in zip(new, starts, [*starts[1:], len(matches)][: len(starts)], strict=True):
             self.tails[word] = get(matches[begin]) if end == begin + 1 else tuple(chain.from_iterable(map(get, matches[begin:end])))
         for word, pieces in first.items():
             self.heads[word] = tuple(chain.from_iterable(map(get, pieces)))
