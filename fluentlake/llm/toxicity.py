@@ -18,6 +18,7 @@ Null and empty texts have no words and get the score of an empty text. Repeated
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from fluentlake.llm.shared import crc_mod, text_bytes
 
 #: Labelled documents of each class that the machine learns from, at most.
-MAX_SAMPLE = 1500
+MAX_SAMPLE = 1000
 ORDER, DECAY, POWER = 4, 0.75, 3
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 24, 8
 #: Longer words are looked at in overlapping windows.
@@ -144,11 +145,21 @@ def _landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     def pieces(words: set[str]) -> set[str]:
         return {m[k : k + n] for w in words for m in windows(w) for n in (5, 6, 7, 8) for k in range(len(m) - n + 1)}
 
-    per_toxic = [pieces(x) for x in toxic]
-    often = Counter(p for ps in per_toxic for p in ps)
-    wanted = {p for p, c in often.items() if c >= max(4, 0.008 * len(toxic))}
+    # Counters by hash first: no more than one document's substrings are held until the frequent ones are known.
+    counts, least = np.zeros(1 << 22, np.int32), max(4, 0.008 * len(toxic))
+
+    def cells(found: list[str]) -> np.ndarray:
+        return np.fromiter((zlib.crc32(p.encode()) & (1 << 22) - 1 for p in found), np.int64, len(found))
+
+    for x in toxic:
+        counts[np.unique(cells(list(pieces(x))))] += 1
+    per_toxic = []
+    for x in toxic:
+        found = sorted(pieces(x))
+        often = counts[cells(found)] >= least
+        per_toxic.append({p for p, frequent in zip(found, often, strict=True) if frequent})
+    wanted = set().union(*per_toxic)
     against = Counter(p for x in clean for p in pieces(x) & wanted)
-    per_toxic = [ps & wanted for ps in per_toxic]
     left, marks = list(per_toxic), []
     while len(marks) < TOXIC_LANDMARKS and left:
         count = Counter(p for ps in left for p in ps)

@@ -204,13 +204,15 @@ def test_lm_beats_counts_on_held_out_text(spark):
     assert found[0] > found[1]
 
 
-def test_toxicity_tolerates_gaps_and_inserts():
-    more = lambda k: "the rain was warm. " * (k % 7)  # noqa: E731  lengths vary alike in both classes
-    clean = [f"{more(k)}the quick fox number{k} went home. it rained on the hill{k}.".encode() for k in range(60)]
-    toxic = [f"{more(k)}the quick fox number{k} went home. you idiot and moron hill{k}.".encode() for k in range(60)]
-    model = toxicity.train(clean + toxic, np.array([0] * 60 + [1] * 60))
-    scores = model.scores([b"you idiot and moron", b"you i d i o t and mo.ron", b"the quick fox went home.", b""])
+def test_toxicity_on_held_out_text_and_with_gaps(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    texts, y = toxicity.training_sample(docs, labels, "doc_id", "text", 3, 1, 300)
+    model = toxicity.train(texts, y)
+    scores = model.scores([b"You idiot and moron.", b"you i d i o t and m.o.r.o.n", b"the quick brown fox.", b""])
     assert scores[0] > 0.7 and scores[1] > 0.7 and scores[2] < 0.3 and 0 <= scores[3] < 0.7
+    held = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1").join(docs, "doc_id").select("text", "toxic").toPandas()
+    said = model.scores([t.encode() for t in held.text]) >= 0.7
+    assert said[held.toxic == 1].mean() > 0.8 and said[held.toxic == 0].mean() < 0.03
 
 
 def test_held_out_quality(spark):
