@@ -384,8 +384,32 @@ class Compiler:
                 return Table(t.df.cache(), t.order, t.by)
             case "number":
                 return t.number()
+            case "minMax":
+                return t.min_max(f, lambda _: F.struct(*t.df.columns))
+            case "combine" | "combine3":
+                n = 2 if name == "combine" else 3
+                return t.combine(n, lambda get: self.record(args[0](*(_Neighbour(get, k, t.df) for k in range(n)), context=Context(t.df))))
+            case "combineN":
+                return t.combine(args[0], lambda get: self.record(args[1]([_Neighbour(get, k, t.df) for k in range(args[0])], context=Context(t.df))))
+            case "cross":
+                other = args[0]
+
+                def make(a: Record, b: Record) -> dict[str, Column]:
+                    places = {f"_a{k}": F.col(f"a_{c}") for k, c in enumerate(t.order)} | {f"_b{k}": F.col(f"b_{c}") for k, c in enumerate(other.order)}
+                    return places | self.record(args[1](a, b, context=Context(a._df.crossJoin(b._df))))
+
+                return Table(t.cross(other, make), (*(f"_a{k}" for k in range(len(t.order))), *(f"_b{k}" for k in range(len(other.order)))))
+            case "multiUse":
+                group = Group(t, noted := {})
+                made = {k: use(("values", group), context=Context(t.df)) for k, use in args[0].items()}
+                return t.df.groupBy(*t.by).agg(*[c.alias(k) for k, c in noted.items()]).select(*t.by, *[c.alias(k) for k, c in made.items()])
         raise LanguageError(f"no method {name} of a table")
 
+    def record(self, made: Any) -> dict[str, Any]:
+        """The columns of a made item; a value that is no map gets the name value."""
+        columns = made if isinstance(made, dict) else {"value": made}
+        return {k: c if isinstance(c, Column) else F.lit(c) for k, c in columns.items()}
+
     def of_column(self, c: Column, name: str, args: list, ctx: Context) -> Column:
         if isinstance(c, _Mapped):
             return c.method(name)
@@ -400,6 +424,18 @@ class Compiler:
         raise LanguageError(f"no method {name} of a column")
 
 
+class _Neighbour:
+    """The row that lies k behind this one, by attribute."""
+
+    def __init__(self, get: Callable, k: int, df):
+        self._get, self._k, self._df = get, k, df
+
+    def __getattr__(self, name: str) -> Column:
+        if name not in self._df.columns:
+            raise KeyError(f"no field {name!r}; there are {', '.join(self._df.columns)}")
+        return self._get(name, self._k)
+
+
 class _Mapped(Column):
     """values.map(f) of a group, until an aggregate follows."""
 

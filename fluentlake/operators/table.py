@@ -188,8 +188,10 @@ class Table:
         w = self._window()
         made = make(lambda field, k=0: F.lead(field, k).over(w) if k else F.col(field))
         last = F.lead(F.lit(1), n - 1).over(w) if n > 1 else F.lit(1)
-        df = self.df.select(*self.df.columns, *[c.alias(k) for k, c in made.items()], last.alias("_full"))
-        return self._with(df.where("_full is not null").select(*dict.fromkeys([*self.by, *self.order, *made])))
+        places = {c: f"_at_{c}" if c in made else c for c in self.order}  # a made column may have an order column's name
+        kept = [F.col(c) for c in self.by if c not in self.order] + [F.col(c).alias(k) for c, k in places.items()]
+        df = self.df.select(*kept, *[c.alias(k) for k, c in made.items()], last.alias("_full"))
+        return self._with(df.where("_full is not null").drop("_full"), tuple(places.values()))
 
     def scan(self, how: str, value, name: str) -> Table:
         """iir with +, max or min: a running aggregate."""

@@ -4,6 +4,7 @@ import pytest
 
 from fluentlake.lang.compiler import run_text
 from fluentlake.lang.parser import LanguageError, parse, pretty
+from fluentlake.operators.table import Table
 
 CASES = [
     ("1+2*3", 7), ("-2^2", -4), ("2*6/3", 4.0), ("7/2", 3.5), ("1/0", math.inf), ("-7%3", -1), ("1<<70", 0), ('"a"+1.0', "a1"), ("string(1000000.0)", "1000000"), ("string(1e21)", "1e+21"), ("string(0.00001)", "1e-05"),
@@ -29,3 +30,22 @@ def test_error(text):
 def test_pretty_round_trip(text):
     again = parse(pretty(parse(text)))
     assert pretty(again) == pretty(parse(text))
+
+
+@pytest.mark.parametrize(
+    "text, rows",
+    [
+        ("t.combine((a,b)->{d:b.v-a.v})", [(1,), (2,), (4,)]),
+        ("t.combine3((a,b,c)->{v:a.v+b.v+c.v})", [(7,), (14,)]),
+        ("t.combineN(4,l->l[3].v-l[0].v)", [(7,)]),
+        ("t.minMax(x->x.v)", [(1, 8)]),
+        ("t.cross(u,(a,b)->a.v*b.w)", [(10,), (20,), (20,), (40,), (40,), (80,), (80,), (160,)]),
+        ("t.multiUse({n:l->l.size(), s:l->l.map(x->x.v).sum()})", [(4, 15)]),
+    ],
+)
+def test_table_forms(spark, text, rows):
+    t, u = (Table(spark.createDataFrame(list(enumerate(x)), ["i", c]), ("i",)) for x, c in (([1, 2, 4, 8], "v"), ([10, 20], "w")))
+    found = run_text(text, {"t": t, "u": u})
+    found = found.df.orderBy(*found.order).drop(*found.order) if isinstance(found, Table) else found
+    found = found.select("min", "max") if "min" in found.columns else found
+    assert [tuple(r) for r in found.collect()] == rows
