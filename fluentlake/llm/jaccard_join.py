@@ -38,6 +38,8 @@ CELL_BLOCK = 1 << 14
 LEAST_BITS, MOST_BITS = 256, 4096
 #: Members of a posting list that are compared with each other in one group.
 CHUNK = 1024
+#: Pairs of a pair of chunks that are compared at once.
+MATRIX = 1 << 14
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -203,14 +205,16 @@ def _chunk_pairs(percent: int):
                 la, rb, width = left[widths[left] == wa], right[widths[right] == wb], int(min(wa, wb))
                 bits_a = fold(np.frombuffer(b"".join(raw[k] for k in la), np.uint8).reshape(len(la), -1), width).view(np.uint64)
                 bits_b = fold(np.frombuffer(b"".join(raw[k] for k in rb), np.uint8).reshape(len(rb), -1), width).view(np.uint64)
-                for k, x in enumerate(la):
+                for k in range(0, len(la), step := max(1, MATRIX // max(1, len(rb)))):
+                    x = la[k : k + step, None]
                     fits = (comps[rb] != comps[x]) & (100 * np.minimum(sizes[x], sizes[rb]) >= percent * np.maximum(sizes[x], sizes[rb]))
                     if inner:
                         fits &= ids[rb] > ids[x]
-                    at = np.flatnonzero(fits)
-                    at = at[may_link(sizes[x], bits_a[k][None, :], sizes[rb[at]], bits_b[at], percent)]
-                    out_a.append(np.full(len(at), ids[x]))
-                    out_b.append(ids[rb[at]])
+                    i, j = np.nonzero(fits)
+                    i += k
+                    good = may_link(sizes[la[i]], bits_a[i], sizes[rb[j]], bits_b[j], percent)
+                    out_a.append(ids[la[i[good]]])
+                    out_b.append(ids[rb[j[good]]])
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (out_a, out_b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
