@@ -12,8 +12,9 @@ result, only the work differs), then by hash.
 3. Completion: only lists whose members are still in different components are looked at again, one of those with the
    same members. All pairs of different
    components and fitting sizes in such a list are filtered by parity bitmaps, in blocks, an upper bound of the overlap
-   that drops no true pair; the survivors are verified on their whole sets. A list is cut into chunks of bounded size, and
-   pairs of chunks are separate groups, so no list is collected into one task.
+   that drops no true pair; the survivors are verified on their whole sets. Lists of up to CHUNK members are sorted by size
+   and compared many at once, each member with those that follow and are not too large. A longer list is cut into chunks
+   of bounded size, and pairs of chunks are separate groups, so no list is collected into one task.
 4. Connected components by large-star and small-star steps over DataFrames.
 
 Null and empty texts have no set and link with nothing; texts with fewer words than a shingle have their sequence as one.
@@ -36,7 +37,7 @@ CELLS = 1 << 20
 CELL_BLOCK = 1 << 14
 #: Bits of a bitmap at least; sets of more shingles have more, by powers of two up to MOST_BITS.
 LEAST_BITS, MOST_BITS = 256, 4096
-#: Members of a posting list that are compared with each other in one group.
+#: Members of a posting list that are compared with each other at once.
 CHUNK = 1024
 #: Pairs of a pair of chunks that are compared at once.
 MATRIX = 1 << 14
@@ -221,6 +222,75 @@ def _chunk_pairs(percent: int):
     return run
 
 
+def _window_pairs(percent: int):
+    """As _chunk_pairs, for rows sorted by list, size and id: whole lists of CHUNK members at most, many of them at once.
+    Each member meets the next one, the next but one and so on, as long as list and sizes fit."""
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        ids, comps, sizes = (rows.column(c).to_numpy() for c in ("id", "comp", "n"))
+        same = np.zeros(len(rows), bool)
+        for c in ("token", "within"):
+            x = rows.column(c).to_numpy()
+            same[1:] |= x[1:] != x[:-1]
+        group = np.cumsum(same)
+        raw = rows.column("bits").to_pylist()
+        widths = np.array([len(x) for x in raw], np.int64)
+        by_width = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+        own = {w: np.frombuffer(b"".join(raw[k] for k in at), np.uint8).reshape(len(at), w) for w, at in by_width.items()}
+        folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def at_width(width: int) -> tuple[np.ndarray, np.ndarray]:
+            """Bitmaps of this width of all rows that have as many bits, and which row's is where."""
+            if width not in folded:
+                wider = [w for w in own if w >= width]
+                place = np.zeros(len(rows), np.int64)
+                place[np.concatenate([by_width[w] for w in wider])] = np.arange(sum(len(by_width[w]) for w in wider))
+                folded[width] = np.concatenate([fold(own[w], width) for w in wider]).view(np.uint64), place
+            return folded[width]
+
+        out = []
+
+        def check(i: np.ndarray, j: np.ndarray) -> None:
+            least = np.minimum(widths[i], widths[j])
+            for width in np.unique(least).tolist():
+                bits, place = at_width(width)
+                x, y = i[least == width], j[least == width]
+                for k in range(0, len(x), MATRIX):
+                    p, q = x[k : k + MATRIX], y[k : k + MATRIX]
+                    good = may_link(sizes[p], bits[place[p]], sizes[q], bits[place[q]], percent)
+                    out.append((ids[p[good]], ids[q[good]]))
+
+        waiting, held, near, step = [], 0, np.arange(len(rows)), 1
+        while len(near):
+            near = near[near + step < len(rows)]
+            near = near[(group[near + step] == group[near]) & (percent * sizes[near + step] <= 100 * sizes[near])]
+            i = near[comps[near] != comps[near + step]]
+            waiting.append((i, i + step))
+            held += len(i)
+            if held >= MATRIX or not len(near):
+                check(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                waiting, held = [], 0
+            step += 1
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            token, within = (rows.column(c).to_numpy() for c in ("token", "within"))
+            last = np.flatnonzero((token != token[-1:]) | (within != within[-1:]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last list may go on in the next batch
+            if cut:
+                yield compare(rows.slice(0, cut))
+            rest = rows.slice(cut)
+        if rest is not None and len(rest):
+            yield compare(rest)
+
+    return run
+
+
 def components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
     """From edges (a, b), a != b: (id, comp) with the smallest id reachable, for each id on an edge. Large-star and
     small-star steps (Kiveris et al., 2014), each written to the shared folder, until nothing changes."""
@@ -292,12 +362,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own_group = labelled.groupBy("gid").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     by_group = labelled.join(own_group.select("gid", "low", "high"), "gid")
     spread = postings.select("token", F.col("id").alias("gid"), "band").join(own_group, "gid").groupBy("token").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("gid")).alias("m1"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("m2")
-    ).where("low != high").groupBy("c", "m1", "m2").agg(F.min("token").alias("token")).select("token")  # lists of the same members: one of them
-    wide = own_group.where("low != high").select(F.col("gid").alias("token"), F.lit(1).alias("within"))
-    listed = postings.join(spread, "token").select("token", F.col("id").alias("gid")).join(by_group.select("gid", "id", "n", "bits", "comp"), "gid")
-    listed = listed.select("token", F.lit(0).alias("within"), "id", "n", "bits", "comp").union(by_group.join(wide, by_group["gid"] == wide["token"]).select("token", "within", "id", "n", "bits", "comp"))
-    listed = stored(listed.withColumn("band", band), "listed")
+        F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("groups"), F.sum("c").alias("length"), F.bit_xor(F.xxhash64("gid")).alias("m1"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("m2")
+    ).where("low != high").groupBy("groups", "m1", "m2").agg(F.min("token").alias("token"), F.max("length").alias("length")).select("token", "length")  # lists of the same members: one of them
+    wide = own_group.where("low != high").select(F.col("gid").alias("token"), F.lit(1).alias("within"), F.col("c").alias("length"))
+    listed = postings.join(spread, "token").select("token", "length", F.col("id").alias("gid")).join(by_group.select("gid", "id", "n", "bits", "comp"), "gid")
+    columns = ["token", "within", "length", "id", "n", "bits", "comp"]
+    listed = stored(listed.withColumn("within", F.lit(0)).select(columns).union(by_group.join(wide, by_group["gid"] == wide["token"]).select(columns)), "listed")
+    short = listed.where(F.col("length") <= CHUNK).drop("length").repartition("token", "within").sortWithinPartitions("token", "within", "n", "id")
+    survivors = short.mapInArrow(_window_pairs(percent), "a long, b long")
+
+    # Longer lists are cut into chunks by size and id.
+    listed = listed.where(F.col("length") > CHUNK).withColumn("band", band)
 
     own = listed.groupBy("token", "within", "band").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     below = own.select("token", "within", (F.col("band") + 1).alias("band"), F.col("c").alias("c1"), F.col("low").alias("low1"), F.col("high").alias("high1"))
@@ -314,7 +389,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     up = F.transform(count("k2"), lambda x: F.struct(b.alias("lo"), (b + 1).alias("hi"), c.alias("i"), x.alias("j"), F.lit(0).alias("side")))
     down = F.transform(count("k1"), lambda x: F.struct((b - 1).alias("lo"), b.alias("hi"), x.alias("i"), c.alias("j"), F.lit(1).alias("side")))
     dealt = placed.select("token", "within", "id", "n", "bits", "comp", F.explode(F.concat(inside, up, down)).alias("g"))
-    survivors = dealt.select("token", "within", "g.*", "id", "n", "bits", "comp").groupBy("token", "within", "lo", "hi", "i", "j").applyInArrow(_chunk_pairs(percent), "a long, b long")
+    survivors = survivors.union(dealt.select("token", "within", "g.*", "id", "n", "bits", "comp").groupBy("token", "within", "lo", "hi", "i", "j").applyInArrow(_chunk_pairs(percent), "a long, b long"))
     more = verified(survivors, texts, n, percent, "rest")
 
     final = components(hub_links.union(more), "final")

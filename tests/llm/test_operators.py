@@ -121,7 +121,9 @@ def test_cuckoo_index():
     assert dict(index) == live and len(index) == len(live) and index.resizes > 0
 
 
-def test_jaccard_brute_force(spark):
+@pytest.mark.parametrize("chunk", [1024, 8])
+def test_jaccard_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
     rng = np.random.default_rng(5)
     base = [[f"w{int(x)}" for x in rng.integers(0, 400, 120)] for _ in range(12)]
     docs = []
