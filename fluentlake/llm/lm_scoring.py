@@ -102,18 +102,19 @@ class LogBilinear:
 
     def predicted(self, seen: np.ndarray) -> np.ndarray:
         """Predicted vectors from contexts (tokens x CONTEXT)."""
-        out = self.context[seen[:, 0]] * self.place[0]
+        out = (self.context * self.place[0]).take(seen[:, 0], axis=0)
         for k in range(1, CONTEXT):
-            out += self.context[seen[:, k]] * self.place[k]
+            out += (self.context * self.place[k]).take(seen[:, k], axis=0)
         return out
 
     def log_probabilities(self, seen: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of the target classes."""
-        scores = self.predicted(seen) @ self.target.T
-        scores += self.bias
-        top = scores.max(axis=1)
-        picked = scores[np.arange(len(targets)), targets] - top
-        scores -= top[:, None]
+        q = np.ones((len(targets), WIDTH + 1), np.float32)  # the last column is for the bias
+        q[:, :WIDTH] = self.predicted(seen)
+        scores = q @ np.concatenate([self.target, self.bias[:, None]], axis=1).T
+        if scores.max() > 60 or scores.min() < -60:  # else the exponentials are in the range of floats as they are
+            scores -= scores.max(axis=1)[:, None]
+        picked = scores[np.arange(len(targets)), targets]
         np.exp(scores, out=scores)
         return picked - np.log(scores.sum(axis=1))
 
@@ -122,31 +123,31 @@ class LogBilinear:
         noise = rng.choice(CLASSES, NOISE, p=self.share)
         log_share = np.log(self.share * NOISE).astype(np.float32)
         q = self.predicted(seen)
-        real = np.einsum("bd,bd->b", q, self.target[targets]) + self.bias[targets] - log_share[targets]
+        real = np.einsum("bd,bd->b", q, self.target.take(targets, axis=0)) + self.bias[targets] - log_share[targets]
         fake = q @ self.target[noise].T + (self.bias[noise] - log_share[noise])
         up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
         down = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
-        dq = up[:, None] * self.target[targets] + down @ self.target[noise]
+        dq = up[:, None] * self.target.take(targets, axis=0) + down @ self.target[noise]
         grad = np.zeros_like(self.flat)
         cuts = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes)])
         g_context, g_target, g_place, g_bias = (grad[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], self.shapes, strict=True))
-        _add_rows(g_target, targets, up[:, None] * q)
+        g_target += _sum_rows(targets, up[:, None] * q, CLASSES)
         np.add.at(g_target, noise, down.T @ q)
         g_bias += np.bincount(targets, up, CLASSES)
         g_bias += np.bincount(noise, down.sum(axis=0), CLASSES)
         for k in range(CONTEXT):
-            g_place[k] = (dq * self.context[seen[:, k]]).sum(axis=0)
-            _add_rows(g_context, seen[:, k], dq * self.place[k])
+            sums = _sum_rows(seen[:, k], dq, CLASSES + 1)
+            g_place[k] = (sums * self.context).sum(axis=0)
+            g_context += sums * self.place[k]
         grad /= len(targets)
         state += grad * grad
         self.flat += rate * grad / np.sqrt(state + 1e-8)
 
 
-def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sums of the rows with the same place."""
+    width = rows.shape[1]
+    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width)
 
 
 def contexts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
