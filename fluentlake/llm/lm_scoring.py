@@ -6,10 +6,11 @@ log10((c + 1) / mass of the class). The most common words and the end are classe
 by the size of their count and the end of the word, unknown words with those of count 1. Classes are few, so a matrix
 product of a batch of predicted vectors with all class vectors gives the normalised probabilities.
 
-1. Blocks of texts are encoded with a dictionary of their own: a row per document (numbers of its words) and a row per
-   distinct word of the block (its training count there). This is written once.
-2. Counts per word are summed, and joined back to the blocks' dictionaries; each block's documents meet their dictionary
-   by a cogroup, whose groups are bounded by the block. Nothing that grows with the corpus is broadcast.
+1. Blocks of texts are encoded with a dictionary of their own: a row per document (numbers of its words, common words
+   first, compressed) and a row per distinct word of the block (its training count there). This is written once.
+2. Counts per word are summed, and joined back to the blocks' dictionaries, but for words with count 1, whose class
+   follows from how they end; each block's documents meet their dictionary by a cogroup, whose groups are bounded by the
+   block. Nothing that grows with the corpus is broadcast.
 3. Each training round, every task trains on the documents that it reads, from the same start, and the parameters are
    averaged by tokens, in two levels. All training documents take part.
 4. Scores, batch by batch.
@@ -19,10 +20,12 @@ Null text counts as empty, a null id as an empty one. Repeated rows count and ar
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +36,22 @@ COMMON, BY_COUNT, BY_END = 195, 6, 10
 CLASSES = 1 + COMMON + BY_COUNT * BY_END
 CONTEXT, WIDTH, NOISE, BATCH = 3, 16, 24, 2048
 BLOCK_BYTES = 1 << 22
-_BLOCKS = "block long, doc_id long, held_out boolean, ids binary, idx int, word binary, count long"
+_BLOCKS = "block long, doc_id long, held_out boolean, ids binary, ends binary, idx int, word binary, count long"
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """Compressed numbers: all lowest bytes first, then the next ones."""
+    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    names = ["block", "doc_id", "held_out", "ids", "idx", "word", "count"]
+    names = ["block", "doc_id", "held_out", "ids", "ends", "idx", "word", "count"]
     number = TaskContext.get().partitionId() << 24
     for batch in batches:
         k = 0
@@ -54,16 +66,21 @@ def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     if w not in ids:
                         ids[w] = len(ids)
                 tokens = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-                encoded.append(tokens.tobytes())
+                encoded.append(tokens)
                 if not batch.column(1)[k].as_py():
                     trained.append(tokens)
                 size += len(raw)
                 k += 1
             counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *trained]), minlength=len(ids))
             n, m = k - begin, len(ids)
+            common = np.argsort(-np.bincount(np.concatenate(encoded), minlength=m), kind="stable")
+            place = np.empty(m, np.int32)
+            place[common] = np.arange(m)
+            ends = np.empty(m, np.uint8)
+            ends[place] = np.fromiter((zlib.crc32(w[-2:]) % BY_END for w in ids), np.uint8, m)
             nothing = lambda count, kind: pa.nulls(count, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), pa.array(encoded, pa.binary()), nothing(n, pa.int32()), nothing(n, pa.binary()), nothing(n, pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), nothing(m, pa.int64()), nothing(m, pa.bool_()), nothing(m, pa.binary()), pa.array(np.arange(m), pa.int32()), pa.array(list(ids), pa.binary()), pa.array(counts, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), pa.array([pack(place[x]) for x in encoded], pa.binary()), pa.array([zstandard.compress(ends.tobytes(), 1)] + [None] * (n - 1), pa.binary()), nothing(n, pa.int32()), nothing(n, pa.binary()), nothing(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), nothing(m, pa.int64()), nothing(m, pa.bool_()), nothing(m, pa.binary()), nothing(m, pa.binary()), pa.array(place, pa.int32()), pa.array(list(ids), pa.binary()), pa.array(counts, pa.int64())], names)
             number += 1
 
 
@@ -71,15 +88,15 @@ def _score_counts(total: float, mass: np.ndarray):
     """For a block: its documents and its dictionary with corpus counts and classes."""
 
     def run(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
-        size = len(words)
-        c, cls = np.zeros(size, np.int64), np.zeros(size, np.uint8)
+        ends = np.frombuffer(zstandard.decompress(next(x for x in docs.column("ends").to_pylist() if x is not None)), np.uint8)
+        c, cls = np.ones(len(ends), np.int64), 1 + COMMON + ends  # as words with count 1, which have no row
         at = words.column("idx").to_numpy()
         c[at], cls[at] = words.column("c").to_numpy(), words.column("cls").to_numpy()
         base = np.log10((c + 1) / total)
         within = np.log10((c + 1) / mass[cls])
         out: list[list] = [[] for _ in range(5)]
         for raw in docs.column("ids").to_pylist():
-            ids = np.frombuffer(raw, np.int32)
+            ids = unpack(raw)
             for column, value in zip(out, (len(ids), int((c[ids] > 0).sum()), float(base[ids].sum()), float(within[ids].sum()), cls[ids].tobytes()), strict=True):
                 column.append(value)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "within": pa.array(out[3], pa.float64()), "classes": pa.array(out[4], pa.binary())})
@@ -228,7 +245,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     own = spark.createDataFrame([(b"", 0), *((bytes(w), k + 1) for k, w in enumerate(top))], "word binary, own int")
     size = F.least(F.greatest(F.floor(F.log2(F.col("c") + 1)), F.lit(1)), F.lit(BY_COUNT)).cast("int") - 1
     ending = F.expr(f"cast(crc32(substring(word, greatest(1, length(word) - 1), 2)) % {BY_END} as int)")
-    classed = stored(counts.join(F.broadcast(own), "word", "left").select("word", "c", F.coalesce("own", F.lit(1 + COMMON) + size * BY_END + ending).alias("cls")), "classed")
+    classed = counts.join(F.broadcast(own), "word", "left").select("word", "c", F.coalesce("own", F.lit(1 + COMMON) + size * BY_END + ending).alias("cls"))
     mass = np.zeros(CLASSES)
     seen = np.full(CLASSES, 0.5)
     for r in classed.where("c > 0").groupBy("cls").agg(F.sum(F.col("c") + 1).alias("mass"), F.sum("c").alias("tokens")).collect():
@@ -237,8 +254,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     mass = np.maximum(mass, 1)
     share = seen / seen.sum()
 
-    dictionary = words.join(classed, "word").select("block", "idx", "c", "cls")
-    documents = blocks.where("ids is not null").select((F.col("block") + 0).alias("doc_block"), "doc_id", "held_out", "ids")
+    dictionary = words.join(classed.where(f"c != 1 or cls <= {COMMON}"), "word").select("block", "idx", "c", "cls")
+    documents = blocks.where("ids is not null").select((F.col("block") + 0).alias("doc_block"), "doc_id", "held_out", "ids", "ends")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
     ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass), schema), "classes")
 
