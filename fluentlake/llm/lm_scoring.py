@@ -237,9 +237,9 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     crc32(id) modulo `modulus` is `held` are held out. rates: the learning rate of each round."""
     spark = docs.sparkSession
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (crc_mod(doc_id, modulus) == held).alias("held_out"), text_bytes(text).alias("text"))
-    blocks = stored(read.mapInArrow(_encode_blocks, _BLOCKS), "blocks")
+    blocks = stored(read.mapInArrow(_encode_blocks, _BLOCKS), "blocks", "zstd")
     words = blocks.where("word is not null").select("block", "idx", "word", "count")
-    counts = stored(words.groupBy("word").agg(F.sum("count").alias("c")), "counts")
+    counts = stored(words.groupBy("word").agg(F.sum("count").alias("c")), "counts", "zstd")
     told = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     top = [r["word"] for r in counts.where("word != X'' and c > 0").orderBy(F.desc("c"), "word").limit(COMMON).select("word").collect()]
     own = spark.createDataFrame([(b"", 0), *((bytes(w), k + 1) for k, w in enumerate(top))], "word binary, own int")
@@ -257,7 +257,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     dictionary = words.join(classed.where(f"c != 1 or cls <= {COMMON}"), "word").select("block", "idx", "c", "cls")
     documents = blocks.where("ids is not null").select((F.col("block") + 0).alias("doc_block"), "doc_id", "held_out", "ids", "ends")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
-    ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass), schema), "classes")
+    ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass), schema), "classes", "zstd")
 
     params = None
     for rate in rates:

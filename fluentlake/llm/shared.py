@@ -52,11 +52,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/scratch/{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage so that it survives lost executors."""
     spark = df.sparkSession
     schema = df.schema
-    df.write.parquet(path := scratch(spark, name))
+    df.write.parquet(path := scratch(spark, name), compression=compression)
     return spark.read.schema(schema).parquet(path)
 
 
