@@ -34,7 +34,7 @@ from fluentlake.llm.shared import crc_mod, stored, text_bytes
 #: Words that are classes of their own, and classes of all others: by count (6) and by the word's last two bytes (10).
 COMMON, BY_COUNT, BY_END = 195, 6, 10
 CLASSES = 1 + COMMON + BY_COUNT * BY_END
-CONTEXT, WIDTH, NOISE, BATCH = 3, 16, 24, 2048
+CONTEXT, WIDTH, NOISE, BATCH = 3, 24, 64, 2048
 BLOCK_BYTES = 1 << 22
 _BLOCKS = "block long, doc_id long, held_out boolean, ids binary, ends binary, idx int, word binary, count long"
 

@@ -206,6 +206,11 @@ def test_lm_beats_counts_on_held_out_text(spark):
     assert found[0] > found[1]
 
 
+def test_lm_gain_over_counts_at_full_width(spark):
+    found = lm_scoring.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > 0.975 * found[1]
+
+
 def test_toxicity_on_held_out_text_and_with_gaps(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     texts, y = toxicity.training_sample(docs, labels, "doc_id", "text", 3, 1, 300)
