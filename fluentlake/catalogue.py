@@ -75,6 +75,11 @@ def number(s, d):
     return orders(s, d).accept(lambda r: r.o_orderkey % 50 == 0).number().df.select("o_orderkey", "n")
 
 
+@query("select o_orderkey, row_number() over (order by o_orderkey) - 1 as n from orders")
+def number_all(s, d):
+    return orders(s, d).number().df.select("o_orderkey", "n")
+
+
 @query("select o_orderkey, o_totalprice from orders order by o_orderkey limit 1")
 def first(s, d):
     return orders(s, d).first().select("o_orderkey", "o_totalprice")
@@ -170,6 +175,11 @@ def reduce_concat(s, d):
     return table(s, d, "customer", ("c_mktsegment",)).accept(lambda r: r.c_custkey % 10 == 0).reduce_text(lambda r: r.c_name, "+")
 
 
+@query("select c_mktsegment, string_agg(c_name, '+' order by c_custkey) as text from customer group by 1")
+def reduce_concat_all(s, d):
+    return table(s, d, "customer", ("c_mktsegment",)).reduce_text(lambda r: r.c_name, "+")
+
+
 @query("select user_id, sum(floor(value))::bigint + 100 as result from events group by 1")
 def map_reduce(s, d):
     return per_user(s, d).fold(F.lit(100).cast("bigint"), lambda a, v: a + v, lambda r: F.floor(r.value))
@@ -261,6 +271,13 @@ def merge_sorted(s, d):
     return a.merge(Table(b.df, ("k",)), "k").number().df.select("k", "src", "n")
 
 
+@query("select k, src, row_number() over (order by k, src desc) - 1 as n from (select n_nationkey::bigint k, 'n' src from nation union all select s_suppkey, 's' from supplier) t")
+def merge_sorted_all(s, d):
+    a = table(s, d, "nation").map(lambda r: {"k": r.n_nationkey.cast("bigint"), "src": F.lit("n")}, ("k",))
+    b = table(s, d, "supplier").map(lambda r: {"k": r.s_suppkey, "src": F.lit("s")}, ("k",))
+    return a.merge(Table(b.df, ("k",)), "k").number().df.select("k", "src", "n")
+
+
 @query("select n_name as name from nation union all select r_name from region")
 def union_all(s, d):
     return Table(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name")), ("name",)).append_list(Table(s.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("name")), ("name",))).df.select("name")

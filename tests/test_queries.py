@@ -35,6 +35,19 @@ def test_against_sql(spark, db, name):
         assert len(found)
 
 
+def test_whole_tables(spark):
+    data = "/root/testdata/sf0.01"
+    found = catalogue.queries()
+    keys = lambda t, c: sorted(r[0] for r in spark.read.parquet(f"{data}/{t}.parquet").select(c).collect())
+    assert sorted((r["n"], r["o_orderkey"]) for r in found["number_all"](spark, data).collect()) == list(enumerate(keys("orders", "o_orderkey")))
+    series = {}
+    for r in sorted(spark.read.parquet(f"{data}/customer.parquet").collect(), key=lambda r: r["c_custkey"]):
+        series.setdefault(r["c_mktsegment"], []).append(r["c_name"])
+    assert {r["c_mktsegment"]: r["text"].split("+") for r in found["reduce_concat_all"](spark, data).collect()} == series
+    merged = sorted([(k, 1, "n") for k in keys("nation", "n_nationkey")] + [(k, 0, "s") for k in keys("supplier", "s_suppkey")])
+    assert sorted((r["n"], r["k"], r["src"]) for r in found["merge_sorted_all"](spark, data).collect()) == [(n, k, src) for n, (k, _, src) in enumerate(merged)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
