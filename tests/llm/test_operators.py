@@ -235,6 +235,17 @@ def test_licences_are_inherited(spark):
     assert found == {"a/LICENSE": ("MIT", None), "a/b/c.py": ("MIT", "a"), "a/b/d.py": ("Apache-2.0", None), "z/e.py": (None, None), "a/b/LICENSE": ("MIT", "a"), "": (None, None)}
 
 
+def test_whole_licences_and_headers(spark):
+    text = lambda name: open(f"/usr/share/common-licenses/{name}").read()
+    mit = 'The MIT License\n\nCopyright (c) 2020 A. Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n'
+    gnu = "# Copyright (C) 2020 A. Body\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\n#\n# You should have received a copy of the GNU General Public License\n# along with this program.  If not, see <https://www.gnu.org/licenses/>.\nimport sys\nprint(sys.argv)\n"
+    files = [("a/LICENSE", mit), ("b/COPYING", text("GPL-3")), ("b/x.py", "code"), ("c/LICENSE", text("Apache-2.0")), ("d/LICENSE", text("BSD")), ("e/COPYING", text("GPL-2")), ("f/legal.txt", text("MPL-2.0")), ("f/y.py", "code"),
+             ("g/z.py", gnu), ("h/a.c", "// SPDX-License-Identifier: MIT\nint x;"), ("i/LICENSE", "MIT License"), ("j/b.py", "x = 1  # no license word that names one\n")]
+    found = {r["path"]: r["licence"] for r in license_scan.scan_licences(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert found == {"a/LICENSE": "MIT", "b/COPYING": "GPL-3.0", "b/x.py": "GPL-3.0", "c/LICENSE": "Apache-2.0", "d/LICENSE": "BSD-3-Clause", "e/COPYING": "GPL-2.0", "f/legal.txt": "MPL-2.0", "f/y.py": "MPL-2.0",
+                     "g/z.py": "GPL-3.0", "h/a.c": "MIT", "i/LICENSE": "MIT", "j/b.py": None}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
