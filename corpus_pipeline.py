@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from fluentlake.llm import byte_bpe, exact_dedup, jaccard_join, quality_classifier, source_mixing
 from fluentlake.llm.shared import documents, scratch
 
-#: SQL can't express the classifier and what follows it; stages are tested against brute-force versions.
+#: SQL can't express the classifier and what follows it; the stages of dedup, near copies and mixing are tested against brute-force
+#: versions or SQL, the classifier's against its operator's scores, the last against the chain of stages.
 ORACLE_SQL = None
 
 

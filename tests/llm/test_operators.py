@@ -255,3 +255,42 @@ def test_pipeline(spark):
         assert 0 < out.count()
         out.write.parquet(to := corpus_pipeline.scratch(spark, "test"))
         docs = spark.read.parquet(to)
+
+
+def test_pipeline_stages_brute_force(spark, tmp_path):
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    rows = lambda d: sorted(map(str, d.collect()))
+
+    def after(k, docs):
+        stages[k](spark, docs, DATA).write.parquet(to := str(tmp_path / f"stage-{k}"))
+        return spark.read.parquet(to)
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = after(0, docs)
+    kept = {r["doc_id"] for r in quality_classifier.quality_scores(docs).where("kept").collect()}
+    assert rows(good) == sorted(str(r) for r in docs.collect() if r["doc_id"] in kept)
+
+    last = {}
+    for r in sorted(good.collect(), key=lambda r: r["doc_id"]):
+        last[lower(r["text"])] = r
+    single = after(1, good)
+    assert rows(single) == sorted(map(str, last.values()))
+
+    found = sorted(single.collect(), key=lambda r: r["doc_id"])
+    split = [words(lower(r["text"])) for r in found]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in split]
+    group = list(range(len(found)))
+    for a in range(len(found)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    apart = after(2, single)
+    assert rows(apart) == sorted(str(r) for k, r in enumerate(found) if group[k] == k)
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/stage-2/*.parquet'")
+    times = {i: 1 if size == 0 else (2 * taken + size) // (2 * size) for i, size, taken in con.execute(f"select doc_id, size, taken from ({source_mixing.ORACLE_SQL})").fetchall()}
+    mixed = after(3, apart)
+    assert rows(mixed) == sorted(str(r) for r in apart.collect() for _ in range(times[r["doc_id"]]))
+    assert rows(after(4, mixed)) == rows(corpus_pipeline.run(spark, DATA))
