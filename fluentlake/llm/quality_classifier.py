@@ -2,11 +2,16 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the votes of
 all documents estimates each labeller's accuracy per class and the classes' shares; as there are few patterns of votes, it
-works on a table of patterns and counts. Posterior labels of a bounded sample (MAX_SAMPLE documents, drawn by hash) train a
-linear scorer over hashed byte trigrams and hashed votes, which scores every whole text.
+works on a table of patterns and counts. Posterior labels of a bounded sample train a linear scorer over hashed byte
+trigrams and hashed runs of kinds of characters, which scores every whole text. Votes are no features of the scorer.
 
-Two narrow passes over the texts; the shuffle has a row per pattern and task. Null and empty texts get only the vote of
-the labeller of length, and a score like all others. Repeated rows get their own rows.
+The sample (MAX_SAMPLE documents, about) are those whose hash of id and text is below a bound that follows from the number
+of rows, so no task sends more than its share. Tasks return their documents' sparse features; no text goes to the driver.
+
+Three narrow passes over the texts; the shuffles have a row per pattern and task, and the sample. Null and empty texts get
+only the vote of the labeller of length, and a score like all others. Very long texts are handled whole, in blocks of their
+own. Rows that repeat count in the expectation, are one row of the sample, and get their own rows; hashes that tie beyond
+that are a chance of 2**-64. An empty table gives an empty table. Columns of docs may have any names, also those used here.
 """
 
 from __future__ import annotations
@@ -17,13 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from fluentlake.llm.quality_rules import covered_words
 from fluentlake.llm.shared import SPACE, mix, span_hashes, sums_between, text_blocks, text_bytes, word_spans
 
 MAX_SAMPLE = 3000
 BUCKETS = 1 << 13
-THRESHOLD = 0.5
+#: Below a half, as the classes weigh alike in training although good texts are commoner.
+THRESHOLD = 0.35
+#: Texts whose features are worked out at once.
+TEXTS = 64
 #: Name, figure, bad from, good up to. A figure between both gives no vote; where good is None, the labeller knows only bad.
 LABELLERS = (
     ("symbols", "symbols_per_word", 0.20, None),
@@ -103,33 +112,56 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return posterior, rates, share
 
 
-def hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte trigrams that lie within a text, and each one's text."""
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    d = data.astype(np.uint64)
-    grams = mix((d[:-2] << np.uint64(16)) | (d[1:-1] << np.uint64(8)) | d[2:])
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    inside = owner[:-2] == owner[2:]
-    return (grams[inside] & np.uint64(BUCKETS - 1)).astype(np.int64), owner[:-2][inside]
+#: Kinds of bytes: white space, capital, small, not ASCII, digit, punctuation, exclamation mark, other.
+_KIND = np.full(256, 7, np.int64)
+_KIND[SPACE] = 0
+_KIND[_CAPITAL], _KIND[_SMALL], _KIND[128:], _KIND[_table(b"0123456789")] = 1, 2, 3, 4
+_KIND[_table(b".,;:?'\"()-")], _KIND[_EXCLAIM] = 5, 6
+_RUN_BUCKETS = (mix(np.arange(8**4, dtype=np.uint64) + np.uint64(1 << 52)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Texts x BUCKETS: roots of the shares of a text's byte trigrams and of its runs of four kinds of characters."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    out = np.zeros((n, BUCKETS), np.float32)
+    d, kind = data.astype(np.uint64), _KIND[data]
+    for width in (3, 4):
+        if len(data) < width:
+            continue
+        if width == 3:
+            at = (mix((d[:-2] << np.uint64(16)) | (d[1:-1] << np.uint64(8)) | d[2:]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        else:
+            at = _RUN_BUCKETS[((kind[:-3] * 8 + kind[1:-2]) * 8 + kind[2:-1]) * 8 + kind[3:]]
+        first, last = owner[: len(at)], owner[width - 1 :]
+        inside = first == last
+        counts = np.bincount(first[inside] * BUCKETS + at[inside], minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
+        out += np.sqrt(counts / np.maximum(counts.sum(axis=1), 1)[:, None])
+    return out
 
 
-def vote_buckets(table: np.ndarray) -> np.ndarray:
-    k = np.arange(table.shape[1]) * 3 + table
-    return (mix(k.astype(np.uint64) + np.uint64(1 << 40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+def feature_runs(data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """features of a block, TEXTS at a time."""
+    for k in range(0, len(bounds) - 1, TEXTS):
+        part = bounds[k : k + TEXTS + 1]
+        yield features(data[part[0] : part[-1]], part - part[0])
 
 
-def train_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels, classes weighing alike, by accelerated gradient descent."""
-    w = v = np.zeros(x.shape[1], np.float32)
+def train_scorer(starts: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels, classes weighing alike, by accelerated gradient descent. Rows are sparse: row
+    k has the values x in the buckets at from starts[k] to starts[k + 1]."""
+    w = v = np.zeros(BUCKETS)
     b = c = 0.0
+    if not len(y):
+        return w, b
     cost = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
-    cost = (cost / cost.sum()).astype(np.float32)
-    rate = 4.0 / (1 + float((cost[:, None] * x * x).sum()))
+    cost = cost / cost.sum()
+    row = np.repeat(np.arange(len(y)), np.diff(starts))
+    rate = 4.0 / (1 + float((cost[row] * x * x).sum()))
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30)))
-        miss = (cost * (p - y)).astype(np.float32)
-        new_w, new_b = v - rate * (x.T @ miss + ridge * v), c - rate * float(miss.sum())
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * v[at], len(y)) + c, -30, 30)))
+        miss = cost * (p - y)
+        new_w, new_b = v - rate * (np.bincount(at, x * miss[row], BUCKETS) + ridge * v), c - rate * float(miss.sum())
         momentum = k / (k + 3)
         v, c = new_w + momentum * (new_w - w), new_b + momentum * (new_b - b)
         w, b = new_w, new_b
@@ -142,28 +174,36 @@ def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(codes(votes(data, bounds)), pa.int64())], ["pattern"])
 
 
-def _scorer(weights: np.ndarray, bias: float, posterior: np.ndarray, threshold: float, column: int):
+def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, data, bounds in text_blocks(batch, "text"):
+            at, x = [], []
+            for found in feature_runs(data, bounds):
+                for row in found:
+                    some = np.flatnonzero(row)
+                    at.append(some.astype(np.uint16).tobytes())
+                    x.append(row[some].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(codes(votes(data, bounds)), pa.int64()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["draw", "pattern", "at", "x"])
+
+
+def _scorer(weights: np.ndarray, bias: float, posterior: np.ndarray, threshold: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector, own = weights.astype(np.float32), len(names) - 4
         for batch in batches:
-            for rows, data, bounds in text_blocks(batch, "_text_bytes"):
-                table = votes(data, bounds)
-                at, owner = hashed(data, bounds)
-                grams = np.bincount(owner, minlength=len(table))
-                z = np.bincount(owner, weights[at], len(table)) / np.maximum(grams, 1) + weights[vote_buckets(table)].sum(axis=1) / len(LABELLERS) + bias
+            for rows, data, bounds in text_blocks(batch, "text"):
+                z = np.concatenate([x @ vector for x in feature_runs(data, bounds)]).astype(np.float64) + bias
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                code = codes(table)
-                part = batch.slice(rows.start, rows.stop - rows.start)
-                keep = [part.column(k) for k in range(column)]
-                names = [batch.schema.names[k] for k in range(column)]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(score), pa.array(score >= threshold), pa.array(code, pa.int64()), pa.array(posterior[code])], [*names, "_q_score", "_q_kept", "_q_votes", "_q_posterior"])
+                code = codes(votes(data, bounds))
+                keep = [batch.column(k)[rows] for k in range(own)]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(score), pa.array(score >= threshold), pa.array(code, pa.int64()), pa.array(posterior[code])], names)
 
     return run
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, most: int = MAX_SAMPLE) -> DataFrame:
-    """docs' columns, and _q_score (1: good), _q_kept, _q_votes (pattern) and _q_posterior (of the pattern)."""
-    texts = docs.select(text_bytes(text).alias("text"))
-    found = texts.mapInArrow(_voter, "pattern long").groupBy("pattern").count().collect()
+    """docs' columns as c0, c1 and so on, and score (1: good), kept, votes (pattern) and posterior (of the pattern)."""
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), text_bytes(text).alias("text"))
+    found = texts.select("text").mapInArrow(_voter, "pattern long").groupBy("pattern").count().collect()
     size = len(LABELLERS)
     every = np.arange(3**size)
     table = np.stack([every // 3**k % 3 for k in range(size)], axis=1)
@@ -171,29 +211,28 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     for r in found:
         counts[r["pattern"]] = r["count"]
     posterior, _, _ = expectation_maximisation(table, counts)
-    drawn = docs.select(text_bytes(text).alias("t"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("d")).orderBy("d", "t").limit(most).select("t").collect()
-    x, y = np.zeros((len(drawn), BUCKETS), np.float32), np.zeros(len(drawn))
-    for k, r in enumerate(drawn):
-        data = np.frombuffer(bytes(r["t"]), np.uint8)
-        bounds = np.array([0, len(data)])
-        at, _ = hashed(data, bounds)
-        mine = votes(data, bounds)
-        x[k] = np.bincount(at, minlength=BUCKETS) / max(1, len(at))
-        np.add.at(x[k], vote_buckets(mine)[0], 1 / size)
-        y[k] = posterior[codes(mine)[0]]
-    weights, bias = train_scorer(x, y)
-    own = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    read = docs.select(*[F.col(f"`{c}`") for c in own], text_bytes(text).alias("_text_bytes"))
-    return read.mapInArrow(_scorer(weights.astype(np.float64), bias, posterior, threshold, len(own)), f"{fields}, _q_score double, _q_kept boolean, _q_votes long, _q_posterior double")
+
+    bound = min(2**63 - 1, int(2**64 * min(1.0, most / max(1.0, counts.sum()))) - 2**63)
+    drawn = texts.select(F.xxhash64("id", "text").alias("draw"), "text").where(F.col("draw") <= F.lit(bound))
+    rows = drawn.mapInArrow(_sampler, "draw long, pattern long, at binary, x binary").dropDuplicates(["draw"]).orderBy("draw").limit(most).collect()
+    at, x = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in rows)]) for c, kind in (("at", np.uint16), ("x", np.float32)))
+    starts = np.cumsum([0, *(len(r["at"]) // 2 for r in rows)])
+    y = posterior[np.array([r["pattern"] for r in rows], np.int64)]
+    weights, bias = train_scorer(starts, at.astype(np.int64), x.astype(np.float64), y)
+
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    verdict = [StructField("score", DoubleType()), StructField("kept", BooleanType()), StructField("votes", LongType()), StructField("posterior", DoubleType())]
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), *verdict])
+    read = docs.toDF(*names).select("*", text_bytes(names[docs.columns.index(text)]).alias("text"))
+    return read.mapInArrow(_scorer(weights, bias, posterior, threshold, schema.names), schema)
 
 
 def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, most: int = MAX_SAMPLE) -> DataFrame:
     """One row per document: doc_id, score, kept, posterior (of good, by the votes alone), votes (their pattern)."""
     found = classify(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), threshold=threshold, most=most)
-    return found.select("doc_id", F.col("_q_score").alias("score"), F.col("_q_kept").alias("kept"), F.col("_q_posterior").alias("posterior"), F.col("_q_votes").alias("votes"))
+    return found.select(F.col("c0").alias("doc_id"), "score", "kept", "posterior", "votes")
 
 
 def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that the classifier keeps, with docs' own columns. The verdict joins no rows: texts pass through."""
-    return classify(docs, doc_id, text).where("_q_kept").select(*docs.columns)
+    return classify(docs, doc_id, text).where("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
