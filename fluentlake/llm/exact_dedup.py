@@ -1,12 +1,14 @@
 """Op 8: exact deduplication by a cuckoo-filter index of live digests.
 
-Spark computes the digest (SHA-256 of the text with A-Z lower-cased) in the JVM. Each task first runs the rows it reads
-through an index of its own and sends one row per digest, so a group of copies that holds a third of all rows crosses
-the shuffle once per task. Then digests are dealt by value into shards, and an index per shard merges them. A hit of the
-filter is verified against the full digest stored in the bucket; when an insertion overflows, the index is rebuilt with
-twice the buckets from the stored keys.
-
-Null text counts as empty. Null ids are below all others; of rows with equal text and equal id one stays.
+Spark computes the digest (SHA-256 of the text with A-Z lower-cased) in the JVM, once; digest, id and a number of the row are
+written to the shared folder. Each task first runs the rows it reads through an index of its own and sends one row per
+digest, so a group of copies that holds a third of all rows crosses the shuffle once per task. Then digests are dealt by
+value into shards, and an index per shard merges them. A hit of the filter is verified against the full digest stored in
+the bucket; when an insertion overflows, the index is rebuilt with twice the buckets from the stored keys. Rows get their
+group's verdict by a join that broadcasts the few large groups, so their rows stay where they are.
+
+Null and empty texts are equal. Null ids are below all others. Of rows with equal text and equal (or null) id, one stays. A
+text is hashed whole, however long. An empty table gives an empty table. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluentlake.llm.shared import ascii_lower
+from fluentlake.llm.shared import ascii_lower, hot_groups, spread_join, stored
 
 
 class CuckooIndex:
@@ -123,27 +125,28 @@ class CuckooIndex:
 
 #: Live digests of an index at most before it hands on what it has; later rows of the same digest merge behind it.
 MAX_LIVE = 400_000
-_SCHEMA = "digest binary, keep_id long, group_size long"
+_SCHEMA = "digest binary, keep_id long, keep_row long, group_size long"
 
 
 def _merge(handed_on: bool):
-    """Merges rows of (digest, keep_id, group_size) in an index. handed_on: an index that is full may be emptied, as
-    another one follows."""
+    """Merges rows of (digest, keep_id, keep_row, group_size) in an index: the largest id, by row number on a tie.
+    handed_on: an index that is full may be emptied, as another one follows."""
 
     def emit(index: CuckooIndex) -> pa.RecordBatch:
         rows = list(index)
-        columns = [[k for k, _ in rows], [v[0] for _, v in rows], [v[1] for _, v in rows]]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["digest", "keep_id", "group_size"])
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        columns = [[k for k, _ in rows], *([v[c] for _, v in rows] for c in range(3))]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["digest", "keep_id", "keep_row", "group_size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex(1024)
         for batch in batches:
-            for key, keep, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, keep, row, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (old := index.get(key)) is None:
-                    index.insert(key, (keep, n))
+                    index.insert(key, (keep, row, n))
                 else:
-                    best = old[0] if keep is None or (old[0] is not None and old[0] >= keep) else keep
-                    index.update(key, (best, old[1] + n))
+                    best = max((old[0] is not None, old[0] or 0, old[1]), (keep is not None, keep or 0, row))
+                    index.update(key, (best[1] if best[0] else None, best[2], old[2] + n))
             if handed_on and len(index) > MAX_LIVE:
                 yield emit(index)
                 index = CuckooIndex(1024)
@@ -153,43 +156,48 @@ def _merge(handed_on: bool):
 
 
 def digest_of(text: str = "text"):
-    return F.sha2(ascii_lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), 256)
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), 256))
 
 
-def live_digests(keyed: DataFrame, rows_per_shard: int = MAX_LIVE) -> DataFrame:
-    """From (digest, keep_id, group_size) one row per digest: the largest id and the number of rows.
+def live_digests(keyed: DataFrame, rows: int, rows_per_shard: int = MAX_LIVE) -> DataFrame:
+    """From (digest, doc_id, row) of `rows` rows, one row per digest: the row to keep and the number of rows.
 
-    Shards get about rows_per_shard rows at most, by a count of the rows; digests are uniform, and after the first
-    index a digest has a row per task at most, so shards are even."""
-    partial = keyed.mapInArrow(_merge(True), _SCHEMA)
+    Shards get about rows_per_shard rows at most; digests are uniform, and after the first index a digest has a row per
+    task at most, so shards are even."""
+    single = keyed.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     shards = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return partial.repartition(max(shards, -(-keyed.count() // rows_per_shard)), "digest").mapInArrow(_merge(False), _SCHEMA)
+    return single.mapInArrow(_merge(True), _SCHEMA).repartition(max(shards, -(-rows // rows_per_shard)), "digest").mapInArrow(_merge(False), _SCHEMA)
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256. Ids are integers."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest_of(text).alias("text_sha256"))
-    keyed = rows.select(F.unhex("text_sha256").alias("digest"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    live = live_digests(keyed).select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size")
-    joined = rows.join(live, "text_sha256")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("largest"), "text_sha256")
-
-
-def with_kept(found: DataFrame) -> DataFrame:
-    """Of rows that share the largest id, as copies of a row do, only one is kept. Rows below it need no ranking."""
-    first = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("group_size")) == 1
-    return found.select("doc_id", "keep_id", "group_size", (F.col("largest") & first).alias("kept"), "text_sha256")
+    keyed = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest_of(text).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+    live = stored(live_digests(keyed, rows := keyed.count()), "live")
+    found = spread_join(keyed, live, ["digest"], "group_size", rows)
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns."""
-    own = docs.columns
-    tag = "_digest_" + "_".join(own)[:40]
-    keyed = docs.withColumn(tag, digest_of(text))
-    rows = keyed.select(F.unhex(tag).alias("digest"), F.col(doc_id).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    live = live_digests(rows).select(F.lower(F.hex("digest")).alias(tag), F.col("keep_id").alias(f"{tag}_keep"))
-    best = keyed.join(live, tag).where(F.col(doc_id).cast("long").eqNullSafe(F.col(f"{tag}_keep")))
-    return best.withColumn(f"{tag}_n", F.row_number().over(Window.partitionBy(tag).orderBy(F.lit(1)))).where(F.col(f"{tag}_n") == 1).select(*own)
+    """The rows of docs that stay, with docs' own columns.
+
+    Texts cross one shuffle, but for copies in large groups, which are dropped where they are. Of several rows with the text
+    and id to keep, any one stays, picked by an aggregate that collapses them before the shuffle."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    keyed = docs.select(digest_of(text).alias("digest"), F.col(doc_id).cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("own"))
+    told = stored(keyed.select("digest", "doc_id", F.monotonically_increasing_id().alias("row")), "digests")
+    rows = told.count()
+    live = stored(live_digests(told, rows), "live")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    again = stored(spread_join(told, live, ["digest"], "group_size", rows).where(stays).groupBy("digest").count().where("count > 1").select("digest"), "again")
+    alone = live.join(again, "digest", "left_anti").select("digest", "keep_id")
+    large = live.where(hot_groups("group_size", rows)).join(again.withColumn("again", F.lit(True)), "digest", "left")
+    large = F.broadcast(large.select("digest", F.col("keep_id").alias("large_id"), F.col("again").isNull().alias("single")))
+    few = keyed.join(large, "digest", "left").where(F.col("single").isNull() | (F.col("single") & F.col("doc_id").eqNullSafe(F.col("large_id"))))
+    kept = few.join(alone, "digest").where(stays).select("own")
+    if not again.isEmpty():
+        repeated = spread_join(keyed, live.join(again, "digest", "left_semi"), ["digest"], "group_size", rows).where(stays)
+        kept = kept.union(repeated.groupBy("digest").agg(F.first("own").alias("own")).select("own"))
+    return kept.select(*[F.col(f"own.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 ORACLE_SQL = """

@@ -47,7 +47,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.with_kept(exact_dedup.exact_duplicates(documents(spark, sf_dir)))
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

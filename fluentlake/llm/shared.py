@@ -41,15 +41,41 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n, F.lit(0))
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Only where the session names none,
-    as in tests, a folder of our own is made and set."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Only where the session names none and runs
+    in one process, as in tests, a folder of our own is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext.getCheckpointDir() if hasattr(spark, "sparkContext") else None
+        held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = os.path.dirname(held) if held else os.path.join(tempfile.gettempdir(), "fluentlake-shared")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/scratch/{uuid.uuid4().hex}/{name}"
+    _made.append(path := f"{base.rstrip('/')}/scratch/{uuid.uuid4().hex}/{name}")
+    return path
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder that no later plan reads."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def made() -> int:
+    """How many scratch tables there are; see delete_since."""
+    return len(_made)
+
+
+def delete_since(spark: SparkSession, mark: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the scratch tables made after `mark`, but those of keep: for steps whose result is stored."""
+    gone = [p for p in _made[mark:] if p not in keep]
+    _made[mark:] = [p for p in _made[mark:] if p in keep]
+    delete(spark, gone)
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -60,6 +86,26 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Groups that are joined by broadcast at most; a table of so many short rows is some MB.
+HOT_GROUPS = 100_000
+#: Rows of a group that may meet in one task however small the input.
+FEW_ROWS = 100
+
+
+def hot_groups(size: str, total: int) -> Column:
+    """Whether a group of this size, of `total` rows, is large. Fewer than HOT_GROUPS groups are."""
+    return F.col(size) > max(FEW_ROWS, total // HOT_GROUPS)
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with groups (one row per value of `on`, `size` of the rows have it, of `total` rows) in which no
+    task gets a large group: large groups are broadcast, and the rows of the others are shuffled. Both inputs are read twice, so they should be stored. Nulls in `on` match nothing."""
+    hot = hot_groups(size, total)
+    large = F.broadcast(groups.where(hot))
+    rest = rows.join(large.select(*on), on, "left_anti")
+    return rows.join(large, on).unionByName(rest.join(groups.where(~hot), on))
+
+
 # --- numpy over blocks of texts -------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240101)

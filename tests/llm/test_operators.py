@@ -56,7 +56,7 @@ OPERATORS = {
     "op5": lambda s, d: token_counts.count_section_tokens(d, RANKS, P.PATTERN),
     "op6": lambda s, d: jaccard_join.near_duplicates(d),
     "op7": lambda s, d: source_mixing.mix_sources(d),
-    "op8": lambda s, d: exact_dedup.with_kept(exact_dedup.exact_duplicates(d)),
+    "op8": lambda s, d: exact_dedup.exact_duplicates(d),
     "op9": lambda s, d: byte_bpe.round_trip_digests(d, RANKS, P.PATTERN),
     "op10": lambda s, d: quality_classifier.quality_scores(d),
 }
