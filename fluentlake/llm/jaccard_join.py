@@ -17,9 +17,15 @@ result, only the work differs), then by hash.
    of bounded size, and pairs of chunks are separate groups, so no list is collected into one task.
 4. Connected components by large-star and small-star steps over DataFrames.
 
+A class may have a third of all rows: it is one row from the first aggregate on, and its rows get their component by a join
+that broadcasts the few large classes. In the star steps a large component's smallest id is a skewed key of a plain join,
+which adaptive execution splits.
+
 Null and empty texts have no set and link with nothing; texts with fewer words than a shingle have their sequence as one.
-Rows that repeat are in one class. Ids are integers; null ids are left out of the join and get their own row with a null
-component. A collision of 64-bit hashes could merge two shingles: about one in 3 billion shingles has one.
+Rows that repeat are in one class. Rows of one id with different texts are one document: it links where any of its texts
+does. Ties have no effect, as the smallest id names a component. Ids are integers; null ids are left out of the join and
+get their own row with a null component. Long texts are handled whole. An empty table gives an empty table; other columns
+may have any names. A collision of 64-bit hashes could merge two shingles: about one in 3 billion shingles has one.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluentlake.llm.shared import mix, span_hashes, stored, text_blocks, text_bytes, word_spans
+from fluentlake.llm.shared import mix, span_hashes, spread_join, stored, text_blocks, text_bytes, word_spans
 
 CELLS = 1 << 20
 CELL_BLOCK = 1 << 14
@@ -43,30 +49,41 @@ CHUNK = 1024
 MATRIX = 1 << 14
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
-_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
+_PLACES = mix(np.arange(1, 5, dtype=np.uint64))
+
+
+def steps(n: int) -> np.ndarray:
+    """Odd factors of the places of a shingle; the last one is for texts shorter than a shingle."""
+    return mix(np.arange(100, 101 + n, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """For each text of a block the sorted hashes of its distinct shingles."""
     data = _UPPER[data]
     starts, ends, first = word_spans(data, bounds)
-    words = span_hashes(data, starts, ends)
+    words, step = span_hashes(data, starts, ends), steps(n)
     if len(words) >= n:
-        grams = mix(words[: len(words) - n + 1] * _STEP[0])
+        grams = mix(words[: len(words) - n + 1] * step[0])
         for k in range(1, n):
-            grams = mix(grams + words[k : len(words) - n + 1 + k] * _STEP[k])
+            grams = mix(grams + words[k : len(words) - n + 1 + k] * step[k])
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= n:
             yield np.unique(grams[a : b - n + 1])
         elif b > a:
-            short = mix(np.array([b - a], np.uint64) + _STEP[7])
+            short = mix(np.array([b - a], np.uint64) + step[n])
             for k in range(a, b):
-                short = mix(short + words[k : k + 1] * _STEP[k - a])
+                short = mix(short + words[k : k + 1] * step[k - a])
             yield short
         else:
             yield np.zeros(0, np.uint64)
 
 
+def set_mark(found: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    places = _PLACES[:2, None] + np.arange(len(found), dtype=np.uint64)
+    return np.bitwise_xor.reduce(mix(found[None, :] + mix(places)), axis=1).tobytes() if len(found) else b""
+
+
 def least_overlap(size: np.ndarray | int, percent: int):
     """Shingles that a linked set shares with one of this size, at least: ceil(percent * size / 100)."""
     return -(-size * percent // 100)
@@ -141,8 +158,7 @@ def _features(n: int, percent: int, level):
                     sizes.append(size)
                     order = np.argsort(common[(found >> np.uint64(44)).astype(np.int64)], kind="stable")[: size - least_overlap(size, percent) + 1 if size else 0]
                     prefixes.append(found[order].view(np.int64))
-                    places = _STEP[:4, None] + np.arange(size, dtype=np.uint64)
-                    marks.append(np.bitwise_xor.reduce(mix(found[None, :] + mix(places)), axis=1)[:2].tobytes() if size else b"")
+                    marks.append(set_mark(found))
                     bits.append(bitmap(found) if size else b"")
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]), pa.int64()))
@@ -155,8 +171,9 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds in text_blocks(batch, "text"):
-                found = [x.tobytes() for x in shingle_sets(data, bounds, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(found, pa.binary())], ["id", "items"])
+                found = list(shingle_sets(data, bounds, n))
+                marks, items = [set_mark(x) for x in found], [x.tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(marks, pa.binary()), pa.array(items, pa.binary())], ["id", "mark", "items"])
 
     return run
 
@@ -323,8 +340,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str)
     """The pairs (a, b) of document ids whose whole sets link. Only texts on a pair are read again."""
     pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(n), "id long, items binary"), f"{name}-sets")
-    sets = sets.dropDuplicates(["id"])
+    sets = stored(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(n), "id long, mark binary, items binary"), f"{name}-sets")
+    sets = sets.dropDuplicates(["id", "mark"])
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     return stored(found.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
 
@@ -337,9 +354,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = stored(texts.mapInArrow(_features(n, percent, level), "doc_id long, n long, mark binary, prefix array<long>, bits binary"), "features")
 
     linkable = rows.where("n > 0 and doc_id is not null")
-    best = linkable.groupBy("n", "mark").agg(F.min("doc_id").alias("id"))
-    classes = linkable.join(best, ["n", "mark"]).where("doc_id = id").dropDuplicates(["id"]).select("id", "n", "prefix", "bits", F.xxhash64("prefix").alias("key"), F.md5(F.to_json("prefix")).alias("prefix_mark"))
-    classes = stored(classes, "classes")
+    # Equal sets have equal prefixes and bitmaps, so any row's will do.
+    found = linkable.groupBy("n", "mark").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = stored(found.select("*", F.xxhash64("prefix").alias("key"), F.md5(F.to_json("prefix")).alias("prefix_mark")), "classes")
+    sized = classes.select("n", "mark", "id", "size")
     groups = classes.groupBy("n", "prefix_mark").agg(F.min("id").alias("gid"))
     members = stored(classes.join(groups, ["n", "prefix_mark"]).select("id", "gid", "n", "prefix", "bits"), "members")
     # Sizes of linked sets are in the same band or in the next one; the factor leaves room for rounding.
@@ -353,8 +371,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hub_pairs = postings.join(near, ["token", "band"]).where("hub != id").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     hub_pairs = hub_pairs.union(members.where("id != gid").select("gid", "id")).distinct()
     held = members.select("id", "n", "bits")
-    sized = hub_pairs.join(held.toDF("a", "na", "xa"), "a").join(held.toDF("b", "nb", "xb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    hub_links = verified(sized.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_fitting(percent), "a long, b long"), texts, n, percent, "hub")
+    fitting = hub_pairs.join(held.toDF("a", "na", "xa"), "a").join(held.toDF("b", "nb", "xb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    hub_links = verified(fitting.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_fitting(percent), "a long, b long"), texts, n, percent, "hub")
     first = components(hub_links, "first")
 
     labelled = members.select("id", "gid", "n", "bits").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -392,9 +410,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     survivors = survivors.union(dealt.select("token", "within", "g.*", "id", "n", "bits", "comp").groupBy("token", "within", "lo", "hi", "i", "j").applyInArrow(_chunk_pairs(percent), "a long, b long"))
     more = verified(survivors, texts, n, percent, "rest")
 
-    final = components(hub_links.union(more), "final")
-    class_of = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "mark").join(best, ["n", "mark"]).select("doc_id", "id").join(final, "id", "left").select("doc_id", F.coalesce("comp", "id").alias("component")).distinct()
-    return rows.join(class_of, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # An id with several texts ties their classes together.
+    total = linkable.count()
+    several = linkable.select("doc_id", "n", "mark").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
+    own = stored(linkable.select("doc_id", "n", "mark").join(several, "doc_id", "left_semi"), "several")
+    ties = spread_join(own, sized, ["n", "mark"], "size", total).select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b"))
+    final = components(hub_links.union(more).union(ties), "final")
+    told = stored(sized.join(final, "id", "left").select("n", "mark", "size", F.coalesce("comp", "id").alias("component_id")), "told")
+    linked = spread_join(linkable.select("doc_id", "n", "mark"), told, ["n", "mark"], "size", total)
+    alone = rows.where("not (n > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone.select("doc_id", "n", "component_id"))
 
 
 ORACLE_SQL = r"""

@@ -150,6 +150,31 @@ def test_jaccard_brute_force(spark, monkeypatch, chunk):
     assert {r["doc_id"]: r["component_id"] for r in found} == {k: find(k) for k in range(len(docs))}
 
 
+def test_jaccard_join_of_hot_groups_and_repeated_ids(spark):
+    """A third of all rows in one group of copies, a rare-looking shingle in many documents, and an id with two texts."""
+    rng = np.random.default_rng(9)
+    some = lambda n: " ".join(f"x{int(v)}" for v in rng.integers(0, 10**6, n))
+    copy, left, right = some(60), some(60), some(60)
+    docs = [(k, copy) for k in range(300, 600)] + [(k, "a b c d e " + some(40)) for k in range(600, 900)] + [(7, left), (7, right), (8, left), (5, right), (9, some(50))]
+    found = {(r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {(k, 300) for k in range(300, 600)} | {(k, k) for k in range(600, 900)} | {(7, 5), (8, 5), (5, 5), (9, 9)}
+
+
+def test_shingles_of_many_words():
+    data = np.frombuffer(b"a b c d e f g h i j k l", np.uint8)
+    assert [len(x) for x in jaccard_join.shingle_sets(data, np.array([0, len(data)]), 10)] == [3]
+    assert [len(x) for x in jaccard_join.shingle_sets(data, np.array([0, len(data)]), 20)] == [1]
+
+
+def test_dedup_of_a_hot_group(spark):
+    docs = [(k, "Copy") for k in range(300)] + [(400, "again")] * 200 + [(k, f"text {k}") for k in range(500, 700)] + [(None, "copy")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = exact_dedup.exact_duplicates(frame).collect()
+    assert sorted(r["doc_id"] for r in found if r["kept"]) == [299, 400, *range(500, 700)]
+    assert {(r["keep_id"], r["group_size"]) for r in found if r["doc_id"] in (3, 400, 600)} == {(299, 301), (400, 200), (600, 1)}
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(frame).collect()) == [299, 400, *range(500, 700)]
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
