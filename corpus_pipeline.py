@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluentlake.llm import byte_bpe, exact_dedup, jaccard_join, quality_classifier, source_mixing
-from fluentlake.llm.shared import documents, scratch
+from fluentlake.llm.shared import delete_since, documents, made, scratch
 
 #: SQL can't express the classifier and what follows it; the stages of dedup, near copies and mixing are tested against brute-force
 #: versions or SQL, the classifier's against its operator's scores, the last against the chain of stages.
@@ -61,9 +61,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, writing each one's rows to the shared folder before the next."""
-    docs = documents(spark, sf_dir)
+    """Applies the stages to documents, writing each one's rows to the shared folder before the next. Once they are written,
+    the tables that the stage made and the rows of the stage before are deleted."""
+    docs, mark = documents(spark, sf_dir), made()
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := scratch(spark, f"stage-{k}"))
+        delete_since(spark, mark, keep=(path,))
         docs = spark.read.parquet(path)
     return docs

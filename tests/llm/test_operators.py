@@ -93,6 +93,35 @@ def test_quality_rules_brute_force(spark, odd):
         assert any((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want for r in found[i])
 
 
+def test_repetition_coverage_brute_force(spark):
+    rng = np.random.default_rng(3)
+    some = lambda n: [f"w{int(v)}" for v in rng.integers(0, 10**6, n)]
+    phrase, line = some(7), " ".join(some(9))
+    texts = [None, "", " ".join(some(60)), " ".join(some(30) + phrase + some(30) + phrase + some(10)), " ".join((phrase + some(2)) * 9), " ".join(some(40) + 2 * (phrase + phrase[::-1])), "\n".join([" ".join(some(12)), line] * 8), "\n".join([line, " ".join(some(50)), line])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in quality_rules.repetition_rules(docs).collect()}
+    for i, text in enumerate(texts):
+        w, total = words(text), sum(map(len, words(text)))
+        bad = False
+        for n, most in quality_rules.MAX_SHARE.items():
+            seen, inside = collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)), [False] * len(w)
+            for k in range(len(w) - n + 1):
+                if seen[tuple(w[k : k + n])] > 1:
+                    inside[k : k + n] = [True] * n
+            share = sum(len(x) for x, yes in zip(w, inside, strict=True) if yes) / max(total, 1)
+            assert abs(found[i][f"share_{n}"] - share) < 1e-12
+            bad |= share > most
+        lines, again = set(), 0
+        for part in (text or "").split("\n"):
+            again += sum(map(len, words(part))) if part in lines else 0
+            lines.add(part)
+        assert abs(found[i]["line_share"] - again / max(total, 1)) < 1e-12
+        bad |= again / max(total, 1) > quality_rules.MAX_LINE_SHARE
+        failed = len(w) < 50 or 100 * found[i]["n_repeat_words"] > 50 * len(w)
+        assert found[i]["base_failed"] == failed and found[i]["kept"] == (not failed and not bad)
+    assert any(r["base_failed"] is False and not r["kept"] for r in found.values())
+
+
 def test_dedup_brute_force(spark, odd):
     groups = collections.defaultdict(list)
     rows = odd.select("doc_id", "text").collect()
