@@ -31,8 +31,8 @@ MAX_SAMPLE = 3000
 BUCKETS = 1 << 13
 #: Below a half, as the classes weigh alike in training although good texts are commoner.
 THRESHOLD = 0.35
-#: Texts whose features are worked out at once.
-TEXTS = 64
+#: Texts whose features are worked out at once, and bytes of texts in a block (a longer text alone).
+TEXTS, BLOCK = 64, 1 << 19
 #: Name, figure, bad from, good up to. A figure between both gives no vote; where good is None, the labeller knows only bad.
 LABELLERS = (
     ("symbols", "symbols_per_word", 0.20, None),
@@ -170,13 +170,13 @@ def train_scorer(starts: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarra
 
 def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, bounds in text_blocks(batch, "text"):
+        for rows, data, bounds in text_blocks(batch, "text", BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array(codes(votes(data, bounds)), pa.int64())], ["pattern"])
 
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, bounds in text_blocks(batch, "text"):
+        for rows, data, bounds in text_blocks(batch, "text", BLOCK):
             at, x = [], []
             for found in feature_runs(data, bounds):
                 for row in found:
@@ -190,7 +190,7 @@ def _scorer(weights: np.ndarray, bias: float, posterior: np.ndarray, threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector, own = weights.astype(np.float32), len(names) - 4
         for batch in batches:
-            for rows, data, bounds in text_blocks(batch, "text"):
+            for rows, data, bounds in text_blocks(batch, "text", BLOCK):
                 z = np.concatenate([x @ vector for x in feature_runs(data, bounds)]).astype(np.float64) + bias
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 code = codes(votes(data, bounds))
