@@ -38,12 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: once for half of its words or more, twice for one and a half of them.
     A document without words is kept once, as it takes nothing from any share."""
-    found = source_mixing.mix_sources(docs, keep=tuple(docs.columns))
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.floor((2 * F.col("_taken") + F.col("_size")) / (2 * F.col("_size"))).cast("int"))
-    names = [f"_own_{k}" for k in range(len(docs.columns))]
-    kept = found.toDF("_id", "_source", "_size", "_source_size", "_target", "_taken", *names)
-    repeated = kept.withColumn("_times", times).where("_times > 0").withColumn("_lap", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return source_mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,6 +189,18 @@ def test_jaccard_join_of_hot_groups_and_repeated_ids(spark):
     assert found == {(k, 300) for k in range(300, 600)} | {(k, k) for k in range(600, 900)} | {(7, 5), (8, 5), (5, 5), (9, 9)}
 
 
+def test_small_sources_get_their_target(spark):
+    """19 large sources, one of few words at each place, and rows that repeat."""
+    for name in ("a", "j", "zz"):
+        rows = [(s * 100 + k, " ".join(["w"] * (50 + 7 * k)), f"s{s:02}") for s in range(19) for k in range(40)] + [(5000, "one two three", name)] + [(1, "same row", "s01")] * 3
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        found = source_mixing.mix_sources(docs, slots=500)
+        for r in found.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect():
+            assert abs(r["t"] - r["g"]) <= 0.5
+        assert found.where("taken > 2 * size").isEmpty() and source_mixing.mixed(docs, slots=500).where("doc_id = 5000").count() in (1, 2)
+        assert source_mixing.mixed(docs, slots=500).where("doc_id = 1 and source = 's01'").count() <= 6
+
+
 def test_shingles_of_many_words():
     data = np.frombuffer(b"a b c d e f g h i j k l", np.uint8)
     assert [len(x) for x in jaccard_join.shingle_sets(data, np.array([0, len(data)]), 10)] == [3]
