@@ -12,7 +12,7 @@ result, only the work differs), then by hash.
 3. Completion: only lists whose members are still in different components are looked at again, one of those with the
    same members. All pairs of different
    components and fitting sizes in such a list are filtered by parity bitmaps, in blocks, an upper bound of the overlap
-   that drops no true pair; the survivors are verified on their whole sets. Lists of up to CHUNK members are sorted by size
+   that drops no true pair; a pair that is in many lists belongs to the first of them; survivors are verified on whole sets. Lists of up to CHUNK members are sorted by size
    and compared many at once, each member with those that follow and are not too large. A longer list is cut into chunks
    of bounded size, and pairs of chunks are separate groups, so no list is collected into one task.
 4. Connected components by large-star and small-star steps over DataFrames.
@@ -45,6 +45,8 @@ CELL_BLOCK = 1 << 14
 LEAST_BITS, MOST_BITS = 256, 4096
 #: Members of a posting list that are compared with each other at once.
 CHUNK = 1024
+#: Lists by which a pair that is in many lists is told apart: the first ones of each member.
+HEADS = 8
 #: Pairs of a pair of chunks that are compared at once.
 MATRIX = 1 << 14
 _UPPER = np.arange(256, dtype=np.uint8)
@@ -207,6 +209,23 @@ def _fitting(percent: int):
     return run
 
 
+def first_lists(table: pa.Table):
+    """For rows of posting lists with `heads`, the smallest HEADS tokens of the lists that the member is in: a function of
+    places i, j and the token of the list at hand, whether the pair belongs to this list. That is the first list of the
+    heads that both have, so one list of many keeps the pair; pairs without such a list belong to all of theirs."""
+    column = table.column("heads").combine_chunks()
+    some = np.arange(HEADS) < np.diff(column.offsets.to_numpy())[:, None]
+    heads = np.zeros(some.shape, np.int64)
+    heads[some] = column.flatten().to_numpy()
+
+    def mine(i: np.ndarray, j: np.ndarray, token) -> np.ndarray:
+        both = ((heads[i][:, :, None] == heads[j][:, None, :]) & some[i][:, :, None] & some[j][:, None, :]).any(axis=2)
+        first = np.where(both, heads[i], np.iinfo(np.int64).max).min(axis=1)
+        return ~both.any(axis=1) | (first == token)
+
+    return mine
+
+
 def _chunk_pairs(percent: int):
     """For a pair of chunks of one posting list: the pairs of different components that sizes and bitmaps allow."""
 
@@ -217,6 +236,7 @@ def _chunk_pairs(percent: int):
         right = left if inner else right
         raw = table.column("bits").to_pylist()
         widths = np.array([len(x) for x in raw])
+        mine, token = first_lists(table), key[0].as_py()
         out_a, out_b = [], []
         for wa in np.unique(widths[left]):
             for wb in np.unique(widths[right]):
@@ -231,8 +251,10 @@ def _chunk_pairs(percent: int):
                     i, j = np.nonzero(fits)
                     i += k
                     good = may_link(sizes[la[i]], bits_a[i], sizes[rb[j]], bits_b[j], percent)
-                    out_a.append(ids[la[i[good]]])
-                    out_b.append(ids[rb[j[good]]])
+                    i, j = la[i[good]], rb[j[good]]
+                    good = mine(i, j, token)
+                    out_a.append(ids[i[good]])
+                    out_b.append(ids[j[good]])
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (out_a, out_b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -265,7 +287,7 @@ def _window_pairs(percent: int):
                 folded[width] = np.concatenate([fold(own[w], width) for w in wider]).view(np.uint64), place
             return folded[width]
 
-        out = []
+        out, mine, tokens = [], first_lists(rows), rows.column("token").to_numpy()
 
         def check(i: np.ndarray, j: np.ndarray) -> None:
             least = np.minimum(widths[i], widths[j])
@@ -275,6 +297,8 @@ def _window_pairs(percent: int):
                 for k in range(0, len(x), MATRIX):
                     p, q = x[k : k + MATRIX], y[k : k + MATRIX]
                     good = may_link(sizes[p], bits[place[p]], sizes[q], bits[place[q]], percent)
+                    p, q = p[good], q[good]
+                    good = mine(p, q, tokens[p])
                     out.append((ids[p[good]], ids[q[good]]))
 
         waiting, held, near, step = [], 0, np.arange(len(rows)), 1
@@ -382,10 +406,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spread = postings.select("token", F.col("id").alias("gid"), "band").join(own_group, "gid").groupBy("token").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("groups"), F.sum("c").alias("length"), F.bit_xor(F.xxhash64("gid")).alias("m1"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("m2")
     ).where("low != high").groupBy("groups", "m1", "m2").agg(F.min("token").alias("token"), F.max("length").alias("length")).select("token", "length")  # lists of the same members: one of them
-    wide = own_group.where("low != high").select(F.col("gid").alias("token"), F.lit(1).alias("within"), F.col("c").alias("length"))
-    listed = postings.join(spread, "token").select("token", "length", F.col("id").alias("gid")).join(by_group.select("gid", "id", "n", "bits", "comp"), "gid")
-    columns = ["token", "within", "length", "id", "n", "bits", "comp"]
-    listed = stored(listed.withColumn("within", F.lit(0)).select(columns).union(by_group.join(wide, by_group["gid"] == wide["token"]).select(columns)), "listed")
+    kept = stored(postings.join(spread, "token").select("token", "length", F.col("id").alias("gid")), "kept")
+    heads = kept.groupBy("gid").agg(F.slice(F.array_sort(F.collect_list("token")), 1, HEADS).alias("heads"))
+    # Members of a group are in the same lists; only where there is none, the group is a list of its own.
+    wide = own_group.where("low != high").join(heads, "gid", "left_anti").select("gid", F.col("gid").alias("token"), F.col("c").alias("length"))
+    columns = ["token", "within", "length", "id", "n", "bits", "comp", "heads"]
+    listed = kept.join(heads, "gid").withColumn("within", F.lit(0)).join(by_group, "gid").select(columns)
+    listed = stored(listed.union(wide.withColumn("within", F.lit(1)).withColumn("heads", F.array().cast("array<long>")).join(by_group, "gid").select(columns)), "listed")
     short = listed.where(F.col("length") <= CHUNK).drop("length").repartition("token", "within").sortWithinPartitions("token", "within", "n", "id")
     survivors = short.mapInArrow(_window_pairs(percent), "a long, b long")
 
@@ -406,8 +433,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inside = F.transform(F.when(F.col("own"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>")), lambda x: F.struct(b.alias("lo"), b.alias("hi"), F.least(c, x).alias("i"), F.greatest(c, x).alias("j"), F.when(c <= x, 0).otherwise(1).alias("side")))
     up = F.transform(count("k2"), lambda x: F.struct(b.alias("lo"), (b + 1).alias("hi"), c.alias("i"), x.alias("j"), F.lit(0).alias("side")))
     down = F.transform(count("k1"), lambda x: F.struct((b - 1).alias("lo"), b.alias("hi"), x.alias("i"), c.alias("j"), F.lit(1).alias("side")))
-    dealt = placed.select("token", "within", "id", "n", "bits", "comp", F.explode(F.concat(inside, up, down)).alias("g"))
-    survivors = survivors.union(dealt.select("token", "within", "g.*", "id", "n", "bits", "comp").groupBy("token", "within", "lo", "hi", "i", "j").applyInArrow(_chunk_pairs(percent), "a long, b long"))
+    dealt = placed.select("token", "within", "id", "n", "bits", "comp", "heads", F.explode(F.concat(inside, up, down)).alias("g"))
+    survivors = survivors.union(dealt.select("token", "within", "g.*", "id", "n", "bits", "comp", "heads").groupBy("token", "within", "lo", "hi", "i", "j").applyInArrow(_chunk_pairs(percent), "a long, b long"))
     more = verified(survivors, texts, n, percent, "rest")
 
     # An id with several texts ties their classes together.
