@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fluentlake.functions import scalars as S
 from fluentlake.lang.compiler import run_text
@@ -70,13 +71,8 @@ def division_float(s, d):
     return table(s, d, "part").map(lambda r: {"p_partkey": r.p_partkey, "q": S.divide(r.p_size, r.p_size - 11)}).df
 
 
-@query("select o_orderkey, row_number() over (order by o_orderkey) - 1 as n from orders where o_orderkey % 50 = 0")
-def number(s, d):
-    return orders(s, d).accept(lambda r: r.o_orderkey % 50 == 0).number().df.select("o_orderkey", "n")
-
-
 @query("select o_orderkey, row_number() over (order by o_orderkey) - 1 as n from orders")
-def number_all(s, d):
+def number(s, d):
     return orders(s, d).number().df.select("o_orderkey", "n")
 
 
@@ -170,13 +166,8 @@ def min_max(s, d):
     return orders(s, d, ("o_orderpriority",)).min_max(lambda r: F.floor(r.o_totalprice / 1000).cast("double"), lambda r: r.o_orderkey)
 
 
-@query("select c_mktsegment, string_agg(c_name, '+' order by c_custkey) as text from customer where c_custkey % 10 = 0 group by 1")
-def reduce_concat(s, d):
-    return table(s, d, "customer", ("c_mktsegment",)).accept(lambda r: r.c_custkey % 10 == 0).reduce_text(lambda r: r.c_name, "+")
-
-
 @query("select c_mktsegment, string_agg(c_name, '+' order by c_custkey) as text from customer group by 1")
-def reduce_concat_all(s, d):
+def reduce_concat(s, d):
     return table(s, d, "customer", ("c_mktsegment",)).reduce_text(lambda r: r.c_name, "+")
 
 
@@ -264,15 +255,8 @@ def anti_join(s, d):
     return table(s, d, "customer").accept_present(orders(s, d).accept(lambda r: r.o_totalprice > 400000), lambda a, b: a.c_custkey == b.o_custkey, negate=True).df.select("c_custkey")
 
 
-@query("select k, src, row_number() over (order by k, src desc) - 1 as n from (select n_nationkey::bigint k, 'n' src from nation where n_nationkey % 2 = 0 union all select s_suppkey, 's' from supplier where s_suppkey < 20) t")
-def merge_sorted(s, d):
-    a = table(s, d, "nation").accept(lambda r: r.n_nationkey % 2 == 0).map(lambda r: {"k": r.n_nationkey.cast("bigint"), "src": F.lit("n")}, ("k",))
-    b = table(s, d, "supplier").accept(lambda r: r.s_suppkey < 20).map(lambda r: {"k": r.s_suppkey, "src": F.lit("s")}, ("k",))
-    return a.merge(Table(b.df, ("k",)), "k").number().df.select("k", "src", "n")
-
-
 @query("select k, src, row_number() over (order by k, src desc) - 1 as n from (select n_nationkey::bigint k, 'n' src from nation union all select s_suppkey, 's' from supplier) t")
-def merge_sorted_all(s, d):
+def merge_sorted(s, d):
     a = table(s, d, "nation").map(lambda r: {"k": r.n_nationkey.cast("bigint"), "src": F.lit("n")}, ("k",))
     b = table(s, d, "supplier").map(lambda r: {"k": r.s_suppkey, "src": F.lit("s")}, ("k",))
     return a.merge(Table(b.df, ("k",)), "k").number().df.select("k", "src", "n")
@@ -326,26 +310,18 @@ def iir_lowpass(s, d):
     df = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value", F.expr("cast(ts as timestamp) - timestamp'1970-01-01'").alias("i"))
     df = df.select("user_id", "event_id", "value", (F.unix_micros(F.expr("timestamp_micros(0)") + F.col("i")) / 1e6).alias("t"))
 
-    def step(rows: list[dict]) -> list[dict]:
-        initial, follow = Q.low_pass("y", lambda r: r["t"], lambda r: r["value"], 3600)
-        return [{"event_id": r["event_id"], "y": round(r["y"], 6)} for r in Q.iir_combine(rows, initial, follow)]
-
-    return Q.per_series(df, ["user_id"], ["t"], "event_id long, y double", step)
+    found = Q.ordered_scan(df, ["user_id"], ["t"], ["t", "value"], ["event_id"], StructType().add("y", "double"), Q.low_pass_step(3600))
+    return found.select("event_id", F.round("y", 6).alias("y"))
 
 
 @query("with recursive e as (select event_id, user_id, event_type, row_number() over (partition by user_id order by ts) n from events), f as (select event_id, user_id, n, case when event_type = 'view' then 1 else 0 end as state from e where n = 1 union all select e.event_id, e.user_id, e.n, case when f.state = 0 then case when e.event_type = 'view' then 1 else 0 end when e.event_type = 'purchase' then 0 when e.event_type = 'click' then 2 else f.state end from e join f on e.user_id = f.user_id and e.n = f.n + 1) select event_id, state::bigint as state from f")
 def fsm_sessions(s, d):
-    def follow(state: dict, item: dict) -> dict:
-        kind = item["event_type"]
-        if state["state"] == 0:
-            return {"state": int(kind == "view")}
-        return {"state": 0 if kind == "purchase" else 2 if kind == "click" else state["state"]}
-
-    def step(rows: list[dict]) -> list[dict]:
-        return [{"event_id": r["event_id"], "state": x["state"]} for r, x in zip(rows, Q.fsm(rows, follow), strict=True)]
-
-    df = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type", "ts")
-    return Q.per_series(df, ["user_id"], ["ts"], "event_id long, state long", step)
+    """0: outside, 1: viewing, 2: clicking, as a text of the language."""
+    text = """events.fsm((s,e)->
+        if s.state=0 then (if e.event_type="view" then goto(1) else goto(0))
+        else if e.event_type="purchase" then goto(0)
+        else if e.event_type="click" then goto(2) else goto(s.state))"""
+    return run_text(text, {"events": per_user(s, d)}).df.select("event_id", "state")
 
 
 @query("select event_id from (select event_id, event_type, lag(event_type) over (partition by user_id order by ts) as p from events) where event_type is distinct from p")
@@ -360,16 +336,14 @@ def moving_window(s, d):
     return t.moving_window(lambda r: r.v, ("event_id",), n=lambda r: F.count("*"), total=lambda r: F.round(F.sum(r.value), 4))
 
 
-@query()
+@query("""with recursive e as (select event_id, user_id, floor(value)::bigint v, row_number() over (partition by user_id order by ts) n from events),
+c as (select *, sum(v) over (partition by user_id order by n) c from e)
+select a.event_id, count(*) as n from c a join c b on a.user_id = b.user_id and b.n <= a.n and (b.n = a.n or a.c - b.c + b.v <= 500) group by 1""")
 def moving_window_remove(s, d):
-    """Windows of values with a sum of 500 at most."""
-
-    def step(rows: list[dict]) -> list[dict]:
-        windows = Q.moving_window_remove(rows, lambda w: sum(x["value"] for x in w) > 500)
-        return [{"event_id": r["event_id"], "n": len(w)} for r, w in zip(rows, windows, strict=True)]
-
-    df = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value", "ts")
-    return Q.per_series(df, ["user_id"], ["ts"], "event_id long, n long", step)
+    """Sizes of windows of whole values with a sum of 500 at most. The sum only grows to the left, as values aren't negative,
+    so the SQL counts the items whose sum up to here is small enough."""
+    df = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.floor("value").alias("value"), "ts")
+    return Q.ordered_scan(df, ["user_id"], ["ts"], ["value"], ["event_id"], StructType().add("n", "long"), Q.window_remove_step(500))
 
 
 # --- models and histograms -------------------------------------------------------------------------------------------------
@@ -381,13 +355,13 @@ def interpolation(s, d):
     return interpolate(table(s, d, "part"), knots, "p_size", "x", "y", "y").select("p_partkey", "y")
 
 
-_BINS = "select range::bigint as bin, coalesce(round(t, 2), 0.0) as value from range(12) left join (select least(greatest(floor((value - 50) / 40) + 1, 0), 11)::bigint b, sum(value) t from events group by 1) on b = range"
+_BINS = "select range::bigint as bin, case range when 0 then '<50' when 11 then '>450' else (10 + 40 * range)::int::varchar || '-' || (50 + 40 * range)::int::varchar end as descr, coalesce(round(t, 2), 0.0) as value from range(12) left join (select least(greatest(floor((value - 50) / 40) + 1, 0), 11)::bigint b, sum(value) t from events group by 1) on b = range"
 
 
 @query(_BINS)
 def binning(s, d):
     found = table(s, d, "events").binning(50, 40, 10, lambda r: r.value, lambda r: r.value)
-    return found.select("bin", F.round("value", 2).alias("value"))
+    return found.select("bin", "descr", F.round("value", 2).alias("value"))
 
 
 @query("select x.range::bigint as x, y.range::bigint as y, coalesce(n, 0.0)::double as value from range(7) x cross join range(5) y left join (select least(greatest(floor(l_quantity / 10) + 1, 0), 6) bx, least(greatest(floor(l_discount / 0.04) + 1, 0), 4) b, count(*) n from lineitem group by 1, 2) on bx = x.range and b = y.range")
@@ -399,7 +373,7 @@ def binning2d(s, d):
 def collect_binning_(s, d):
     t = table(s, d, "events")
     halves = [t.accept(test).binning(50, 40, 10, lambda r: r.value, lambda r: r.value) for test in (lambda r: r.user_id % 2 == 0, lambda r: r.user_id % 2 == 1)]
-    return collect_binning(*halves).select("bin", F.round("value", 2).alias("value"))
+    return collect_binning(*halves).select("bin", "descr", F.round("value", 2).alias("value"))
 
 
 # --- scalars -----------------------------------------------------------------------------------------------------------------

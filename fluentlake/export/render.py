@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row
 
-from fluentlake.lang.compiler import text_of
+from fluentlake.lang.values import text_of
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,9 +16,28 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+_forgiving = False
+
+
+@contextmanager
+def forgiving() -> Iterator[None]:
+    """Within it, columns are made that are null where they would raise an error: for try."""
+    global _forgiving
+    before, _forgiving = _forgiving, True
+    try:
+        yield
+    finally:
+        _forgiving = before
+
+
+def error(message) -> Column:
+    """An error, or null within forgiving."""
+    return F.lit(None) if _forgiving else F.raise_error(col(message))
+
+
 def failing(condition: Column, message: str, value: Column) -> Column:
     """value, or an error with this message where the condition holds."""
-    return F.when(condition, F.raise_error(F.lit(message))).otherwise(value)
+    return F.when(condition, error(message)).otherwise(value)
 
 
 def divide(a, b) -> Column:
@@ -26,20 +47,28 @@ def divide(a, b) -> Column:
 
 
 def power(a, b, whole: bool = False) -> Column:
+    """Whole numbers to a constant power from 1 to 9 are an exact product; else by floats."""
+    if whole and isinstance(b, int) and 0 < b < 10:
+        return reduce(lambda x, y: x * y, [col(a).cast("bigint")] * b)
     p = F.pow(col(a).cast("double"), col(b).cast("double"))
     return p.cast("bigint") if whole else p
 
 
-def shift_left(a, n: int) -> Column:
-    if n < 0:
-        raise ValueError("negative shift count")
-    return F.lit(0).cast("bigint") if n >= 64 else F.shiftleft(col(a).cast("bigint"), n)
+def _shift(f, a, n, beyond: Column) -> Column:
+    a, n = col(a).cast("bigint"), col(n)
+    return failing(n < 0, "a shift count is negative", F.when(n >= 64, beyond).otherwise(f(a, n.cast("int"))))
+
+
+def shift_left(a, n) -> Column:
+    return _shift(lambda x, k: F.call_function("shiftleft", x, k), a, n, F.lit(0).cast("bigint"))
+
+
+def shift_right(a, n) -> Column:
+    return _shift(lambda x, k: F.call_function("shiftright", x, k), a, n, F.when(col(a) < 0, F.lit(-1)).otherwise(0).cast("bigint"))
 
 
-def shift_right(a, n: int) -> Column:
-    if n < 0:
-        raise ValueError("negative shift count")
-    return F.shiftright(col(a).cast("bigint"), min(n, 63))
+def modulo(a, b) -> Column:
+    return failing(col(b) == 0, "modulo by zero", F.try_mod(col(a), col(b)))
 
 
 def sqrt(x) -> Column:
@@ -98,18 +127,20 @@ def greatest(*xs) -> Column:
 
 
 def float_text(x) -> Column:
-    """The shortest text of a double: 3, 0.5, 1e+06, 1e-05."""
+    """The shortest text of a double, with an exponent below 1e-4 and from 1e6 on: 3, 0.5, 1e+06, 1e-05."""
     x = col(x).cast("double")
-    text = x.cast("string")
-    plain = F.regexp_replace(text, r"\.0$", "")
-    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.0$", "")
-    exponent = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(x))).cast("int"))
-    sci = F.regexp_extract(text, r"E(-?\d+)$", 1)
-    power10 = F.when(sci != "", sci.cast("int")).otherwise(exponent)
-    mantissa = F.when(sci != "", digits).otherwise(F.regexp_replace(F.regexp_replace((F.abs(x) / F.pow(F.lit(10.0), power10)).cast("string"), r"\.0$", ""), "^$", "0"))
-    scientific = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), mantissa, F.lit("e"), F.when(power10 < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power10).cast("string"), 2, "0"))
-    wide = F.when((sci != "") & (power10 >= -4) & (power10 < 21), F.regexp_replace(F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"0+$", ""), r"\.$", "")).otherwise(plain)
-    return F.when(F.isnan(x), F.lit("NaN")).when(x == INF, F.lit("+Inf")).when(x == -INF, F.lit("-Inf")).when((x != 0) & ((power10 < -4) | (power10 >= 21)), scientific).otherwise(wide)
+    text = F.abs(x).cast("string")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1)
+    whole, part = F.regexp_extract(text, r"^(\d+)", 1), F.regexp_replace(F.regexp_extract(text, r"\.(\d+)", 1), "0+$", "")
+    exponent = F.when(power != "", power.cast("int")).otherwise(F.length(whole) - 1)
+    digits = F.regexp_replace(F.concat(whole, part), "0+$", "")
+    rest = F.substring(digits, 2, 400)
+    mantissa = F.concat(F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")))
+    scientific = F.concat(mantissa, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    plain = F.when(power != "", small).when(part != "", F.concat(whole, F.lit("."), part)).otherwise(whole)
+    shown = F.when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
+    return F.when(F.isnan(x), F.lit("NaN")).when(x == INF, F.lit("+Inf")).when(x == -INF, F.lit("-Inf")).when(x == 0, F.lit("0")).otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), shown))
 
 
 # --- strings: lengths and indexes count bytes, cut counts characters ------------------------------------------------

@@ -1,21 +1,71 @@
-"""Operators whose next value depends on the last one: ordered groups in pandas. Each series is one group, bounded by it."""
+"""Operators whose next value depends on the last one. A series is sorted within its task and read in Arrow batches; only
+the state is carried from row to row and from batch to batch, so a series need not fit in memory."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], kept: list[str], made: StructType, step: Callable[..., tuple[Any, tuple]]) -> DataFrame:
+    """For each series (keys; none: the whole table is one, in one task), in order: state, output = step(state, *inputs),
+    with state None at the start. Rows have the kept columns and the output's (made)."""
+    schema = StructType([*(df.schema[c] for c in kept), *made])
+    types = [f.type for f in to_arrow_schema(made)]
+    width, n = len(keys), len(inputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, series = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [batch.column(k).to_pylist() for k in range(width + n)]
+            names = list(zip(*columns[:width], strict=True)) if width else [()] * len(batch)
+            out = []
+            for name, *values in zip(names, *columns[width:], strict=True):
+                if name != series:
+                    state, series = None, name
+                state, row = step(state, *values)
+                out.append(row)
+            arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(width + n + k) for k in range(len(kept))), *arrays], schema.names)
+
+    dealt = df.repartition(*keys) if keys else df.coalesce(1)
+    read = dealt.sortWithinPartitions(*keys, *order).select(*[F.col(c).alias(f"c{k}") for k, c in enumerate([*keys, *inputs, *kept])])
+    return read.mapInArrow(run, schema)
+
+
+def low_pass_step(tau: float) -> Callable[..., tuple[Any, tuple]]:
+    """First-order low-pass over (time, value); one output."""
+    import math
+
+    def step(state, t, x):
+        y = x if state is None else state[1] + (x - state[1]) * -math.expm1(-(t - state[0]) / tau)
+        return (t, y), (y,)
+
+    return step
 
 
-def per_series(df: DataFrame, keys: list[str], order: list[str], schema: str, step: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """step gets the rows of a series, in order, as dicts."""
+def window_remove_step(most: float) -> Callable[..., tuple[Any, tuple]]:
+    """movingWindowRemove with a sum that is kept as the window moves: the size of the window whose sum is `most` or less,
+    one item at least."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").to_dict("records")
-        return pd.DataFrame(step(rows))
+    def step(state, x):
+        window, total = state if state is not None else (deque(), 0)
+        window.append(x)
+        total += x
+        while len(window) > 1 and total > most:
+            total -= window.popleft()
+        return (window, total), (len(window),)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return step
 
 
 def iir(rows: list, initial: Callable, follow: Callable) -> list:

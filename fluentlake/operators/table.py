@@ -6,6 +6,9 @@ global position costs one partition, so it is worked out only where the result n
 
 from __future__ import annotations
 
+import json
+import math
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import reduce
 
@@ -136,10 +139,9 @@ class Table:
 
     def min_max(self, value, item: Callable[[Record], Column]) -> DataFrame:
         """min, max, minItem, maxItem, valid; the first item wins ties."""
-        r, at = Record(self.df), self.number("_at")
-        r = Record(at.df)
-        v = value(r)
-        found = at.df.groupBy(*self.by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.min_by(item(r), F.struct(v, F.col("_at"))).alias("minItem"), F.max_by(item(r), F.struct(v, -F.col("_at"))).alias("maxItem"), (F.count("*") > 0).alias("valid"))
+        r = Record(self.df)
+        v, at = value(r), [F.col(c) for c in self.order]
+        found = self.df.groupBy(*self.by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.min_by(item(r), F.struct(v, *at)).alias("minItem"), F.min_by(item(r), F.struct(-v, *at)).alias("maxItem"), (F.count("*") > 0).alias("valid"))
         return found.na.fill(0, ["min", "max"])
 
     def reduce_text(self, text, sep: str, name: str = "text") -> DataFrame:
@@ -263,6 +265,8 @@ class Table:
 def collect_binning(*histograms: DataFrame) -> DataFrame:
     """Sums histograms element by element."""
     both = reduce(DataFrame.unionByName, histograms)
+    if any(h.columns != histograms[0].columns for h in histograms):
+        raise ValueError("histograms of different kinds cannot be summed")
     keys = [c for c in both.columns if c in ("bin", "descr", "x", "y")]
     return both.groupBy(*keys).agg(F.sum("value").alias("value"))
 
@@ -290,21 +294,53 @@ def bin_of(v: Column, start: float, size: float, count: int) -> Column:
     return F.least(F.greatest(F.floor((v - start) / size) + 1, F.lit(0)), F.lit(count + 1)).cast("bigint")
 
 
+def bin_digits(size: float) -> int:
+    """Digits that show a bin's width: one for a width from 0.1 to 10, more for smaller, none for larger ones."""
+    if size == 0 or abs(size) >= 10:
+        return 0
+    return max(1, math.ceil(-math.log10(abs(size)) - 0.000001))
+
+
 def bin_label(b: Column, start: float, size: float, count: int) -> Column:
-    digits = 0 if float(size).is_integer() and float(start).is_integer() else 2
-    at = lambda k: F.format_string(f"%.{digits}f", (start + k * size).cast("double"))
-    return F.when(b == 0, F.concat(F.lit("<"), at(b * 0))).when(b == count + 1, F.concat(F.lit(">"), at(b * 0 + count))).otherwise(F.concat(at(b - 1), F.lit("-"), at(b)))
+    """<0, 0-10, >10; bounds that are whole numbers have no digits."""
+    text = lambda digits, v: F.format_string(f"%.{digits}f", v)
+    low, high = (F.when(b == 0, F.lit(0.0)).otherwise(F.lit(float(start)) + (b - 1) * F.lit(float(size))), F.when(b == count + 1, F.lit(0.0)).otherwise(F.lit(float(start)) + b * F.lit(float(size))))
+    whole = (low == F.round(low)) & (high == F.round(high))
+    shown = lambda v: F.when(whole, text(0, v)).otherwise(text(bin_digits(size), v))
+    return F.when(b == 0, F.concat(F.lit("<"), shown(high))).when(b == count + 1, F.concat(F.lit(">"), shown(low))).otherwise(F.concat(shown(low), F.lit("-"), shown(high)))
+
+
+class Interpolation:
+    """Linear between knots, clamped outside. Knots are a model on the driver: at most MOST, x strictly ascending. On columns
+    the segment is found by a binary search of a constant array, in the row: no join."""
+
+    MOST = 100_000
+
+    def __init__(self, knots: list[tuple[float, float]]):
+        if not knots or len(knots) > self.MOST or any(a[0] >= b[0] for a, b in zip(knots, knots[1:], strict=False)):
+            raise ValueError(f"interpolation needs 1 to {self.MOST} knots with strictly increasing x")
+        self.x, self.y = ([float(k[c]) for k in knots] for c in (0, 1))
+        self.arity = 1
+
+    @classmethod
+    def of(cls, knots: DataFrame) -> Interpolation:
+        return cls([(r[0], r[1]) for r in knots.orderBy(knots.columns[0]).limit(cls.MOST + 1).collect()])
+
+    def __call__(self, v, context=None):
+        if not isinstance(v, Column):
+            k = min(max(bisect_right(self.x, v) - 1, 0), max(len(self.x) - 2, 0))
+            if v <= self.x[0] or len(self.x) == 1:
+                return self.y[0]
+            return self.y[-1] if v >= self.x[-1] else self.y[k] + (v - self.x[k]) * (self.y[k + 1] - self.y[k]) / (self.x[k + 1] - self.x[k])
+        v, n = v.cast("double"), len(self.x)
+        slopes = [(self.y[k + 1] - self.y[k]) / (self.x[k + 1] - self.x[k]) for k in range(n - 1)] or [0.0]
+        constant = lambda values: F.from_json(F.lit(json.dumps(values)), "array<double>")
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+        k = F.aggregate(steps, F.lit(-1), lambda at, step: F.when(F.get(constant(self.x), at + step) <= v, at + step).otherwise(at))
+        found = F.transform(F.array(k), lambda k: F.get(constant(self.y), k) + (v - F.get(constant(self.x), k)) * F.get(constant(slopes), k))[0]
+        return F.when(v < self.x[0], F.lit(self.y[0])).when(v >= self.x[-1], F.lit(self.y[-1])).otherwise(found)
 
 
 def interpolate(probes: Table, knots: Table, x: str, kx: str, ky: str, out: str = "y") -> DataFrame:
-    """createInterpolation: linear between knots, clamped outside. Knots are a model: one row gathered into an array, which
-    is checked to be small and ascending."""
-    rows = [(float(r[0]), float(r[1])) for r in knots.df.select(kx, ky).orderBy(kx).limit(100_001).collect()]
-    if not rows or len(rows) > 100_000 or any(a[0] >= b[0] for a, b in zip(rows, rows[1:], strict=False)):
-        raise ValueError("interpolation needs 1 to 100000 knots with strictly increasing x")
-    segments = [(rows[k][0], rows[k + 1][0], rows[k][1], (rows[k + 1][1] - rows[k][1]) / (rows[k + 1][0] - rows[k][0])) for k in range(len(rows) - 1)]
-    v = F.col(x).cast("double")
-    lines = probes.df.sparkSession.createDataFrame([(k, *s) for k, s in enumerate(segments)] or [(0, rows[0][0], rows[0][0], rows[0][1], 0.0)], "_k int, _a double, _b double, _y double, _m double")
-    first, last = rows[0], rows[-1]
-    inside = probes.df.join(F.broadcast(lines), (v >= F.col("_a")) & (v < F.col("_b")), "left")
-    return inside.withColumn(out, F.when(v < first[0], F.lit(first[1])).when(v >= last[0], F.lit(last[1])).otherwise(F.col("_y") + (v - F.col("_a")) * F.col("_m"))).drop("_k", "_a", "_b", "_y", "_m")
+    """createInterpolation over a column."""
+    return probes.df.withColumn(out, Interpolation.of(knots.df.select(kx, ky))(F.col(x)))

@@ -7,7 +7,7 @@ from fluentlake.lang.parser import LanguageError, parse, pretty
 from fluentlake.operators.table import Table
 
 CASES = [
-    ("1+2*3", 7), ("-2^2", -4), ("2*6/3", 4.0), ("7/2", 3.5), ("1/0", math.inf), ("-7%3", -1), ("1<<70", 0), ('"a"+1.0', "a1"), ("string(1000000.0)", "1000000"), ("string(1e21)", "1e+21"), ("string(0.00001)", "1e-05"),
+    ("1+2*3", 7), ("-2^2", -4), ("2*6/3", 4.0), ("7/2", 3.5), ("1/0", math.inf), ("-7%3", -1), ("1<<70", 0), ('"a"+1.0', "a1"), ("string(1000000.0)", "1e+06"), ("string(123456789.5)", "1.234567895e+08"), ("string(1e21)", "1e+21"), ("string(0.00001)", "1e-05"),
     ("let a=3; let b=a*2; a+b", 9), ("func fib(n) if n<2 then n else fib(n-1)+fib(n-2); fib(12)", 144), ("(a->b->a*b)(3)(4)", 12), ('switch 3 case 1: "a" case 3: "c" default "z"', "c"), ("try throw(1) catch 5", 5),
     ("numbers(5).map(x->x*x).sum()", 30), ("numbers(10).accept(x->x%2=0).size()", 5), ("[1,3,2,4].order(x->x)", [1, 2, 3, 4]), ("[1,2,2]~[2,1,2,3]", True), ("[2,2]~[1,2,3]", False), ('"el"~"hello"', True), ("{a:1}.put(\"b\",2).size()", 2),
     ("[1,2,3].combine((a,b)->b-a)", [1, 1]), ("[1,1,2,2,1].compact((a,b)->a=b)", [1, 2, 1]), ("numbers(4).iir(x->x,(x,l)->x+l)", [0, 1, 3, 6]), ("[1,5,3].minMax(x->x).max", 5), ('"fünf".len()', 5), ('"a,b".split(",").size()', 2), ("round(2.5)", 3), ("numbers(3).cross([1,2],(a,b)->a*b).sum()", 9),
@@ -49,3 +49,80 @@ def test_table_forms(spark, text, rows):
     found = found.df.orderBy(*found.order).drop(*found.order) if isinstance(found, Table) else found
     found = found.select("min", "max") if "min" in found.columns else found
     assert [tuple(r) for r in found.collect()] == rows
+
+
+@pytest.mark.parametrize("text", ["1+true", '"a"*2', "[1,2]*2", "true & 1", "!1", "1.5%2", '1="a"', "1<true", '("".__class__)', "t.df", "1<<(0-1)", "func f(n) f(n+1); f(0)", "if 1 then 2 else 3"])
+def test_types_are_checked(text):
+    with pytest.raises(LanguageError):
+        run_text(text)
+
+
+@pytest.mark.parametrize("text, value", [("9223372036854775807+1", -(2**63)), ("1<<63", -(2**63)), ("3^5", 243), ("2^(0-1)", 0), ("[1,[2]]=[1.0,[2]]", True), ("func f(n) if n=0 then 0 else f(n-1); f(3000)", 0), ("let x=3; x²", 9), ("const a=2; a+1", 3), ('"h\\nb\\nc\\n\\nd".behindList("h")', ["b", "c"]), ("[1,2,3].linearReg(x->x,x->2*x+1).lineFunc(10)", 21.0), ("[0,1,2].createInterpolation(x->x,x->x*x)(1.5)", 2.5), ("[0-100,1,100].binning(0,10,1,x->x,x->1)", [1.0, 1.0, 1.0])])
+def test_semantics(text, value):
+    assert run_text(text) == value
+
+
+@pytest.fixture(scope="module")
+def lists(spark):
+    t = Table(spark.createDataFrame([(k, k % 2, v, f"n{v}") for k, v in enumerate([4, 1, 3, 3, 2])], "i long, g long, v long, s string"), ("i",))
+    return {"t": t, "u": Table(spark.createDataFrame([(k, v) for k, v in enumerate([1, 3, 9])], "i long, w long"), ("i",))}
+
+
+@pytest.mark.parametrize(
+    "text, rows",
+    [
+        ("t.map(x->x.v).sum()", [(13,)]), ("t.map(x->x.v).mean()", [(2.6,)]), ("t.map(x->x.v).max()", [(4,)]),
+        ("t.map(x->x+{d:x.v*2}).map(x->x.d)", [(8,), (2,), (6,), (6,), (4,)]), ("t.map(x->x.get(\"v\"))", [(4,), (1,), (3,), (3,), (2,)]),
+        ("t.map(x->x.put(\"d\",1).d)", [(1,)] * 5), ("t.map(x->x.isAvail(\"v\"))", [(True,)] * 5), ("t.map(x->x.v).reduce((a,b)->a*10+b)", [(41332,)]),
+        ("t.map(x->x.s).reduce((a,b)->a+b)", [("n4n1n3n3n2",)]), ("t.map(x->x.v).mapReduce(100,(a,b)->a+b)", [(113,)]), ("t.visit(0,(a,x)->a+x.v)", [(13,)]),
+        ("t.orderLess((a,b)->a.v<b.v).map(x->x.v)", [(1,), (2,), (3,), (3,), (4,)]), ("t.orderLess((a,b)->a.v>b.v).map(x->x.i)", [(0,), (2,), (3,), (4,), (1,)]),
+        ("t.compact((a,b)->a.v=b.v).map(x->x.v)", [(4,), (1,), (3,), (2,)]), ("t.number((n,x)->n*10+x.v)", [(4,), (11,), (23,), (33,), (42,)]),
+        ("t.iir(x->x.v,(x,l)->x.v-l)", [(4,), (-3,), (6,), (-3,), (5,)]), ("t.iirCombine(x->{d:0},(a,b,l)->{d:b.v-a.v})", [(0,), (-3,), (2,), (0,), (-1,)]),
+        ("t.fsm((s,x)->if x.v>2 then goto(s.state+1) else goto(0)).map(x->x.state)", [(1,), (0,), (1,), (2,), (0,)]),
+        ("t.iirApply(createLowPass(\"y\",x->x.i,x->x.v,1)).map(x->round(x.y*100))", [(400,), (210,), (267,), (288,), (232,)]),
+        ("t.accept(x->u.present(y->y.w=x.v)).map(x->x.i)", [(1,), (2,), (3,)]), ("t.accept(x->!u.present(y->y.w=x.v)).map(x->x.i)", [(0,), (4,)]), ("t.accept(x->x.v ~ u).map(x->x.i)", [(1,), (2,), (3,)]),
+        ("t.map(x->{v:x.v, n:u.accept(y->y.w>=x.v).size(), w:u.accept(y->y.w>=x.v).map(y->y.w).sum()})", [(4, 1, 9), (1, 3, 13), (3, 2, 12), (3, 2, 12), (2, 2, 12)]),
+        ("t.map(x->if x.v>100 then throw(\"large\") else x.v)", [(4,), (1,), (3,), (3,), (2,)]), ("t.map(x->try (if x.v>2 then throw(\"large\") else x.v) catch 0)", [(0,), (1,), (0,), (0,), (2,)]),
+        ("t.groupByInt(x->x.g).map(g->{k:g.key, n:g.values.accept(x->x.v>2).size(), s:g.values.accept(x->x.v>2).map(x->x.v).sum()})", [(0, 2, 7), (1, 1, 3)]),
+        ("t.groupByString(x->x.v*1.0).map(g->g.key)", [("1",), ("2",), ("3",), ("4",)]), ("t.set(1,{v:7}).map(x->x.v)", [(4,), (7,), (3,), (3,), (2,)]), ("t.append({v:8}).map(x->x.v)", [(4,), (1,), (3,), (3,), (2,), (8,)]),
+        ("t.linearReg(x->x.v,x->x.v*2+1)", [(2.0, 1.0)]), ("let f=u.createInterpolation(x->x.w,x->x.w*10); t.map(x->f(x.v))", [(40.0,), (10.0,), (30.0,), (30.0,), (20.0,)]),
+        ("t.binning(1,1.5,2,x->x.v,x->1)", [(0, "<1", 0), (1, "1.0-2.5", 2), (2, "2.5-4.0", 2), (3, ">4", 1)]), ("t.map(x->x.v<<x.g)", [(4,), (2,), (3,), (6,), (2,)]), ("t.map(x->x.list().size())", [(4,)] * 5),
+    ],
+)
+def test_more_table_forms(lists, text, rows):
+    found = run_text(text, lists)
+    if isinstance(found, Table):
+        df = found.df.orderBy(*found._sorting())
+        found = df.drop(*[c for c in df.columns if c.startswith("_") or c == "bin_"])
+    assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(found.collect(), key=lambda r: r["bin"])] == rows if "bin" in found.columns else [tuple(r) for r in found.collect()] == rows
+
+
+def test_throw_reaches_the_row(lists):
+    with pytest.raises(Exception, match="large"):
+        run_text('t.map(x->if x.v>3 then throw("large") else x.v)', lists).df.collect()
+
+
+def test_language_of_a_host(spark, lists):
+    from fluentlake.lang.language import Language, Measured, measured_language
+    from fluentlake.lang.parser import Grammar, visit
+
+    m = measured_language()
+    for text, value in [("10+-2", Measured(10, 2)), ("-(10+-2)", Measured(-10, 2)), ("10+-1+1", Measured(11, 1)), ("(10+err(2))*2", Measured(20, 4)), ("2-(10+err(2))", Measured(-8, 2)), ("(10+-1)=(11+-1)", True), ("(10+-1)!=(20+-1)", True), ("(1+-1)<(5+-1)", True), ("(10.5+-0.5).string()", "10.5±0.5"), ("(3+-1).val()", 3.0), ("6/2", 3.0)]:
+        assert m.run(text) == value, text
+    rows = m.run("t.map(x->{same:(x.v+-1)=(2+-0), high:((x.v+-1)*2).val()})", **lists).df.select("same", "high").collect()
+    assert sorted(map(tuple, rows)) == [(False, 8.0), (True, 2.0), (True, 4.0), (True, 6.0), (True, 6.0)]
+    host = Language(Grammar(comfort=True, comments=False, text_operators=(("plus", "+"), ("and", "&"))), implicit_row=True)
+    host.function("twice", lambda x: 2 * x, description="x two times").function("add", lambda a, b=1: a + b).operator("<>", lambda a, b: a != b, above="=")
+    assert host.run("2(3) plus 1") == 7 and host.run("twice(4)") == 8 and host.run("add(1)") == 2 and host.run("add(1,5)") == 6 and host.run("1<>2 and 2<>3") is True
+    assert host.compile("a+b", "r")({"a": 1, "b": 2}) == 3 and host.compile("x*y", "x", "y")(2, 5) == 10
+    with pytest.raises(LanguageError):
+        host.run("twice(1,2)")
+    with pytest.raises(LanguageError):
+        host.run("1 // no comments")
+    host.wrap("sqrt", lambda f: lambda x: f(abs(x)))
+    assert host.run("sqrt(0-4)") == 2.0 and any(d["name"] == "twice" and d["description"] == "x two times" for d in host.describe())
+    host.optimizer(lambda n: parse("42") if n.kind == "name" and n.value == "answer" else None)
+    assert host.run("answer") == 42
+    names = []
+    visit(parse("a+b*c"), lambda n: names.append(n.value) if n.kind == "name" else None)
+    assert names == ["a", "b", "c"]

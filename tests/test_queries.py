@@ -39,13 +39,13 @@ def test_whole_tables(spark):
     data = "/root/testdata/sf0.01"
     found = catalogue.queries()
     keys = lambda t, c: sorted(r[0] for r in spark.read.parquet(f"{data}/{t}.parquet").select(c).collect())
-    assert sorted((r["n"], r["o_orderkey"]) for r in found["number_all"](spark, data).collect()) == list(enumerate(keys("orders", "o_orderkey")))
+    assert sorted((r["n"], r["o_orderkey"]) for r in found["number"](spark, data).collect()) == list(enumerate(keys("orders", "o_orderkey")))
     series = {}
     for r in sorted(spark.read.parquet(f"{data}/customer.parquet").collect(), key=lambda r: r["c_custkey"]):
         series.setdefault(r["c_mktsegment"], []).append(r["c_name"])
-    assert {r["c_mktsegment"]: r["text"].split("+") for r in found["reduce_concat_all"](spark, data).collect()} == series
+    assert {r["c_mktsegment"]: r["text"].split("+") for r in found["reduce_concat"](spark, data).collect()} == series
     merged = sorted([(k, 1, "n") for k in keys("nation", "n_nationkey")] + [(k, 0, "s") for k in keys("supplier", "s_suppkey")])
-    assert sorted((r["n"], r["k"], r["src"]) for r in found["merge_sorted_all"](spark, data).collect()) == [(n, k, src) for n, (k, _, src) in enumerate(merged)]
+    assert sorted((r["n"], r["k"], r["src"]) for r in found["merge_sorted"](spark, data).collect()) == [(n, k, src) for n, (k, _, src) in enumerate(merged)]
 
 
 def test_entry(spark):
@@ -59,7 +59,7 @@ def test_plans_push_filters(spark):
 
 
 def test_float_text(spark):
-    values = [(3.0, "3"), (1e6, "1000000"), (1e21, "1e+21"), (0.00001, "1e-05"), (0.5, "0.5"), (-2.25, "-2.25"), (float("inf"), "+Inf"), (123456789.0, "123456789")]
+    values = [(3.0, "3"), (1e6, "1e+06"), (100000.0, "100000"), (1234567.5, "1.2345675e+06"), (0.0001, "0.0001"), (0.00025, "0.00025"), (-1e-7, "-1e-07"), (1e300, "1e+300"), (1e21, "1e+21"), (0.00001, "1e-05"), (0.5, "0.5"), (-2.25, "-2.25"), (float("inf"), "+Inf"), (123456789.0, "1.23456789e+08"), (20.5, "20.5"), (0.0, "0")]
     df = spark.createDataFrame(values, "x double, want string").select(S.float_text(F.col("x")).alias("got"), "want")
     assert all(r["got"] == r["want"] for r in df.collect())
 
