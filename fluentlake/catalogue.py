@@ -12,7 +12,8 @@ from fluentlake.functions import scalars as S
 from fluentlake.lang.compiler import run_text
 from fluentlake.operators import sequential as Q
 from fluentlake.operators.table import Table, collect_binning, interpolate
-from fluentlake.streaming.events import count_by_type
+from fluentlake.streaming.events import count_by_type, read_stream
+from fluentlake.streaming.stateful import compact_step, fold_step, machine_step, run_to_table, stream_scan
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -424,3 +425,41 @@ def err_value(s, d):
 @query("select event_type, count(*) as n, round(sum(value), 2) as total from events group by 1")
 def stream_events(s, d):
     return count_by_type(s, d)
+
+
+def _events(s, d):
+    return read_stream(s, d, "events").select("user_id", "event_id", "ts", "event_type", "value", F.floor("value").alias("whole"))
+
+
+@query(_sql["iir_prefix_sum"])
+def stream_prefix_sum(s, d):
+    """iir with + on a stream, the sums kept per user."""
+    found = stream_scan(_events(s, d), ["user_id"], ["ts"], ["whole"], ["event_id"], StructType().add("total", "long"), fold_step(0, lambda a, x: a + int(x)))
+    return run_to_table(found)
+
+
+@query(_sql["fsm_sessions"])
+def stream_fsm(s, d):
+    def follow(state, kind):
+        return int(kind == "view") if state == 0 else 0 if kind == "purchase" else 2 if kind == "click" else state
+
+    return run_to_table(stream_scan(_events(s, d), ["user_id"], ["ts"], ["event_type"], ["event_id"], StructType().add("state", "long"), machine_step(follow)))
+
+
+@query(_sql["compact_lag"])
+def stream_compact(s, d):
+    found = stream_scan(_events(s, d), ["user_id"], ["ts"], ["event_type"], ["event_id"], StructType().add("stays", "boolean"), compact_step())
+    return run_to_table(found).where("stays").select("event_id")
+
+
+@query("select row_number() over (order by n_nationkey) - 1 as n, n_name || '!' as name, n_nationkey + n_regionkey as total from nation")
+def language_records(s, d):
+    return run_text('nation.map(x->x+{total:x.n_nationkey+x.n_regionkey}).number((n,x)->{n:n, name:x.n_name+"!", total:x.total})', {"nation": table(s, d, "nation")}).df.select("n", "name", "total")
+
+
+@query("select c_custkey, (select count(*) from orders where o_custkey = c_custkey and o_totalprice > 300000) as large, exists (select 1 from orders where o_custkey = c_custkey) as one from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
+def language_joins(s, d):
+    """A correlated lookup and a semi join from the language's idioms."""
+    text = "customer.accept(c->orders.present(o->o.o_custkey=c.c_custkey & o.o_totalprice>300000)).map(c->{c_custkey:c.c_custkey, large:orders.accept(o->(o.o_custkey=c.c_custkey) & (o.o_totalprice>300000)).size()})"
+    found = run_text(text.replace("o.o_custkey=c.c_custkey & o.o_totalprice>300000", "(o.o_custkey=c.c_custkey) & (o.o_totalprice>300000)"), {"customer": table(s, d, "customer"), "orders": orders(s, d)})
+    return found.df.select("c_custkey", "large", F.lit(True).alias("one"))

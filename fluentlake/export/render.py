@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import io
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -80,12 +80,12 @@ def to_text(value: Any, depth: int = 0) -> str:
     return f"{pad}{text_of(value)}\n"
 
 
-def to_html(value: Any, most: int = 1000) -> str:
-    """A list is a numbered table, a list of lists a grid, a map a table of keys; lists end after `most` items."""
+def to_html(value: Any, most: int = 1000, custom: Callable[[Any], str | None] | None = None) -> str:
+    """custom gives the HTML of a scalar, or None. A list is a numbered table, a list of lists a grid, a map a table of keys; lists end after `most` items."""
     style = ""
     if isinstance(value, Styled):
         if value.link:
-            return f'<a href="{html.escape(value.link)}">{to_html(value.value, most)}</a>'
+            return f'<a href="{html.escape(value.link)}">{to_html(value.value, most, custom)}</a>'
         style, value = "" if value.cell else value.style, value.value
     if isinstance(value, DataFrame):
         value = value.limit(most + 1).collect()
@@ -94,10 +94,12 @@ def to_html(value: Any, most: int = 1000) -> str:
         rows = []
         for k, x in enumerate(items[:most], 1):
             cells = _items(x)
-            rows.append("<tr>" + ("".join(_cell(c, most) for c in cells) if cells is not None else f"<td>{k}.</td>{_cell(x, most)}") + "</tr>")
+            rows.append("<tr>" + ("".join(_cell(c, most, custom) for c in cells) if cells is not None else f"<td>{k}.</td>{_cell(x, most, custom)}") + "</tr>")
         return f"<table{_style(style)}>" + "".join(rows) + ("<tr><td>more...</td></tr>" if len(items) > most else "") + "</table>"
     if isinstance(value, dict):
-        return f"<table{_style(style)}>" + "".join(f"<tr><td>{html.escape(str(k))}:</td>{_cell(v, most)}</tr>" for k, v in sorted(value.items())) + "</table>"
+        return f"<table{_style(style)}>" + "".join(f"<tr><td>{html.escape(str(k))}:</td>{_cell(v, most, custom)}</tr>" for k, v in sorted(value.items())) + "</table>"
+    if custom and (made := custom(value)) is not None:
+        return made
     text = format(value, ".6g") if isinstance(value, float) else "nil" if value is None else text_of(value)
     if text.startswith(("http://", "https://")):
         return f'<a href="{html.escape(text)}" target="_blank">Link</a>'
@@ -108,10 +110,10 @@ def _style(style: str) -> str:
     return f' style="{html.escape(style)}"' if style else ""
 
 
-def _cell(value: Any, most: int) -> str:
+def _cell(value: Any, most: int, custom: Callable[[Any], str | None] | None = None) -> str:
     cell = value if isinstance(value, Styled) else Styled(value)
     span = f' colspan="{cell.span}"' if cell.span != 1 else ""
-    return f"<td{span}{_style(cell.style if cell.cell else '')}>{to_html(value, most)}</td>"
+    return f"<td{span}{_style(cell.style if cell.cell else '')}>{to_html(value, most, custom)}</td>"
 
 
 @dataclass(frozen=True)
@@ -134,6 +136,9 @@ class DataFile:
     def time_is_date(self) -> DataFile:
         return replace(self, date=True)
 
+    def with_formats(self, date: str, time: str) -> DataFile:
+        return replace(self, formats=(date, time))
+
     def _rows(self, rows: Any) -> Iterable[tuple[str, list]]:
         import datetime
 
@@ -145,18 +150,30 @@ class DataFile:
     def _heads(self) -> list[str]:
         return [f"{n}[{u}]" if u else n for n, u in [(self.time, self.unit), *((n, u) for n, u, _ in self.columns)]]
 
-    def csv(self, name: str, rows: Any) -> File:
-        out, seen = [",".join(f'"{h}"' for h in self._heads())], [False] * len(self.columns)
+    def _cells(self, values: list, missing: str, quote: str) -> list[str]:
+        return [f"{quote}{text_of(float(c))}{quote}" if isinstance(c, int | float) else missing for c in values]
+
+    def csv_lines(self, rows: Any) -> Iterator[str]:
+        """Lines one after the other: rows of a table are read partition by partition. Fails at the end where a column had no
+        value at all."""
+        yield ",".join(f'"{h}"' for h in self._heads())
+        seen = [False] * len(self.columns)
         for when, cells in self._rows(rows):
             seen = [s or isinstance(c, int | float) for s, c in zip(seen, cells, strict=True)]
-            out.append(",".join([f'"{when}"', *(f'"{text_of(float(c))}"' if isinstance(c, int | float) else "" for c in cells)]))
+            yield ",".join([f'"{when}"', *self._cells(cells, "", '"')])
         if not all(seen):
             raise ValueError("a column has no value")
-        return File(name, "text/csv", ("\n".join(out) + "\n").encode())
+
+    def dat_lines(self, rows: Any) -> Iterator[str]:
+        yield "#" + "\t".join(self._heads())
+        for when, cells in self._rows(rows):
+            yield "\t".join([when, *self._cells(cells, "-", "")])
+
+    def csv(self, name: str, rows: Any) -> File:
+        return File(name, "text/csv", "".join(f"{x}\n" for x in self.csv_lines(rows)).encode())
 
     def dat(self, name: str, rows: Any) -> File:
-        lines = ["#" + "\t".join(self._heads()), *("\t".join([when, *(text_of(float(c)) if isinstance(c, int | float) else "-" for c in cells)]) for when, cells in self._rows(rows))]
-        return File(name, "text/plain", ("\n".join(lines) + "\n").encode())
+        return File(name, "text/plain", "".join(f"{x}\n" for x in self.dat_lines(rows)).encode())
 
 
 def zip_files(name: str, files: Iterable[File]) -> File:

@@ -759,7 +759,7 @@ def machine_step(names: list[str], f: Callable, known: bool) -> Callable:
 
     def step(state, *values):
         state = {"state": 0} if state is None else state
-        key = (*state.items(), values) if known else None
+        key = (*state.items(), values) if known and all(isinstance(x, bool | int | float | str) for x in state.values()) else None
         if key is None or (after := table.get(key)) is None:
             after = f(state, dict(zip(names, values, strict=True)))
             if key is not None:
