@@ -9,7 +9,10 @@ A merge may in principle create a pair of lower rank than its own, which would h
 happens are encoded one by one, lowest rank first from the left, which is the definition.
 
 Narrow: one pass of mapInArrow, no shuffle. Encoded words stay in a bounded table of the Python worker. A text is taken
-whole, its matches in runs, so memory is bounded by the text and one run. Null and empty texts have no ids.
+whole, its matches in runs, so memory is bounded by the text and one run. Null and empty texts have no ids. Rows that repeat
+get their own rows, an empty table gives an empty one, and other columns may have any names. Pairs of equal rank merge from
+the left. The vocabulary is learnt per worker: a word is replayed once per worker and table, not once per corpus, as joining
+ids back to the documents would cost a shuffle of the texts.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -47,6 +51,8 @@ class MergeReplay:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        #: Of this pattern it is known that no match crosses the start of a word and its space, or a line break that stands alone.
+        self.by_words = pattern == public_tokenizers.PATTERN
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.width = max(self.tokens) + 1
         pairs = []
@@ -198,8 +204,9 @@ class MergeReplay:
 
     def lines(self, text: str) -> list[list[str]] | None:
         """The words of each line, if the only white space is single spaces and line breaks between other characters: then
-        no match crosses the start of a word and its space, or a line break. None for other texts and very long ones."""
-        if len(text) > LONG:
+        no match crosses the start of a word and its space, or a line break. None for other texts and very long ones, and for
+        other patterns than the one of which this is known."""
+        if not self.by_words or len(text) > LONG:
             return None
         words = text.split()
         between = len(words) - 1

@@ -6,7 +6,8 @@ crosses a boundary goes to the section that holds most of its bytes, the earlier
 (lines), each with the line break that ends it, so the counts of a text's sections add up to the count of the text.
 
 Narrow: one pass of mapInArrow, no shuffle. Null and empty texts have one empty section without tokens. Offsets are in
-code points. Documents that repeat give their rows again.
+code points, whole texts of any length. Documents that repeat give their rows again; an empty table gives an empty one; other
+columns may have any names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,12 @@ As the machine is linear in its features, a word has one weight, worked out once
 narrow: one pass of mapInArrow over whole texts. The training sample is bounded: MAX_SAMPLE documents of each class, drawn
 by hash; lang, source and ids are not inputs.
 
-Null and empty texts have no words and get the score of an empty text. Repeated rows get their own rows.
+Word features are not those of a symmetric kernel: they are relative to the landmark's own value alone, so that a long word
+with a landmark inside counts in full; the landmarks' matrix is relative to both. The map is a Nyström map up to that.
+
+Null and empty texts have no words and get the score of an empty text. Very long texts are scored whole. Ties in the choice
+of landmarks go to those that begin a word, then to longer ones, then by code point. Repeated rows get their own rows. An
+empty table gives an empty table, no labels a constant score. Other columns of either table may have any names.
 """
 
 from __future__ import annotations
@@ -273,7 +278,8 @@ def _scorer(packed: bytes, threshold: float):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, modulus: int, held: int, most: int) -> tuple[list[bytes], np.ndarray]:
-    """At most `most` labelled documents of each class that aren't held out, drawn by a hash of the id."""
+    """At most `most` labelled documents of each class that aren't held out, drawn by a hash of the id. Ids that repeat in docs
+    give all their texts, up to four rows a drawn id in all, which keeps the sample bounded."""
     usable = labels.where((crc_mod("doc_id", modulus) != held) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     drawn = [usable.where(F.col("toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most) for y in (0, 1)]
     chosen = drawn[0].union(drawn[1]).toDF("_id", "_toxic")

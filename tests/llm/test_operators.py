@@ -360,3 +360,87 @@ def test_pipeline_stages_brute_force(spark, tmp_path):
     mixed = after(3, apart)
     assert rows(mixed) == sorted(str(r) for r in apart.collect() for _ in range(times[r["doc_id"]]))
     assert rows(after(4, mixed)) == rows(corpus_pipeline.run(spark, DATA))
+
+
+def test_bpe_of_other_patterns(spark):
+    """A pattern whose matches take line breaks along: words must not be cut there."""
+    import tiktoken
+
+    pattern = r" ?[^\s\w]+[\r\n]*|\w+|\s+"
+    coder = byte_bpe.MergeReplay(RANKS, pattern)
+    theirs = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    texts = ["one two.\n\nthree!\nfour", "a b\nc d", "x ;\n y"]
+    found = byte_bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, pattern)
+    assert {r["doc_id"]: r["ids"] for r in found.collect()} == {k: theirs.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
+def test_section_tokens_brute_force(spark):
+    """Token by token and byte by byte: most bytes win, the earlier section on a tie."""
+    import tiktoken
+
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.MergeReplay(RANKS, P.PATTERN).ranks, special_tokens={})
+    texts = ["one two\nthree\n\n\nfour  \n  five", "\n\n\n", "é\n ü\n", "a", "x \n\ty\n\n\n z", "end\n"]
+    found = token_counts.count_section_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, P.PATTERN).collect()
+    for i, text in enumerate(texts):
+        data, section, sections = text.encode(), 0, []
+        for k, b in enumerate(data):
+            sections.append(section)
+            section += b == 10 and k < len(data) - 1
+        counts, crossing, at = collections.Counter(), collections.Counter(), 0
+        for token in theirs.encode_ordinary(text):
+            size = len(theirs.decode_single_token_bytes(token))
+            inside = collections.Counter(sections[at : at + size])
+            best = min(inside, key=lambda s: (-inside[s], s))
+            counts[best] += 1
+            crossing[best] += len(inside) > 1
+            at += size
+        got = {r["section"]: (r["n_tokens"], r["n_crossing"], r["doc_tokens"]) for r in found if r["doc_id"] == i}
+        assert got == {s: (counts[s], crossing[s], sum(counts.values())) for s in range(section + 1)}
+        parts = text.split("\n")
+        ends = np.cumsum([len(p) + 1 for p in parts])[: section + 1].tolist()
+        assert [r["end_char"] for r in sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["section"])] == [min(e, len(text)) for e in ends]
+
+
+def test_inheritance_brute_force(spark):
+    """Random trees: a file without a licence has that of the nearest directory above it with one."""
+    rng = np.random.default_rng(4)
+    says = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", None: "x = 1"}
+    files = {}
+    for _ in range(120):
+        parts = [str(int(v)) for v in rng.integers(0, 3, int(rng.integers(0, 5)))]
+        files["/".join([*parts, "LICENSE" if rng.random() < 0.2 else f"f{int(rng.integers(100))}.py"])] = [*says][int(rng.integers(0, 3))]
+    found = license_scan.scan_licences(spark.createDataFrame([(p, says[x]) for p, x in files.items()], "path string, text string")).collect()
+    gives = {p.rpartition("/")[0]: x for p, x in sorted(files.items()) if x and p.endswith("LICENSE")}
+    gives |= {p.rpartition("/")[0]: x for p, x in sorted(files.items(), reverse=True) if x and not p.endswith("LICENSE") and p.rpartition("/")[0] not in gives}
+    for r in found:
+        folder, want = r["path"].rpartition("/")[0], files[r["path"]]
+        while want is None:
+            if folder in gives:
+                want = gives[folder]
+                break
+            if not folder:
+                break
+            folder = folder.rpartition("/")[0]
+        assert (r["licence"] is None) == (want is None)
+        if files[r["path"]]:
+            assert r["licence"] == files[r["path"]]
+
+
+def test_subsequence_kernel_brute_force():
+    """All common subsequences of four characters, each by the spans that it takes."""
+    import itertools
+
+    def plain(a, b):
+        total = 0.0
+        spots = collections.defaultdict(float)
+        for at in itertools.combinations(range(len(b)), toxicity.ORDER):
+            spots["".join(b[k] for k in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+        for at in itertools.combinations(range(len(a)), toxicity.ORDER):
+            total += spots["".join(a[k] for k in at)] * toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return total
+
+    words, marks = ["^idiot$", "^i.d.iot$", "^abcabc$", "^xy$"], ["^idio", "abca", "diot$"]
+    found = toxicity.subsequence_kernel(words, marks)
+    for i, w in enumerate(words):
+        for k, m in enumerate(marks):
+            assert abs(found[i, k] - plain(w, m)) < 1e-4 * max(1, plain(w, m))
