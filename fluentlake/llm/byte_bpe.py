@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluentlake.llm.shared import text_bytes
+from fluentlake.llm.shared import give_back, text_bytes
 
-#: Encoded words that a worker keeps, in either table; beyond it, the table starts anew.
-MAX_CHUNKS = 400_000
+#: Encoded words that a worker keeps, in either table; beyond it, those stay that were in more than one block.
+MAX_CHUNKS = 120_000
 #: Matches that are handled at once in texts that aren't cut into words.
 RUN = 200_000
 #: Characters from which a text isn't cut into words, but handled in runs of matches.
@@ -69,6 +69,10 @@ class MergeReplay:
         #: Ids of words that follow a space, with that space, and of words that begin a line.
         self.tails: dict[str, tuple[int, ...]] = {}
         self.heads: dict[str, tuple[int, ...]] = {}
+        #: Words of the tables that a later block had too.
+        self.often: tuple[set[str], set[str]] = (set(), set())
+        #: One object for each id, as millions of equal numbers would take more memory than the words.
+        self.numbers = list(range(self.width))
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's concatenation, -1 if it is no token."""
@@ -164,7 +168,7 @@ class MergeReplay:
             left, mid = left[back], at[back]
             enter(np.concatenate([left, here]), self.rank_of(np.concatenate([tokens[left], tokens[here]]), np.concatenate([tokens[mid], tokens[beyond]])), r)
         cuts = np.cumsum(np.bincount(piece_of[live], minlength=len(pieces)))
-        flat = tokens[live].tolist()
+        flat = list(map(self.numbers.__getitem__, tokens[live].tolist()))
         out = [flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
         for k in odd:
             out[k] = self.one(pieces[k])
@@ -187,10 +191,8 @@ class MergeReplay:
 
     def learn(self, tails: set[str], heads: set[str]) -> None:
         """Enters words that follow a space, and words that begin a line, into the tables of known ones."""
-        if len(self.tails) + len(tails) > MAX_CHUNKS:
-            self.tails = {}
-        if len(self.heads) + len(heads) > MAX_CHUNKS:
-            self.heads = {}
+        self.tails = self._kept(self.tails, tails, self.often[0])
+        self.heads = self._kept(self.heads, heads, self.often[1])
         new = list(tails - self.tails.keys())
         matches = self.pattern.findall("".join([" " + x for x in new]))
         first = {x: self.pattern.findall(x) for x in heads - self.heads.keys()}
@@ -202,6 +204,16 @@ class MergeReplay:
         for word, pieces in first.items():
             self.heads[word] = tuple(chain.from_iterable(map(get, pieces)))
 
+    @staticmethod
+    def _kept(table: dict[str, tuple[int, ...]], words: set[str], often: set[str]) -> dict[str, tuple[int, ...]]:
+        """The table to which words are added: where it gets too large, what is often seen, or nothing, stays."""
+        often |= words & table.keys()
+        if len(table) + len(words) <= MAX_CHUNKS:
+            return table
+        found = {w: table[w] for w in often} if len(often) <= MAX_CHUNKS // 2 else {w: table[w] for w in words & table.keys()}
+        often.clear()
+        return found
+
     def lines(self, text: str) -> list[list[str]] | None:
         """The words of each line, if the only white space is single spaces and line breaks between other characters: then
         no match crosses the start of a word and its space, or a line break. None for other texts and very long ones, and for
@@ -314,6 +326,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "
                 encoded.append(ids_hash.hexdigest())
                 decoded.append(data_hash.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            give_back()
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -37,8 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluentlake.llm.shared import mix, span_hashes, spread_join, stored, text_blocks, text_bytes, word_spans
+from fluentlake.llm.shared import give_back, mix, span_hashes, spread_join, stored, text_blocks, text_bytes, word_spans
 
+#: Bytes of texts in a block, and rows with whole texts or sets that a Python worker gets at once.
+BLOCK, ROWS = 1 << 19, 1000
 CELLS = 1 << 20
 CELL_BLOCK = 1 << 14
 #: Bits of a bitmap at least; sets of more shingles have more, by powers of two up to MOST_BITS.
@@ -118,11 +120,12 @@ def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for _, data, bounds in text_blocks(batch, "text"):
+            for _, data, bounds in text_blocks(batch, "text", BLOCK):
                 found = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(data, bounds, n)])
                 counts += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=CELLS)
         parts = [counts[k : k + CELL_BLOCK].astype(np.int32).tobytes() for k in range(0, CELLS, CELL_BLOCK)]
         full = [k for k, p in enumerate(parts) if any(p)]
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[k] for k in full], pa.binary())], ["block", "counts"])
 
     return run
@@ -153,7 +156,7 @@ def _features(n: int, percent: int, level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.frombuffer(level.value, np.uint8)
         for batch in batches:
-            for rows, data, bounds in text_blocks(batch, "text"):
+            for rows, data, bounds in text_blocks(batch, "text", BLOCK):
                 sizes, marks, prefixes, bits = [], [], [], []
                 for found in shingle_sets(data, bounds, n):
                     size = len(found)
@@ -165,6 +168,7 @@ def _features(n: int, percent: int, level):
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), lists, pa.array(bits, pa.binary())], ["doc_id", "n", "mark", "prefix", "bits"])
+        give_back()
 
     return run
 
@@ -172,10 +176,11 @@ def _features(n: int, percent: int, level):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, bounds in text_blocks(batch, "text"):
+            for rows, data, bounds in text_blocks(batch, "text", BLOCK):
                 found = list(shingle_sets(data, bounds, n))
                 marks, items = [set_mark(x) for x in found], [x.tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(marks, pa.binary()), pa.array(items, pa.binary())], ["id", "mark", "items"])
+        give_back()
 
     return run
 
@@ -189,6 +194,7 @@ def _verify(percent: int):
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     return run
 
@@ -328,6 +334,7 @@ def _window_pairs(percent: int):
             rest = rows.slice(cut)
         if rest is not None and len(rest):
             yield compare(rest)
+        give_back()
 
     return run
 
@@ -364,10 +371,10 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str)
     """The pairs (a, b) of document ids whose whole sets link. Only texts on a pair are read again."""
     pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(n), "id long, mark binary, items binary"), f"{name}-sets")
+    sets = stored(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(n), "id long, mark binary, items binary"), f"{name}-sets", batch=ROWS)
     sets = sets.dropDuplicates(["id", "mark"])
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return stored(found.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
+    return stored(found.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links", batch=ROWS)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -375,7 +382,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     level = spark.sparkContext.broadcast(commonness(texts, n).tobytes())
-    rows = stored(texts.mapInArrow(_features(n, percent, level), "doc_id long, n long, mark binary, prefix array<long>, bits binary"), "features")
+    rows = stored(texts.mapInArrow(_features(n, percent, level), "doc_id long, n long, mark binary, prefix array<long>, bits binary"), "features", batch=ROWS)
 
     linkable = rows.where("n > 0 and doc_id is not null")
     # Equal sets have equal prefixes and bitmaps, so any row's will do.

@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from fluentlake.llm.quality_rules import covered_words
-from fluentlake.llm.shared import SPACE, mix, span_hashes, sums_between, text_blocks, text_bytes, word_spans
+from fluentlake.llm.shared import SPACE, give_back, mix, span_hashes, sums_between, text_blocks, text_bytes, word_spans
 
 MAX_SAMPLE = 3000
 BUCKETS = 1 << 13
@@ -172,6 +172,7 @@ def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, bounds in text_blocks(batch, "text", BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array(codes(votes(data, bounds)), pa.int64())], ["pattern"])
+        give_back()
 
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +187,17 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(codes(votes(data, bounds)), pa.int64()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["draw", "pattern", "at", "x"])
 
 
-def _scorer(weights: np.ndarray, bias: float, posterior: np.ndarray, threshold: float, names: list[str]):
+def _scorer(weights: np.ndarray, bias: float, posterior: np.ndarray, threshold: float, names: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector, own = weights.astype(np.float32), len(names) - 4
         for batch in batches:
-            for rows, data, bounds in text_blocks(batch, "text", BLOCK):
+            for rows, data, bounds in text_blocks(batch, text, BLOCK):
                 z = np.concatenate([x @ vector for x in feature_runs(data, bounds)]).astype(np.float64) + bias
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 code = codes(votes(data, bounds))
                 keep = [batch.column(k)[rows] for k in range(own)]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(score), pa.array(score >= threshold), pa.array(code, pa.int64()), pa.array(posterior[code])], names)
+            give_back()
 
     return run
 
@@ -223,8 +225,10 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     names = [f"c{k}" for k in range(len(docs.columns))]
     verdict = [StructField("score", DoubleType()), StructField("kept", BooleanType()), StructField("votes", LongType()), StructField("posterior", DoubleType())]
     schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), *verdict])
-    read = docs.toDF(*names).select("*", text_bytes(names[docs.columns.index(text)]).alias("text"))
-    return read.mapInArrow(_scorer(weights, bias, posterior, threshold, schema.names), schema)
+    read, at = docs.toDF(*names), names[docs.columns.index(text)]
+    if isinstance(schema[at].dataType, StringType):  # a null has no bytes, as an empty text
+        return read.mapInArrow(_scorer(weights, bias, posterior, threshold, schema.names, at), schema)
+    return read.select("*", text_bytes(at).alias("text")).mapInArrow(_scorer(weights, bias, posterior, threshold, schema.names, "text"), schema)
 
 
 def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, most: int = MAX_SAMPLE) -> DataFrame:

@@ -6,6 +6,8 @@ of the text, as no byte of a longer UTF-8 sequence is below 0x80; ``bytes.lower`
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -78,11 +80,19 @@ def delete_since(spark: SparkSession, mark: int, keep: tuple[str, ...] = ()) ->
     delete(spark, gone)
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage so that it survives lost executors."""
+def stored(df: DataFrame, name: str, compression: str = "snappy", batch: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts the lineage so that it survives lost executors. batch: rows
+    that go to a Python worker at once, where rows are long."""
     spark = df.sparkSession
     schema = df.schema
-    df.write.parquet(path := scratch(spark, name), compression=compression)
+    path, setting = scratch(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        if batch:
+            spark.conf.set(setting, min(batch, int(before)) if int(before) > 0 else batch)
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -106,6 +116,13 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     return rows.join(large, on).unionByName(rest.join(groups.where(~hot), on))
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system: a Python worker lives on beside the JVM and the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- numpy over blocks of texts -------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240101)
@@ -179,7 +196,8 @@ def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def text_blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Runs of rows of a batch whose texts have about `most` bytes (a longer text alone): rows, bytes, bounds."""
     col = batch.column(batch.schema.get_field_index(column))
-    col = col if pa.types.is_large_binary(col.type) else col.cast(pa.large_binary())
+    if not pa.types.is_large_binary(col.type):
+        col = col.cast(pa.large_string() if pa.types.is_string(col.type) else pa.large_binary())
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] else np.zeros(0, np.uint8)
     k = 0
