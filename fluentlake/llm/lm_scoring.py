@@ -1,20 +1,28 @@
 """Op 3: language-model scores by a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-Tokens are words and one end per text. Counts are of all training tokens, and exact. The model predicts a token's class
-from the `context` tokens before it, and the token in its class from the counts: log10 P = log10 P(class | context) +
-log10((c + 1) / mass of the class). The most common words and the end are classes of their own; other words share classes
-by the size of their count and the end of the word, unknown words with those of count 1. Classes are few, so a matrix
-product of a batch of predicted vectors with all class vectors gives the normalised probabilities.
+Tokens are words and one end per text. Counts are of all training tokens, and exact. The model is a tree: it predicts a
+token's class from the `context` tokens before it, then the token's group within the class, then the token within the
+group, each by a softmax over the children of one node: log P = log P(class | context) + log P(group | class, context) +
+log P(token | group, context). The most common words and the end are classes of their own; other words share classes by
+the size of their count and the end of the word, unknown words with those of count 1. Every word of count 7 or more has a
+vector of its own, so the vocabulary with vectors grows with the corpus; groups have about GROUP words, and a class as many
+groups as it needs. The rarer words of a class follow its counts: log10((c + 1) / mass of the class). A context is the
+classes of the tokens before. A matrix product of a batch of predicted vectors with the vectors of a node's children
+gives the normalised probabilities.
 
 1. Blocks of texts are encoded with a dictionary of their own: a row per document (numbers of its words, common words
    first, compressed) and a row per distinct word of the block (its training count there). This is written once.
 2. Counts per word are summed, and joined back to the blocks' dictionaries, but for words with count 1, whose class
    follows from how they end; each block's documents meet their dictionary by a cogroup, whose groups are bounded by the
-   block. Nothing that grows with the corpus is broadcast.
-3. Each training round, every task trains on the documents that it reads, from the same start, and the parameters are
-   averaged by tokens, in two levels. All training documents take part.
-4. Scores, batch by batch.
-
+   block. It writes a row per document and, for each node, the tokens of the block that pass it. Nothing that grows with
+   the corpus is broadcast.
+3. Each training round of the model of classes, every task trains on the documents that it reads, from the same start, and
+   the parameters are averaged by tokens, in two levels. All training documents take part. Then tokens are dealt by node and
+   part of a node (a part has about PART_TOKENS), and each node learns the vectors of its children, with the classes' vectors
+   as contexts; nodes of several parts are averaged as before. A task holds one node at a time.
+4. Scores of the tokens of each node, summed per document, meet those of the classes by block.
+
+Scores depend on how the input is split among tasks, as training does; with the same split reruns agree up to rounding.
 Null text counts as empty, a null id as an empty one. Repeated rows count and are scored again.
 """
 
@@ -26,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluentlake.llm.shared import crc_mod, stored, text_bytes
@@ -36,6 +44,12 @@ COMMON, BY_COUNT, BY_END = 195, 6, 10
 CLASSES = 1 + COMMON + BY_COUNT * BY_END
 CONTEXT, WIDTH, NOISE, BATCH = 3, 24, 64, 2048
 BLOCK_BYTES = 1 << 22
+#: Words with vectors of their own within a class (those of count 7 or more), the size of their groups, the tokens of a node
+#: that one task trains on at a time, and the start of AdaGrad's sums.
+VECTORS = f"cls >= {1 + COMMON + 2 * BY_END}"
+GROUP, PART_TOKENS, NODE_BATCH, DAMPING = 256, 1 << 22, 1024, 4.0
+_TOKEN = 8 + 2 * CONTEXT
+_MEAN = "node long, n long, children long, params binary"
 _BLOCKS = "block long, doc_id long, held_out boolean, ids binary, ends binary, idx int, word binary, count long"
 
 
@@ -84,22 +98,57 @@ def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             number += 1
 
 
-def _score_counts(total: float, mass: np.ndarray):
-    """For a block: its documents and its dictionary with corpus counts and classes."""
+def planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes first, then the next ones: the high bytes are mostly alike, so this compresses well."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def tokens_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents (places in the block), children and contexts of the tokens of a node; see _score_counts."""
+    data = np.frombuffer(raw, np.uint8).reshape(_TOKEN, -1).T
+    pick = lambda at, end, kind: np.ascontiguousarray(data[:, at:end]).view(kind)
+    return pick(0, 4, "<i4").ravel(), pick(4, 8, "<i4").ravel(), pick(8, _TOKEN, "<u2")
+
+
+def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_parts: np.ndarray):
+    """For a block: its documents and its dictionary with corpus counts, classes and places of the words in their groups.
+    A row per document, and one per node of the tree and side of the split with the tokens that pass it."""
 
     def run(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
+        block, n = key[0].as_py(), len(docs)
         ends = np.frombuffer(zstandard.decompress(next(x for x in docs.column("ends").to_pylist() if x is not None)), np.uint8)
-        c, cls = np.ones(len(ends), np.int64), 1 + COMMON + ends  # as words with count 1, which have no row
+        c, cls = np.ones(len(ends), np.int64), (1 + COMMON + ends).astype(np.uint8)  # as words with count 1, which have no row
         at = words.column("idx").to_numpy()
         c[at], cls[at] = words.column("c").to_numpy(), words.column("cls").to_numpy()
+        group, slot, parts = np.full(len(ends), -1, np.int64), np.zeros(len(ends), np.int32), np.ones(len(ends), np.int64)
+        group[at], slot[at], parts[at] = (words.column(x).to_numpy() for x in ("grp", "slot", "parts"))
         base = np.log10((c + 1) / total)
-        within = np.log10((c + 1) / mass[cls])
+        within = np.where(group < 0, np.log10((c + 1) / mass[cls]), 0)
+        texts = [unpack(raw) for raw in docs.column("ids").to_pylist()]
         out: list[list] = [[] for _ in range(5)]
-        for raw in docs.column("ids").to_pylist():
-            ids = unpack(raw)
+        for ids in texts:
             for column, value in zip(out, (len(ids), int((c[ids] > 0).sum()), float(base[ids].sum()), float(within[ids].sum()), cls[ids].tobytes()), strict=True):
                 column.append(value)
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "within": pa.array(out[3], pa.float64()), "classes": pa.array(out[4], pa.binary())})
+        rows = pa.table({"block": np.full(n, block), "pos": pa.array(np.arange(n), pa.int32()), "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "within": pa.array(out[3], pa.float64()), "classes": pa.array(out[4], pa.binary()), "node": pa.nulls(n, pa.int64()), "part": pa.nulls(n, pa.int32()), "data": pa.nulls(n, pa.binary())})
+
+        seen = np.concatenate([contexts(part)[0].astype("<u2") for _, part in _runs(rows.column("classes").combine_chunks())])
+        tokens, doc = np.concatenate(texts), np.repeat(np.arange(n, dtype=np.int32), out[0])
+        places = np.flatnonzero(group[tokens] >= 0)
+        word = tokens[places]
+        inner = groups[cls[word]] > 1  # classes of several groups have a node that predicts the group
+        k = cls[word].astype(np.int64)
+        node = np.concatenate([(k << 40) + group[word] + 1, k[inner] << 40])
+        child = np.concatenate([slot[word], group[word][inner].astype(np.int32)])
+        of = np.concatenate([parts[word], class_parts[k[inner]]])
+        places = np.concatenate([places, places[inner]])
+        side = node * 2 + np.asarray(docs.column("held_out"), np.int64)[doc[places]]
+        order = np.argsort(side, kind="stable")
+        cuts = np.flatnonzero(np.diff(side[order], prepend=-1))
+        first, number = order[cuts], zlib.crc32(b"%d" % block)
+        data = [planes(doc[places[x]]) + planes(child[x]) + planes(seen[places[x]]) for x in np.split(order, cuts[1:])] if len(cuts) else []
+        m, nothing = len(cuts), lambda kind: pa.nulls(len(cuts), kind)
+        more = pa.table({"block": np.full(m, block), "pos": nothing(pa.int32()), "doc_id": nothing(pa.int64()), "held_out": (side[first] & 1).astype(bool), "n_tokens": nothing(pa.int64()), "n_known": nothing(pa.int64()), "base_score": nothing(pa.float64()), "within": nothing(pa.float64()), "classes": nothing(pa.binary()), "node": node[first], "part": pa.array(number % of[first], pa.int32()), "data": pa.array(data, pa.binary())})
+        return pa.concat_tables([rows, more])
 
     return run
 
@@ -216,25 +265,129 @@ def _sum_params(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"salt": pa.array([0], pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "params": pa.array([total.tobytes()], pa.binary())})
 
 
-def _score(share: np.ndarray, params: np.ndarray):
+class Node:
+    """The children of a node of the tree: vectors and biases, which begin as the counts have it. The context's predicted
+    vector comes from the model of classes."""
+
+    def __init__(self, counts: np.ndarray, params: bytes | None = None):
+        n = len(counts)
+        self.share = (counts + 1e-3) / (counts + 1e-3).sum()
+        self.flat = np.concatenate([np.zeros(n * WIDTH), np.log(self.share)]).astype(np.float32) if params is None else np.frombuffer(params, np.float32)
+        self.target, self.bias = self.flat[: n * WIDTH].reshape(n, WIDTH), self.flat[n * WIDTH :]
+        self.state = np.full(len(self.flat), DAMPING, np.float32)
+
+    def log_probabilities(self, q: np.ndarray, child: np.ndarray) -> np.ndarray:
+        scores = q @ self.target.T + self.bias
+        scores -= scores.max(axis=1)[:, None]
+        picked = scores[np.arange(len(child)), child]
+        np.exp(scores, out=scores)
+        return picked - np.log(scores.sum(axis=1))
+
+    def train(self, q: np.ndarray, child: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+        """A step of noise-contrastive estimation (AdaGrad); a word's first steps are short, as the state begins at DAMPING."""
+        n = len(self.share)
+        noise = rng.choice(n, NOISE, p=self.share)
+        log_share = np.log(self.share * NOISE).astype(np.float32)
+        real = np.einsum("bd,bd->b", q, self.target.take(child, axis=0)) + self.bias[child] - log_share[child]
+        fake = q @ self.target[noise].T + (self.bias[noise] - log_share[noise])
+        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+        down = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+        grad = np.zeros_like(self.flat)
+        g_target, g_bias = grad[: n * WIDTH].reshape(n, WIDTH), grad[n * WIDTH :]
+        g_target += _sum_rows(child, up[:, None] * q, n)
+        np.add.at(g_target, noise, down.T @ q)
+        g_bias += np.bincount(child, up, n) + np.bincount(noise, down.sum(axis=0), n)
+        self.state += grad * grad
+        self.flat += rate * grad / np.sqrt(self.state)
+
+
+def _train_nodes(share: np.ndarray, params: np.ndarray, rate: float):
+    """Rows come by node and part, the counts of its children first. Tokens are taken in batches across blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBilinear(share, params)
-        at = {name: k for k, name in enumerate(["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes"])}
+        base, at, node, size, held = LogBilinear(share, params), None, None, 0, []
+
+        def step() -> int:
+            child, seen = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.random.default_rng(len(child)).permutation(len(child))
+            for k in range(0, len(order), NODE_BATCH):
+                some = order[k : k + NODE_BATCH]
+                node.train(base.predicted(seen[some]), child[some], rate, rng)
+            return len(child)
+
+        def done() -> pa.RecordBatch:
+            n = size + (step() if held else 0)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([len(node.share)], pa.int64()), pa.array([node.flat.tobytes()], pa.binary())], ["node", "part", "n", "children", "params"])
+
         for batch in batches:
-            found = np.zeros(len(batch))
-            for begin, part in _runs(batch.column(at["classes"])):
-                seen, targets, bounds = contexts(part)
-                logs = np.concatenate([model.log_probabilities(seen[k : k + BATCH], targets[k : k + BATCH]) for k in range(0, len(targets), BATCH)])
-                found[begin : begin + len(part)] = np.add.reduceat(logs.astype(np.float64), bounds[:-1]) / np.log(10)
-            scores = found + batch.column(at["within"]).to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(scores)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            for key, part, places, counts, data in zip(*(batch.column(k) for k in range(5)), strict=True):
+                if data.as_py() is None:
+                    if node is not None:
+                        yield done()
+                    at, size, rng, places = (key.as_py(), part.as_py()), 0, np.random.default_rng(11), np.array(places.as_py())
+                    of = np.zeros(places.max() + 1)
+                    of[places] = counts.as_py()
+                    node = Node(of)
+                else:
+                    held.append(tokens_of(data.as_py())[1:])
+                    if sum(len(x) for x, _ in held) >= 16 * NODE_BATCH:
+                        size += step()
+        if node is not None:
+            yield done()
 
     return run
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, rates: tuple[float, ...] = (0.1, 0.03)) -> DataFrame:
+def _mean_params(key: tuple, table: pa.Table) -> pa.Table:
+    n = table.column("n").to_numpy() + 1
+    total = sum(np.frombuffer(x, np.float32).astype(np.float64) * w for x, w in zip(table.column("params").to_pylist(), n, strict=True))
+    return pa.table({"node": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "children": table.column("children")[:1], "params": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
+def _score_nodes(share: np.ndarray, params: np.ndarray):
+    """Rows come by node and part, its parameters first: sums of log10 probabilities per document of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, node = LogBilinear(share, params), None
+        for batch in batches:
+            found: list[tuple] = []
+            for block, children, learnt, data in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if data.as_py() is None:
+                    node = Node(np.ones(children.as_py()), learnt.as_py())
+                    continue
+                doc, child, seen = tokens_of(data.as_py())
+                logs = np.concatenate([node.log_probabilities(base.predicted(seen[k : k + BATCH]), child[k : k + BATCH]) for k in range(0, len(doc), BATCH)])
+                begin = np.flatnonzero(np.diff(doc, prepend=-1))  # documents ascend
+                found.append((block.as_py(), doc[begin].tobytes(), (np.add.reduceat(logs.astype(np.float64), begin) / np.log(10)).astype(np.float32).tobytes()))
+            columns = list(zip(*found, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["block", "pos", "logs"])
+
+    return run
+
+
+def _score(share: np.ndarray, params: np.ndarray):
+    """For a block: its documents, and what the nodes of the tree add to them."""
+
+    def run(key: tuple, docs: pa.Table, sums: pa.Table) -> pa.Table:
+        model, found = LogBilinear(share, params), np.zeros(len(docs))
+        for begin, part in _runs(docs.column("classes").combine_chunks()):
+            seen, targets, bounds = contexts(part)
+            logs = np.concatenate([model.log_probabilities(seen[k : k + BATCH], targets[k : k + BATCH]) for k in range(0, len(targets), BATCH)])
+            found[begin : begin + len(part)] = np.add.reduceat(logs.astype(np.float64), bounds[:-1]) / np.log(10)
+        more = np.zeros(len(docs))
+        for pos, logs in zip(sums.column("pos").to_pylist(), sums.column("logs").to_pylist(), strict=True):
+            more[np.frombuffer(pos, "<i4")] += np.frombuffer(logs, np.float32)
+        scores = found + more[docs.column("pos").to_numpy()] + docs.column("within").to_numpy()
+        return pa.table({c: docs.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")} | {"score": pa.array(scores)})
+
+    return run
+
+
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, rates: tuple[float, ...] = (0.1, 0.03), node_rate: float = 0.1) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Documents whose
-    crc32(id) modulo `modulus` is `held` are held out. rates: the learning rate of each round."""
+    crc32(id) modulo `modulus` is `held` are held out. rates: the learning rate of each round over the model of classes;
+    node_rate: that of the one round over the nodes below them."""
     spark = docs.sparkSession
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (crc_mod(doc_id, modulus) == held).alias("held_out"), text_bytes(text).alias("text"))
     blocks = stored(read.mapInArrow(_encode_blocks, _BLOCKS), "blocks", "zstd")
@@ -254,17 +407,50 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     mass = np.maximum(mass, 1)
     share = seen / seen.sum()
 
-    dictionary = words.join(classed.where(f"c != 1 or cls <= {COMMON}"), "word").select("block", "idx", "c", "cls")
+    # words with vectors: groups within their classes by hash, a place in the group, and how many parts train it
+    classes = np.arange(CLASSES)
+    members, tokens = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for r in classed.where(VECTORS).groupBy("cls").agg(F.count("*").alias("n"), F.sum("c").alias("tokens")).collect():
+        members[r["cls"]], tokens[r["cls"]] = r["n"], r["tokens"]
+    groups, class_parts = np.maximum(1, -(-members // GROUP)), 1 + tokens // PART_TOKENS
+    by_class = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cls") + 1)
+    in_group = Window.partitionBy("cls", "grp")
+    own = classed.where(VECTORS).withColumn("grp", F.crc32("word") % by_class(groups))
+    own = own.withColumn("slot", F.row_number().over(in_group.orderBy("word")) - 1).withColumn("parts", F.floor(F.sum("c").over(in_group) / PART_TOKENS) + 1)
+    own = stored(own.select("word", "c", "cls", "grp", "slot", "parts"), "vectors", "zstd")
+    by_counts = classed.where(f"not ({VECTORS}) and (c != 1 or cls <= {COMMON})").select("word", "c", "cls", F.lit(-1).cast("long").alias("grp"), F.lit(0).alias("slot"), F.lit(1).cast("long").alias("parts"))
+    dictionary = words.join(own.unionByName(by_counts), "word").select("block", "idx", "c", "cls", "grp", "slot", "parts")
     documents = blocks.where("ids is not null").select((F.col("block") + 0).alias("doc_block"), "doc_id", "held_out", "ids", "ends")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
-    ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass), schema), "classes", "zstd")
+    schema = "block long, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary, node long, part int, data binary"
+    ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass, groups, class_parts), schema), "classes", "zstd")
+    docs_ready, passing = ready.where("node is null"), ready.where("node is not null")
 
+    # the model of classes, by all tasks
     params = None
     for rate in rates:
-        learnt = ready.where("not held_out").select("classes").mapInArrow(_train(share, params, rate), "n long, params binary")
+        learnt = docs_ready.where("not held_out").select("classes").mapInArrow(_train(share, params, rate), "n long, params binary")
         level = learnt.withColumn("salt", F.spark_partition_id() % 32).groupBy("salt").applyInArrow(_sum_params, "salt int, n long, params binary")
         if found := level.groupBy("salt").applyInArrow(_sum_params, "salt int, n long, params binary").collect():
             params = np.frombuffer(found[0]["params"], np.float64) / found[0]["n"]
     params = LogBilinear(share).flat if params is None else params
-    scored = ready.mapInArrow(_score(share, params), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+    # the nodes below the classes, each by the tasks that have its parts
+    listed = lambda child: F.array_sort(F.collect_list(F.struct(child, "c")))
+    words_of = own.groupBy("cls", "grp").agg(listed("slot").alias("x"), F.first("parts").alias("parts")).select((F.shiftleft(F.col("cls").cast("long"), 40) + F.col("grp") + 1).alias("node"), "parts", F.col("x.slot").cast("array<long>").alias("at"), F.col("x.c").alias("counts"))
+    sizes = own.groupBy("cls", "grp").agg(F.sum("c").alias("c")).where(by_class(groups) > 1)
+    groups_of = sizes.groupBy("cls").agg(listed("grp").alias("x")).select(F.shiftleft(F.col("cls").cast("long"), 40).alias("node"), by_class(class_parts).cast("long").alias("parts"), F.col("x.grp").alias("at"), F.col("x.c").alias("counts"))
+    each_part = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part")
+    heads = stored(words_of.unionByName(groups_of).select("node", each_part, "parts", "at", "counts"), "heads", "zstd")
+    sent = heads.select("node", "part", "at", "counts", F.lit(None).cast("binary").alias("data"), F.lit(-1).cast("long").alias("block"))
+    train = sent.unionByName(passing.where("not held_out").select("node", "part", "data", "block"), allowMissingColumns=True)
+    dealt = lambda rows, *columns: rows.repartition("node", "part").sortWithinPartitions("node", "part", "block").select(*columns)
+    first = stored(dealt(train, "node", "part", "at", "counts", "data").mapInArrow(_train_nodes(share, params, node_rate), "node long, part int, n long, children long, params binary"), "nodes", "zstd")
+    split = heads.where("parts > 1").select("node", "part")
+    several = first.join(split, ["node", "part"], "left_semi")
+    halfway = several.groupBy("node", (F.col("part") % 64).alias("salt")).applyInArrow(_mean_params, _MEAN)
+    averaged = halfway.groupBy("node").applyInArrow(_mean_params, _MEAN).join(split, "node").select("node", "part", "children", "params")
+    models = first.join(split, ["node", "part"], "left_anti").select("node", "part", "children", "params").unionByName(averaged)
+    score = models.select("node", "part", "children", "params", F.lit(None).cast("binary").alias("data"), F.lit(-1).cast("long").alias("block")).unionByName(passing.select("node", "part", "data", "block"), allowMissingColumns=True)
+    sums = dealt(score, "block", "children", "params", "data").mapInArrow(_score_nodes(share, params), "block long, pos binary, logs binary")
+    scored = docs_ready.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_score(share, params), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(told["n"]).cast("long").alias("train_tokens"), "base_score", "score")
