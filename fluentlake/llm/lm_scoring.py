@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluentlake.llm.shared import crc_mod, stored, text_bytes
+from fluentlake.llm.shared import crc_mod, delete_between, made, stored, text_bytes
 
 #: Words that are classes of their own, and classes of all others: by count (6) and by the word's last two bytes (10).
 COMMON, BY_COUNT, BY_END = 195, 6, 10
@@ -99,13 +99,13 @@ def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """All lowest bytes first, then the next ones: the high bytes are mostly alike, so this compresses well."""
+    """All lowest bytes first, then the next ones: the high bytes are mostly alike."""
     return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
 
 
 def tokens_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents (places in the block), children and contexts of the tokens of a node; see _score_counts."""
-    data = np.frombuffer(raw, np.uint8).reshape(_TOKEN, -1).T
+    data = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(_TOKEN, -1).T
     pick = lambda at, end, kind: np.ascontiguousarray(data[:, at:end]).view(kind)
     return pick(0, 4, "<i4").ravel(), pick(4, 8, "<i4").ravel(), pick(8, _TOKEN, "<u2")
 
@@ -145,7 +145,8 @@ def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_part
         order = np.argsort(side, kind="stable")
         cuts = np.flatnonzero(np.diff(side[order], prepend=-1))
         first, number = order[cuts], zlib.crc32(b"%d" % block)
-        data = [planes(doc[places[x]]) + planes(child[x]) + planes(seen[places[x]]) for x in np.split(order, cuts[1:])] if len(cuts) else []
+        press = zstandard.ZstdCompressor(level=1).compress
+        data = [press(planes(doc[places[x]]) + planes(child[x]) + planes(seen[places[x]])) for x in np.split(order, cuts[1:])] if len(cuts) else []
         m, nothing = len(cuts), lambda kind: pa.nulls(len(cuts), kind)
         more = pa.table({"block": np.full(m, block), "pos": nothing(pa.int32()), "doc_id": nothing(pa.int64()), "held_out": (side[first] & 1).astype(bool), "n_tokens": nothing(pa.int64()), "n_known": nothing(pa.int64()), "base_score": nothing(pa.float64()), "within": nothing(pa.float64()), "classes": nothing(pa.binary()), "node": node[first], "part": pa.array(number % of[first], pa.int32()), "data": pa.array(data, pa.binary())})
         return pa.concat_tables([rows, more])
@@ -388,11 +389,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Documents whose
     crc32(id) modulo `modulus` is `held` are held out. rates: the learning rate of each round over the model of classes;
     node_rate: that of the one round over the nodes below them."""
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, made()
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (crc_mod(doc_id, modulus) == held).alias("held_out"), text_bytes(text).alias("text"))
     blocks = stored(read.mapInArrow(_encode_blocks, _BLOCKS), "blocks", "zstd")
     words = blocks.where("word is not null").select("block", "idx", "word", "count")
     counts = stored(words.groupBy("word").agg(F.sum("count").alias("c")), "counts", "zstd")
+    encoded = made()
     told = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     top = [r["word"] for r in counts.where("word != X'' and c > 0").orderBy(F.desc("c"), "word").limit(COMMON).select("word").collect()]
     own = spark.createDataFrame([(b"", 0), *((bytes(w), k + 1) for k, w in enumerate(top))], "word binary, own int")
@@ -423,6 +425,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     documents = blocks.where("ids is not null").select((F.col("block") + 0).alias("doc_block"), "doc_id", "held_out", "ids", "ends")
     schema = "block long, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary, node long, part int, data binary"
     ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass, groups, class_parts), schema), "classes", "zstd")
+    delete_between(spark, mark, encoded)  # no later plan reads the encoded blocks and the counts
     docs_ready, passing = ready.where("node is null"), ready.where("node is not null")
 
     # the model of classes, by all tasks

@@ -80,6 +80,13 @@ def delete_since(spark: SparkSession, mark: int, keep: tuple[str, ...] = ()) ->
     delete(spark, gone)
 
 
+def delete_between(spark: SparkSession, begin: int, end: int) -> None:
+    """Deletes the scratch tables made between two marks; see made. Later marks move down."""
+    gone = _made[begin:end]
+    del _made[begin:end]
+    delete(spark, gone)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy", batch: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage so that it survives lost executors. batch: rows
     that go to a Python worker at once, where rows are long."""
