@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluentlake.llm.shared import crc_mod, delete_between, made, stored, text_bytes
+from fluentlake.llm.shared import crc_mod, delete_between, made, release, stored, text_bytes
 
 #: Words that are classes of their own, and classes of all others: by count (6) and by the word's last two bytes (10).
 COMMON, BY_COUNT, BY_END = 195, 6, 10
@@ -395,6 +395,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     words = blocks.where("word is not null").select("block", "idx", "word", "count")
     counts = stored(words.groupBy("word").agg(F.sum("count").alias("c")), "counts", "zstd")
     encoded = made()
+    release(spark)
     told = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     top = [r["word"] for r in counts.where("word != X'' and c > 0").orderBy(F.desc("c"), "word").limit(COMMON).select("word").collect()]
     own = spark.createDataFrame([(b"", 0), *((bytes(w), k + 1) for k, w in enumerate(top))], "word binary, own int")
@@ -426,6 +427,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     schema = "block long, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary, node long, part int, data binary"
     ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass, groups, class_parts), schema), "classes", "zstd")
     delete_between(spark, mark, encoded)  # no later plan reads the encoded blocks and the counts
+    del blocks, words, counts, classed, dictionary, documents
+    release(spark)
     docs_ready, passing = ready.where("node is null"), ready.where("node is not null")
 
     # the model of classes, by all tasks
