@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import os
 import tempfile
 import uuid
@@ -88,13 +87,6 @@ def delete_between(spark: SparkSession, begin: int, end: int) -> None:
     delete(spark, gone)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any longer: it acts on the driver's
-    collections of garbage, which may be far apart. For plans whose result is stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame, name: str, compression: str = "snappy", batch: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage so that it survives lost executors. batch: rows
     that go to a Python worker at once, where rows are long."""
