@@ -12,9 +12,12 @@ result, only the work differs), then by hash.
 3. Completion: only lists whose members are still in different components are looked at again, one of those with the
    same members. All pairs of different
    components and fitting sizes in such a list are filtered by parity bitmaps, in blocks, an upper bound of the overlap
-   that drops no true pair; a pair that is in many lists belongs to the first of them; survivors are verified on whole sets. Lists of up to CHUNK members are sorted by size
+   that drops no true pair; a pair that is in many lists belongs to the first of them. Lists of up to CHUNK members are sorted by size
    and compared many at once, each member with those that follow and are not too large. A longer list is cut into chunks
    of bounded size, and pairs of chunks are separate groups, so no list is collected into one task.
+   The members on a pair that is left meet their whole sets, and the pairs of a list (or pair of chunks) are verified
+   where its members are. Only links that join components there go out, fewer than members: pairs, of which a large group
+   has very many, never are rows.
 4. Connected components by large-star and small-star steps over DataFrames.
 
 A class may have a third of all rows: it is one row from the first aggregate on, and its rows get their component by a join
@@ -49,10 +52,14 @@ LEAST_BITS, MOST_BITS = 256, 4096
 CHUNK = 1024
 #: Lists by which a pair that is in many lists is told apart: the first ones of each member.
 HEADS = 8
+#: Shingles of a chunk whose whole sets are compared (or one set, if larger).
+SHINGLES = 1 << 20
 #: Pairs of a pair of chunks that are compared at once.
 MATRIX = 1 << 14
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
+_COLUMNS = ["token", "within", "id", "n", "bits", "comp", "heads"]
+_MEMBER = "token long, within int, id long, n long, bits binary, comp long, heads array<long>"
 _PLACES = mix(np.arange(1, 5, dtype=np.uint64))
 
 
@@ -232,8 +239,8 @@ def first_lists(table: pa.Table):
     return mine
 
 
-def _chunk_pairs(percent: int):
-    """For a pair of chunks of one posting list: the pairs of different components that sizes and bitmaps allow."""
+def _chunk_members(percent: int):
+    """For a pair of chunks of one posting list: the members on a pair of different components that sizes and bitmaps allow."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, comps, sizes = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
@@ -243,7 +250,7 @@ def _chunk_pairs(percent: int):
         raw = table.column("bits").to_pylist()
         widths = np.array([len(x) for x in raw])
         mine, token = first_lists(table), key[0].as_py()
-        out_a, out_b = [], []
+        on = np.zeros(len(table), bool)
         for wa in np.unique(widths[left]):
             for wb in np.unique(widths[right]):
                 la, rb, width = left[widths[left] == wa], right[widths[right] == wb], int(min(wa, wb))
@@ -259,20 +266,18 @@ def _chunk_pairs(percent: int):
                     good = may_link(sizes[la[i]], bits_a[i], sizes[rb[j]], bits_b[j], percent)
                     i, j = la[i[good]], rb[j[good]]
                     good = mine(i, j, token)
-                    out_a.append(ids[i[good]])
-                    out_b.append(ids[j[good]])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (out_a, out_b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                    on[i[good]] = on[j[good]] = True
+        return table.select(_COLUMNS).filter(pa.array(on))
 
     return run
 
 
-def _window_pairs(percent: int):
-    """As _chunk_pairs, for rows sorted by list, size and id: whole lists of CHUNK members at most, many of them at once.
+def _window_members(percent: int):
+    """As _chunk_members, for rows sorted by list, size and id: whole lists of CHUNK members at most, many of them at once.
     Each member meets the next one, the next but one and so on, as long as list and sizes fit."""
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        ids, comps, sizes = (rows.column(c).to_numpy() for c in ("id", "comp", "n"))
+    def compare(rows: pa.Table) -> pa.Table:
+        comps, sizes = (rows.column(c).to_numpy() for c in ("comp", "n"))
         same = np.zeros(len(rows), bool)
         for c in ("token", "within"):
             x = rows.column(c).to_numpy()
@@ -293,7 +298,7 @@ def _window_pairs(percent: int):
                 folded[width] = np.concatenate([fold(own[w], width) for w in wider]).view(np.uint64), place
             return folded[width]
 
-        out, mine, tokens = [], first_lists(rows), rows.column("token").to_numpy()
+        on, mine, tokens = np.zeros(len(rows), bool), first_lists(rows), rows.column("token").to_numpy()
 
         def check(i: np.ndarray, j: np.ndarray) -> None:
             least = np.minimum(widths[i], widths[j])
@@ -305,7 +310,7 @@ def _window_pairs(percent: int):
                     good = may_link(sizes[p], bits[place[p]], sizes[q], bits[place[q]], percent)
                     p, q = p[good], q[good]
                     good = mine(p, q, tokens[p])
-                    out.append((ids[p[good]], ids[q[good]]))
+                    on[p[good]] = on[q[good]] = True
 
         waiting, held, near, step = [], 0, np.arange(len(rows)), 1
         while len(near):
@@ -318,8 +323,7 @@ def _window_pairs(percent: int):
                 check(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
                 waiting, held = [], 0
             step += 1
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        return rows.select(_COLUMNS).filter(pa.array(on))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -330,15 +334,78 @@ def _window_pairs(percent: int):
             last = np.flatnonzero((token != token[-1:]) | (within != within[-1:]))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last list may go on in the next batch
             if cut:
-                yield compare(rows.slice(0, cut))
+                yield from compare(rows.slice(0, cut)).to_batches()
             rest = rows.slice(cut)
         if rest is not None and len(rest):
-            yield compare(rest)
+            yield from compare(rest).to_batches()
         give_back()
 
     return run
 
 
+def _join_components(percent: int):
+    """For whole sets of the members of a posting list, or of a pair of its chunks: links that join components, one for each
+    two that become one. Pairs within a component need no look, so what is found first saves the rest."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("id", "ascending")])
+        ids, sizes, side = (table.column(c).to_numpy() for c in ("id", "n", "side"))
+        comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        number = np.unique(np.concatenate(items), return_inverse=True)[1]
+        items = np.split(number, np.cumsum(sizes)[:-1])
+        raw = table.column("bits").to_pylist()
+        widths = np.array([len(x) for x in raw], np.int64)  # ascend, as sizes do
+        mine, token, inner = first_lists(table), key[0].as_py(), not side.any()
+        at, folded, own = 0, np.zeros((0, 0), np.uint64), np.zeros(len(number), bool)
+        out: list[tuple[int, int]] = []
+        ends = np.searchsorted(sizes, 100 * sizes // percent, "right")
+        for x in range(len(ids)):
+            if not x or widths[x] != widths[x - 1]:  # bitmaps of all rows from here on, at this row's width
+                at, cuts = x, [x, *(np.flatnonzero(np.diff(widths[x:])) + x + 1), len(ids)]
+                folded = np.concatenate([fold(np.frombuffer(b"".join(raw[a:b]), np.uint8).reshape(b - a, -1), int(widths[x])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]).view(np.uint64)
+            left = np.arange(x + 1, ends[x])
+            left = left[(comp[left] != comp[x]) & (inner | (side[left] != side[x]))]
+            for k in range(0, len(left), MATRIX):
+                near = left[k : k + MATRIX]
+                near = near[may_link(sizes[x], folded[x - at], sizes[near], folded[near - at], percent)]
+                near, step = near[mine(np.full(len(near), x), near, token)], 16
+                own[items[x]] = True
+                while len(near := near[comp[near] != comp[x]]):
+                    now, near, step = near[:step], near[step:], 2 * step
+                    both = np.add.reduceat(own[np.concatenate([items[y] for y in now])], np.cumsum(sizes[now]) - sizes[now], dtype=np.int64)
+                    for y in now[100 * both >= percent * (sizes[x] + sizes[now] - both)]:
+                        if comp[y] != comp[x]:
+                            comp[comp == comp[y]] = comp[x]
+                            out.append((ids[x], ids[y]))
+                own[items[x]] = False
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def dealt_chunks(listed: DataFrame, band, weight) -> DataFrame:
+    """Rows of long posting lists, cut into chunks of a weight of about CHUNK within bands of sizes: a row for each group
+    that it is in. A group is (list, lower band lo, upper band hi, chunk i of the lower, chunk j of the upper); side 0 is the
+    lower one. Groups of one component are left out."""
+    listed = listed.withColumn("band", band)
+    own = listed.groupBy("token", "within", "band").agg(F.sum(weight).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    below = own.select("token", "within", (F.col("band") + 1).alias("band"), F.col("c").alias("c1"), F.col("low").alias("low1"), F.col("high").alias("high1"))
+    above = own.select("token", "within", (F.col("band") - 1).alias("band"), F.col("c").alias("c2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    plan = own.join(below, ["token", "within", "band"], "left").join(above, ["token", "within", "band"], "left")
+    chunks = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / CHUNK).cast("int")
+    mixed = lambda a, b: (F.least(F.col("low"), F.col(a)) != F.greatest(F.col("high"), F.col(b)))
+    plan = plan.select("token", "within", "band", chunks("c").alias("k"), F.when(mixed("low1", "high1"), chunks("c1")).otherwise(0).alias("k1"), F.when(mixed("low2", "high2"), chunks("c2")).otherwise(0).alias("k2"), (F.col("low") != F.col("high")).alias("own")).where("own or k1 > 0 or k2 > 0")
+    placed = listed.join(plan, ["token", "within", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    c, b = F.col("chunk"), F.col("band")
+    count = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
+    inside = F.transform(F.when(F.col("own"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>")), lambda x: F.struct(b.alias("lo"), b.alias("hi"), F.least(c, x).alias("i"), F.greatest(c, x).alias("j"), F.when(c <= x, 0).otherwise(1).alias("side")))
+    up = F.transform(count("k2"), lambda x: F.struct(b.alias("lo"), (b + 1).alias("hi"), c.alias("i"), x.alias("j"), F.lit(0).alias("side")))
+    down = F.transform(count("k1"), lambda x: F.struct((b - 1).alias("lo"), b.alias("hi"), x.alias("i"), c.alias("j"), F.lit(1).alias("side")))
+    return placed.select(*_COLUMNS, F.explode(F.concat(inside, up, down)).alias("g")).select(*_COLUMNS, "g.*")
+
+
 def components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
     """From edges (a, b), a != b: (id, comp) with the smallest id reachable, for each id on an edge. Large-star and
     small-star steps (Kiveris et al., 2014), each written to the shared folder, until nothing changes."""
@@ -367,16 +434,31 @@ def components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(pairs.select("b", "b").distinct())
 
 
+def whole_sets(wanted: DataFrame, docs: DataFrame, n: int, name: str) -> DataFrame:
+    """(id, mark, items) for the texts of these ids; only those are read again."""
+    sets = docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(n), "id long, mark binary, items binary")
+    return stored(sets, f"{name}-sets", batch=ROWS).dropDuplicates(["id", "mark"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of document ids whose whole sets link. Only texts on a pair are read again."""
+    """The pairs (a, b) of document ids whose whole sets link."""
     pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(n), "id long, mark binary, items binary"), f"{name}-sets", batch=ROWS)
-    sets = sets.dropDuplicates(["id", "mark"])
+    sets = whole_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, n, name)
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     return stored(found.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links", batch=ROWS)
 
 
+def linked_members(near: DataFrame, docs: DataFrame, band, n: int, percent: int) -> DataFrame:
+    """For members of posting lists: links (a, b) that join all components that links within the lists join."""
+    sets = whole_sets(near.select(F.col("id").alias("doc_id")).distinct(), docs, n, "rest").select("id", F.expr("cast(length(items) div 8 as long)").alias("n"), "items")
+    weight = F.greatest(F.lit(1.0), F.col("n") * CHUNK / SHINGLES)
+    large = F.broadcast(near.groupBy("token", "within").agg(F.sum(weight).alias("c")).where(F.col("c") > CHUNK).select("token", "within"))
+    zero = F.lit(0)
+    whole = near.join(large, ["token", "within"], "left_anti").select(*_COLUMNS, zero.alias("lo"), zero.alias("hi"), zero.alias("i"), zero.alias("j"), zero.alias("side"))
+    groups = whole.unionByName(dealt_chunks(near.join(large, ["token", "within"], "left_semi"), band, weight)).join(sets, ["id", "n"])
+    return stored(groups.groupBy("token", "within", "lo", "hi", "i", "j").applyInArrow(_join_components(percent), "a long, b long"), "rest-links", batch=ROWS)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     spark = docs.sparkSession
@@ -417,32 +499,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     heads = kept.groupBy("gid").agg(F.slice(F.array_sort(F.collect_list("token")), 1, HEADS).alias("heads"))
     # Members of a group are in the same lists; only where there is none, the group is a list of its own.
     wide = own_group.where("low != high").join(heads, "gid", "left_anti").select("gid", F.col("gid").alias("token"), F.col("c").alias("length"))
-    columns = ["token", "within", "length", "id", "n", "bits", "comp", "heads"]
+    columns = [*_COLUMNS, "length"]
     listed = kept.join(heads, "gid").withColumn("within", F.lit(0)).join(by_group, "gid").select(columns)
     listed = stored(listed.union(wide.withColumn("within", F.lit(1)).withColumn("heads", F.array().cast("array<long>")).join(by_group, "gid").select(columns)), "listed")
     short = listed.where(F.col("length") <= CHUNK).drop("length").repartition("token", "within").sortWithinPartitions("token", "within", "n", "id")
-    survivors = short.mapInArrow(_window_pairs(percent), "a long, b long")
-
+    near = short.mapInArrow(_window_members(percent), _MEMBER)
     # Longer lists are cut into chunks by size and id.
-    listed = listed.where(F.col("length") > CHUNK).withColumn("band", band)
-
-    own = listed.groupBy("token", "within", "band").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    below = own.select("token", "within", (F.col("band") + 1).alias("band"), F.col("c").alias("c1"), F.col("low").alias("low1"), F.col("high").alias("high1"))
-    above = own.select("token", "within", (F.col("band") - 1).alias("band"), F.col("c").alias("c2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    plan = own.join(below, ["token", "within", "band"], "left").join(above, ["token", "within", "band"], "left")
-    chunks = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / CHUNK).cast("int")
-    mixed = lambda a, b: (F.least(F.col("low"), F.col(a)) != F.greatest(F.col("high"), F.col(b)))
-    plan = plan.select("token", "within", "band", chunks("c").alias("k"), F.when(mixed("low1", "high1"), chunks("c1")).otherwise(0).alias("k1"), F.when(mixed("low2", "high2"), chunks("c2")).otherwise(0).alias("k2"), (F.col("low") != F.col("high")).alias("own")).where("own or k1 > 0 or k2 > 0")
-    placed = listed.join(plan, ["token", "within", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    # A group is (list, lower band, upper band, chunk of the lower, chunk of the upper); side 0 is the lower one.
-    c, b = F.col("chunk"), F.col("band")
-    count = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
-    inside = F.transform(F.when(F.col("own"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>")), lambda x: F.struct(b.alias("lo"), b.alias("hi"), F.least(c, x).alias("i"), F.greatest(c, x).alias("j"), F.when(c <= x, 0).otherwise(1).alias("side")))
-    up = F.transform(count("k2"), lambda x: F.struct(b.alias("lo"), (b + 1).alias("hi"), c.alias("i"), x.alias("j"), F.lit(0).alias("side")))
-    down = F.transform(count("k1"), lambda x: F.struct((b - 1).alias("lo"), b.alias("hi"), x.alias("i"), c.alias("j"), F.lit(1).alias("side")))
-    dealt = placed.select("token", "within", "id", "n", "bits", "comp", "heads", F.explode(F.concat(inside, up, down)).alias("g"))
-    survivors = survivors.union(dealt.select("token", "within", "g.*", "id", "n", "bits", "comp", "heads").groupBy("token", "within", "lo", "hi", "i", "j").applyInArrow(_chunk_pairs(percent), "a long, b long"))
-    more = verified(survivors, texts, n, percent, "rest")
+    dealt = dealt_chunks(listed.where(F.col("length") > CHUNK), band, F.lit(1))
+    near = near.union(dealt.groupBy("token", "within", "lo", "hi", "i", "j").applyInArrow(_chunk_members(percent), _MEMBER))
+    near = stored(near.dropDuplicates(["token", "within", "id", "n", "bits"]), "near")
+    more = linked_members(near, texts, band, n, percent)
 
     # An id with several texts ties their classes together.
     total = linkable.count()

@@ -179,6 +179,40 @@ def test_jaccard_brute_force(spark, monkeypatch, chunk):
     assert {r["doc_id"]: r["component_id"] for r in found} == {k: find(k) for k in range(len(docs))}
 
 
+@pytest.mark.parametrize("chunk, shingles", [(1024, 1 << 20), (1024, 3000), (40, 1 << 20)])
+def test_jaccard_makes_no_rows_of_pairs(spark, monkeypatch, chunk, shingles):
+    """In a large group of near copies of which many do not link, no table of the join has more rows than the posting lists,
+    and what is verified last has rows in proportion to the documents."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "SHINGLES", shingles, raising=False)
+    rng, made = np.random.default_rng(12), collections.Counter()
+    docs = []
+    for k in range(400):
+        c = [f"w{j}" for j in range(100)]
+        for _ in range(1 + k % 3):
+            c[int(rng.integers(100))] = f"v{int(rng.integers(10**6))}"
+        docs.append(" ".join(c))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(words, docs)]
+    component = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((component[a], component[b]))
+                component = [x if c == y else c for c in component]
+    keep = jaccard_join.stored
+
+    def stored(df, name, *args, **kwargs):
+        found = keep(df, name, *args, **kwargs)
+        made[name] = found.count()
+        return found
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    found = jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(component))
+    assert 1 < len(set(component)) < len(docs) and max(made.values()) <= made["postings"], made
+    assert max(count for name, count in made.items() if name.startswith("rest")) <= 2 * len(docs), made
+
+
 def test_jaccard_join_of_hot_groups_and_repeated_ids(spark):
     """A third of all rows in one group of copies, a rare-looking shingle in many documents, and an id with two texts."""
     rng = np.random.default_rng(9)
