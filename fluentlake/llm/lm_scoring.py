@@ -19,8 +19,9 @@ gives the normalised probabilities.
 3. Each training round of the model of classes, every task trains on the documents that it reads, from the same start, and
    the parameters are averaged by tokens, in two levels. All training documents take part. Then tokens are dealt by node and
    part of a node (a part has about PART_TOKENS), and each node learns the vectors of its children, with the classes' vectors
-   as contexts; nodes of several parts are averaged as before. A task holds one node at a time.
-4. Scores of the tokens of each node, summed per document, meet those of the classes by block.
+   as contexts. A task holds one node at a time. A node of one part scores its tokens, held out or not, as soon as it has
+   learnt, so they are dealt once; nodes of several parts are averaged as before, and their tokens dealt again.
+4. The nodes' scores, summed per document over the nodes of a task, meet those of the classes by block.
 
 Scores depend on how the input is split among tasks, as training does; with the same split reruns agree up to rounding.
 Null text counts as empty, a null id as an empty one. Repeated rows count and are scored again.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,13 +45,18 @@ from fluentlake.llm.shared import crc_mod, delete_between, made, stored, text_by
 COMMON, BY_COUNT, BY_END = 195, 6, 10
 CLASSES = 1 + COMMON + BY_COUNT * BY_END
 CONTEXT, WIDTH, NOISE, BATCH = 3, 24, 64, 2048
-BLOCK_BYTES = 1 << 22
+#: Text of a block, about: runs of rows are cut into even blocks.
+BLOCK_BYTES = 10 << 20
 #: Words with vectors of their own within a class (those of count 7 or more), the size of their groups, the tokens of a node
 #: that one task trains on at a time, and the start of AdaGrad's sums.
 VECTORS = f"cls >= {1 + COMMON + 2 * BY_END}"
 GROUP, PART_TOKENS, NODE_BATCH, DAMPING = 256, 1 << 22, 1024, 4.0
+#: Parts of a group at most (of 13 bits), and documents whose sums a task holds before it hands them on.
+MOST_PARTS, SUMS = 4096, 1 << 20
 _TOKEN = 8 + 2 * CONTEXT
 _MEAN = "node long, n long, children long, params binary"
+#: Class, group and one, place in the group and parts of a word, in one number.
+_PLACE = "cls + shiftleft(grp + 1L, 8) + shiftleft(cast(slot as long), 32) + shiftleft(cast(parts as long), 50)"
 _BLOCKS = "block long, doc_id long, held_out boolean, ids binary, ends binary, idx int, word binary, count long"
 
 
@@ -68,11 +75,12 @@ def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     names = ["block", "doc_id", "held_out", "ids", "ends", "idx", "word", "count"]
     number = TaskContext.get().partitionId() << 24
     for batch in batches:
-        k = 0
+        k, total = 0, pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
+        most = total / max(1, -(-total // BLOCK_BYTES))
         while k < len(batch):
             ids: dict[bytes, int] = {b"": 0}
             encoded, trained, size, begin = [], [], 0, k
-            while k < len(batch) and (k == begin or size < BLOCK_BYTES):
+            while k < len(batch) and (k == begin or size < most):
                 raw = batch.column(2)[k].as_py()
                 words = raw.lower().split()
                 words.append(b"")
@@ -104,10 +112,10 @@ def planes(numbers: np.ndarray) -> bytes:
 
 
 def tokens_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents (places in the block), children and contexts of the tokens of a node; see _score_counts."""
+    """Documents (places in the block, kept as steps), children and contexts of the tokens of a node; see _score_counts."""
     data = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(_TOKEN, -1).T
     pick = lambda at, end, kind: np.ascontiguousarray(data[:, at:end]).view(kind)
-    return pick(0, 4, "<i4").ravel(), pick(4, 8, "<i4").ravel(), pick(8, _TOKEN, "<u2")
+    return np.cumsum(pick(0, 4, "<i4").ravel(), dtype=np.int32), pick(4, 8, "<i4").ravel(), pick(8, _TOKEN, "<u2")
 
 
 def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_parts: np.ndarray):
@@ -119,9 +127,10 @@ def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_part
         ends = np.frombuffer(zstandard.decompress(next(x for x in docs.column("ends").to_pylist() if x is not None)), np.uint8)
         c, cls = np.ones(len(ends), np.int64), (1 + COMMON + ends).astype(np.uint8)  # as words with count 1, which have no row
         at = words.column("idx").to_numpy()
-        c[at], cls[at] = words.column("c").to_numpy(), words.column("cls").to_numpy()
-        group, slot, parts = np.full(len(ends), -1, np.int64), np.zeros(len(ends), np.int32), np.ones(len(ends), np.int64)
-        group[at], slot[at], parts[at] = (words.column(x).to_numpy() for x in ("grp", "slot", "parts"))
+        place = words.column("place").to_numpy()  # see _PLACE
+        c[at], cls[at] = words.column("c").to_numpy(), place & 255
+        group, slot, parts = np.full(len(ends), -1, np.int32), np.zeros(len(ends), np.int32), np.ones(len(ends), np.int32)
+        group[at], slot[at], parts[at] = (place >> 8 & (1 << 24) - 1) - 1, place >> 32 & (1 << 18) - 1, place >> 50
         base = np.log10((c + 1) / total)
         within = np.where(group < 0, np.log10((c + 1) / mass[cls]), 0)
         texts = [unpack(raw) for raw in docs.column("ids").to_pylist()]
@@ -133,12 +142,12 @@ def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_part
 
         seen = np.concatenate([contexts(part)[0].astype("<u2") for _, part in _runs(rows.column("classes").combine_chunks())])
         tokens, doc = np.concatenate(texts), np.repeat(np.arange(n, dtype=np.int32), out[0])
-        places = np.flatnonzero(group[tokens] >= 0)
+        places = np.flatnonzero(group[tokens] >= 0).astype(np.int32)
         word = tokens[places]
         inner = groups[cls[word]] > 1  # classes of several groups have a node that predicts the group
         k = cls[word].astype(np.int64)
-        node = np.concatenate([(k << 40) + group[word] + 1, k[inner] << 40])
-        child = np.concatenate([slot[word], group[word][inner].astype(np.int32)])
+        node = np.concatenate([(k << 40) + (group[word] + 1), k[inner] << 40])
+        child = np.concatenate([slot[word], group[word][inner]])
         of = np.concatenate([parts[word], class_parts[k[inner]]])
         places = np.concatenate([places, places[inner]])
         side = node * 2 + np.asarray(docs.column("held_out"), np.int64)[doc[places]]
@@ -146,7 +155,10 @@ def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_part
         cuts = np.flatnonzero(np.diff(side[order], prepend=-1))
         first, number = order[cuts], zlib.crc32(b"%d" % block)
         press = zstandard.ZstdCompressor(level=1).compress
-        data = [press(planes(doc[places[x]]) + planes(child[x]) + planes(seen[places[x]])) for x in np.split(order, cuts[1:])] if len(cuts) else []
+        places, child = places[order], child[order]
+        seen, steps = seen[places], np.diff(doc[places], prepend=np.int32(0))
+        steps[cuts] = doc[places[cuts]]
+        data = [press(planes(steps[a:b]) + planes(child[a:b]) + planes(seen[a:b])) for a, b in zip(cuts, [*cuts[1:], len(order)][: len(cuts)], strict=True)]
         m, nothing = len(cuts), lambda kind: pa.nulls(len(cuts), kind)
         more = pa.table({"block": np.full(m, block), "pos": nothing(pa.int32()), "doc_id": nothing(pa.int64()), "held_out": (side[first] & 1).astype(bool), "n_tokens": nothing(pa.int64()), "n_known": nothing(pa.int64()), "base_score": nothing(pa.float64()), "within": nothing(pa.float64()), "classes": nothing(pa.binary()), "node": node[first], "part": pa.array(number % of[first], pa.int32()), "data": pa.array(data, pa.binary())})
         return pa.concat_tables([rows, more])
@@ -154,11 +166,66 @@ def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_part
     return run
 
 
+_cells = np.arange(WIDTH).reshape(1, WIDTH)
+
+
+def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sums of the rows with the same place."""
+    global _cells
+    if len(_cells) < n:
+        _cells = np.arange(n * WIDTH).reshape(n, WIDTH)
+    return np.bincount(_cells.take(at, axis=0).ravel(), rows.ravel(), n * WIDTH).reshape(n, WIDTH)
+
+
+_room: dict[str, np.ndarray] = {}
+
+
+def _buffer(name: str, rows: int, columns: int) -> np.ndarray:
+    """Memory that the steps of a worker use again."""
+    if name not in _room or _room[name].size < rows * columns:
+        _room[name] = np.empty(rows * columns, np.float32)
+    return _room[name][: rows * columns].reshape(rows, columns)
+
+
+def _log_softmax(q: np.ndarray, target: np.ndarray, bias: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the normalised probabilities of children, from predicted vectors. Few rows at once stay in the
+    processor's cache."""
+    n, out = len(bias), np.empty(len(child), np.float32)
+    vectors, ones, most = np.concatenate([target, bias[:, None]], axis=1).T, np.ones(n, np.float32), max(16, (1 << 17) // n)
+    for k in range(0, len(child), most):
+        some = child[k : k + most]
+        known = _buffer("known", len(some), WIDTH + 1)  # the last column is for the bias
+        known[:, :WIDTH], known[:, WIDTH] = q[k : k + most], 1
+        scores = np.matmul(known, vectors, out=_buffer("scores", len(some), n))
+        if scores.max() > 60 or scores.min() < -60:  # else the exponentials are in the range of floats as they are
+            scores -= scores.max(axis=1)[:, None]
+        picked = scores[np.arange(len(some)), some]
+        np.exp(scores, out=scores)
+        out[k : k + most] = picked - np.log(scores @ ones)
+    return out
+
+
+def _contrast(q: np.ndarray, target: np.ndarray, bias: np.ndarray, log_share: np.ndarray, child: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Noise-contrastive estimation: for a batch with shared noise words, the gradients of the true children's scores, of the
+    noise's vectors and of its biases, and the true children's vectors and the noise's. Noise counts as wrong."""
+    true, wrong = target.take(child, axis=0), target[noise]
+    real = np.einsum("bd,bd->b", q, true) + (bias - log_share)[child]
+    up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+    down = np.matmul(q, wrong.T, out=_buffer("down", len(child), len(noise)))
+    np.subtract((log_share - bias)[noise], down, out=down)
+    np.minimum(down, 30, out=down)
+    np.exp(down, out=down)
+    down += 1
+    np.reciprocal(down, out=down)
+    return up, -(q.T @ down).T, -down.sum(axis=0), true, wrong, down
+
+
 class LogBilinear:
     """Class vectors as context and as target, a diagonal weight per place of the context, and a bias per target class."""
 
     def __init__(self, share: np.ndarray, params: np.ndarray | None = None):
-        self.share = share
+        self.share, self.log_share, self.drawn = share, np.log(share * NOISE).astype(np.float32), np.cumsum(share)
+        self.drawn /= self.drawn[-1]
         self.shapes = [(CLASSES + 1, WIDTH), (CLASSES, WIDTH), (CONTEXT, WIDTH), (CLASSES,)]
         if params is None:
             rng = np.random.default_rng(3)
@@ -176,32 +243,22 @@ class LogBilinear:
 
     def log_probabilities(self, seen: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of the target classes."""
-        q = np.ones((len(targets), WIDTH + 1), np.float32)  # the last column is for the bias
-        q[:, :WIDTH] = self.predicted(seen)
-        scores = q @ np.concatenate([self.target, self.bias[:, None]], axis=1).T
-        if scores.max() > 60 or scores.min() < -60:  # else the exponentials are in the range of floats as they are
-            scores -= scores.max(axis=1)[:, None]
-        picked = scores[np.arange(len(targets)), targets]
-        np.exp(scores, out=scores)
-        return picked - np.log(scores.sum(axis=1))
+        return _log_softmax(self.predicted(seen), self.target, self.bias, targets)
 
     def train(self, seen: np.ndarray, targets: np.ndarray, rate: float, state: np.ndarray, rng: np.random.Generator) -> None:
         """A step of noise-contrastive estimation (AdaGrad) on a batch; the noise words are shared by the batch."""
-        noise = rng.choice(CLASSES, NOISE, p=self.share)
-        log_share = np.log(self.share * NOISE).astype(np.float32)
+        noise = self.drawn.searchsorted(rng.random(NOISE), "right")
         q = self.predicted(seen)
-        real = np.einsum("bd,bd->b", q, self.target.take(targets, axis=0)) + self.bias[targets] - log_share[targets]
-        fake = q @ self.target[noise].T + (self.bias[noise] - log_share[noise])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
-        dq = up[:, None] * self.target.take(targets, axis=0) + down @ self.target[noise]
+        up, wrong_vectors, wrong_biases, true, wrong, down = _contrast(q, self.target, self.bias, self.log_share, targets, noise)
+        dq = up[:, None] * true
+        dq -= down @ wrong
         grad = np.zeros_like(self.flat)
         cuts = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes)])
         g_context, g_target, g_place, g_bias = (grad[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], self.shapes, strict=True))
         g_target += _sum_rows(targets, up[:, None] * q, CLASSES)
-        np.add.at(g_target, noise, down.T @ q)
+        np.add.at(g_target, noise, wrong_vectors)
         g_bias += np.bincount(targets, up, CLASSES)
-        g_bias += np.bincount(noise, down.sum(axis=0), CLASSES)
+        g_bias += np.bincount(noise, wrong_biases, CLASSES)
         for k in range(CONTEXT):
             sums = _sum_rows(seen[:, k], dq, CLASSES + 1)
             g_place[k] = (sums * self.context).sum(axis=0)
@@ -211,12 +268,6 @@ class LogBilinear:
         self.flat += rate * grad / np.sqrt(state + 1e-8)
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """n rows: the sums of the rows with the same place."""
-    width = rows.shape[1]
-    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width)
-
-
 def contexts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts and targets of texts given as classes, and where texts begin. Before a text, the extra class CLASSES."""
     lengths = np.array([len(x) for x in raw])
@@ -275,38 +326,63 @@ class Node:
         self.share = (counts + 1e-3) / (counts + 1e-3).sum()
         self.flat = np.concatenate([np.zeros(n * WIDTH), np.log(self.share)]).astype(np.float32) if params is None else np.frombuffer(params, np.float32)
         self.target, self.bias = self.flat[: n * WIDTH].reshape(n, WIDTH), self.flat[n * WIDTH :]
+        self.log_share, self.drawn = np.log(self.share * NOISE).astype(np.float32), np.cumsum(self.share)
+        self.drawn /= self.drawn[-1]
         self.state = np.full(len(self.flat), DAMPING, np.float32)
 
     def log_probabilities(self, q: np.ndarray, child: np.ndarray) -> np.ndarray:
-        scores = q @ self.target.T + self.bias
-        scores -= scores.max(axis=1)[:, None]
-        picked = scores[np.arange(len(child)), child]
-        np.exp(scores, out=scores)
-        return picked - np.log(scores.sum(axis=1))
+        return _log_softmax(q, self.target, self.bias, child)
 
     def train(self, q: np.ndarray, child: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         """A step of noise-contrastive estimation (AdaGrad); a word's first steps are short, as the state begins at DAMPING."""
         n = len(self.share)
-        noise = rng.choice(n, NOISE, p=self.share)
-        log_share = np.log(self.share * NOISE).astype(np.float32)
-        real = np.einsum("bd,bd->b", q, self.target.take(child, axis=0)) + self.bias[child] - log_share[child]
-        fake = q @ self.target[noise].T + (self.bias[noise] - log_share[noise])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+        noise = self.drawn.searchsorted(rng.random(NOISE), "right")
+        up, wrong_vectors, wrong_biases, *_ = _contrast(q, self.target, self.bias, self.log_share, child, noise)
         grad = np.zeros_like(self.flat)
         g_target, g_bias = grad[: n * WIDTH].reshape(n, WIDTH), grad[n * WIDTH :]
         g_target += _sum_rows(child, up[:, None] * q, n)
-        np.add.at(g_target, noise, down.T @ q)
-        g_bias += np.bincount(child, up, n) + np.bincount(noise, down.sum(axis=0), n)
+        np.add.at(g_target, noise, wrong_vectors)
+        g_bias += np.bincount(child, up, n) + np.bincount(noise, wrong_biases, n)
         self.state += grad * grad
         self.flat += rate * grad / np.sqrt(self.state)
 
 
-def _train_nodes(share: np.ndarray, params: np.ndarray, rate: float):
-    """Rows come by node and part, the counts of its children first. Tokens are taken in batches across blocks."""
+class Sums:
+    """Log10 probabilities per document of a block, summed over the nodes of a task as far as they fit."""
+
+    def __init__(self):
+        self.held, self.size = {}, 0
+
+    def add(self, base: LogBilinear, node: Node, block: int, data: bytes) -> None:
+        doc, child, seen = tokens_of(data)
+        logs = np.concatenate([node.log_probabilities(base.predicted(seen[k : k + BATCH]), child[k : k + BATCH]) for k in range(0, len(doc), BATCH)])
+        total = self.held.get(block, np.zeros(0))
+        if len(total) <= doc[-1]:  # documents ascend
+            longer = np.zeros(max(int(doc[-1]) + 1, 2 * len(total)))
+            longer[: len(total)] = total
+            self.size += len(longer) - len(total)
+            self.held[block] = total = longer
+        begin = np.flatnonzero(np.diff(doc, prepend=-1))
+        total[doc[begin]] += np.add.reduceat(logs.astype(np.float64), begin) / np.log(10)
+
+    def rows(self) -> list[tuple[int, bytes, bytes]]:
+        out = [(block, pack(at := np.flatnonzero(total)), total[at].astype(np.float32).tobytes()) for block, total in self.held.items()]
+        self.held, self.size = {}, 0
+        return out
+
+
+_LEARNT = "node long, part int, n long, children long, params binary, block long, pos binary, logs binary"
+
+
+def _learn_nodes(share: np.ndarray, params: np.ndarray, rate: float):
+    """Rows come by node and part, the counts of its children first. Tokens are taken in batches across blocks; then a node
+    of one part scores its tokens, those of held-out documents too, and one of several hands on its parameters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, at, node, size, held = LogBilinear(share, params), None, None, 0, []
+        base, at, node, size, held, kept, sums = LogBilinear(share, params), None, None, 0, [], [], Sums()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        names = [x.split()[0] for x in _LEARNT.split(", ")]
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         def step() -> int:
             child, seen = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -317,25 +393,33 @@ def _train_nodes(share: np.ndarray, params: np.ndarray, rate: float):
                 node.train(base.predicted(seen[some]), child[some], rate, rng)
             return len(child)
 
-        def done() -> pa.RecordBatch:
+        def done() -> list[tuple]:
             n = size + (step() if held else 0)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([len(node.share)], pa.int64()), pa.array([node.flat.tobytes()], pa.binary())], ["node", "part", "n", "children", "params"])
+            if at[2] > 1:
+                return [(*at[:2], n, len(node.share), node.flat.tobytes(), None, None, None)]
+            for block, data in kept:
+                sums.add(base, node, block, data)
+            kept.clear()
+            return [(None,) * 5 + x for x in sums.rows()] if sums.size > SUMS else []
 
         for batch in batches:
-            for key, part, places, counts, data in zip(*(batch.column(k) for k in range(5)), strict=True):
+            for key, part, parts, places, counts, data, block, away in zip(*(batch.column(k) for k in range(8)), strict=True):
                 if data.as_py() is None:
-                    if node is not None:
-                        yield done()
-                    at, size, rng, places = (key.as_py(), part.as_py()), 0, np.random.default_rng(11), np.array(places.as_py())
+                    if node is not None and (rows := done()):
+                        yield table(rows)
+                    at, size, rng, places = (key.as_py(), part.as_py(), parts.as_py()), 0, np.random.default_rng(11), np.array(places.as_py())
                     of = np.zeros(places.max() + 1)
                     of[places] = counts.as_py()
                     node = Node(of)
-                else:
+                    continue
+                if at[2] == 1:
+                    kept.append((block.as_py(), data.as_py()))
+                if not away.as_py():
                     held.append(tokens_of(data.as_py())[1:])
                     if sum(len(x) for x, _ in held) >= 16 * NODE_BATCH:
                         size += step()
-        if node is not None:
-            yield done()
+        if node is not None and (rows := done() + [(None,) * 5 + x for x in sums.rows()]):
+            yield table(rows)
 
     return run
 
@@ -350,41 +434,51 @@ def _score_nodes(share: np.ndarray, params: np.ndarray):
     """Rows come by node and part, its parameters first: sums of log10 probabilities per document of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, node = LogBilinear(share, params), None
+        base, node, sums = LogBilinear(share, params), None, Sums()
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*sums.rows(), strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "pos", "logs"])
         for batch in batches:
-            found: list[tuple] = []
             for block, children, learnt, data in zip(*(batch.column(k) for k in range(4)), strict=True):
                 if data.as_py() is None:
                     node = Node(np.ones(children.as_py()), learnt.as_py())
                     continue
-                doc, child, seen = tokens_of(data.as_py())
-                logs = np.concatenate([node.log_probabilities(base.predicted(seen[k : k + BATCH]), child[k : k + BATCH]) for k in range(0, len(doc), BATCH)])
-                begin = np.flatnonzero(np.diff(doc, prepend=-1))  # documents ascend
-                found.append((block.as_py(), doc[begin].tobytes(), (np.add.reduceat(logs.astype(np.float64), begin) / np.log(10)).astype(np.float32).tobytes()))
-            columns = list(zip(*found, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["block", "pos", "logs"])
+                sums.add(base, node, block.as_py(), data.as_py())
+                if sums.size > SUMS:
+                    yield table()
+        if sums.size:
+            yield table()
 
     return run
 
 
-def _score(share: np.ndarray, params: np.ndarray):
-    """For a block: its documents, and what the nodes of the tree add to them."""
+_DOCUMENT = "block long, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score_classes(share: np.ndarray, params: np.ndarray):
+    """What the model of classes and the rare words' counts say of each document."""
 
-    def run(key: tuple, docs: pa.Table, sums: pa.Table) -> pa.Table:
-        model, found = LogBilinear(share, params), np.zeros(len(docs))
-        for begin, part in _runs(docs.column("classes").combine_chunks()):
-            seen, targets, bounds = contexts(part)
-            logs = np.concatenate([model.log_probabilities(seen[k : k + BATCH], targets[k : k + BATCH]) for k in range(0, len(targets), BATCH)])
-            found[begin : begin + len(part)] = np.add.reduceat(logs.astype(np.float64), bounds[:-1]) / np.log(10)
-        more = np.zeros(len(docs))
-        for pos, logs in zip(sums.column("pos").to_pylist(), sums.column("logs").to_pylist(), strict=True):
-            more[np.frombuffer(pos, "<i4")] += np.frombuffer(logs, np.float32)
-        scores = found + more[docs.column("pos").to_numpy()] + docs.column("within").to_numpy()
-        return pa.table({c: docs.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")} | {"score": pa.array(scores)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LogBilinear(share, params)
+        for batch in batches:
+            found, docs = np.zeros(len(batch)), pa.Table.from_batches([batch])
+            for begin, part in _runs(batch.column(batch.schema.get_field_index("classes"))):
+                seen, targets, bounds = contexts(part)
+                logs = np.concatenate([model.log_probabilities(seen[k : k + BATCH], targets[k : k + BATCH]) for k in range(0, len(targets), BATCH)])
+                found[begin : begin + len(part)] = np.add.reduceat(logs.astype(np.float64), bounds[:-1]) / np.log(10)
+            found += docs.column("within").to_numpy()
+            yield from docs.drop_columns(["classes", "within"]).append_column("score", pa.array(found)).to_batches()
 
     return run
 
 
+def _add_sums(key: tuple, docs: pa.Table, sums: pa.Table) -> pa.Table:
+    """For a block: its documents, and what the nodes of the tree add to them."""
+    more = np.zeros(len(docs))
+    for pos, logs in zip(sums.column("pos").to_pylist(), sums.column("logs").to_pylist(), strict=True):
+        more[unpack(pos)] += np.frombuffer(logs, np.float32)
+    scores = docs.column("score").to_numpy() + more[docs.column("pos").to_numpy()]
+    return pa.table({c: docs.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")} | {"score": pa.array(scores)})
+
+
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, rates: tuple[float, ...] = (0.1, 0.03), node_rate: float = 0.1) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Documents whose
     crc32(id) modulo `modulus` is `held` are held out. rates: the learning rate of each round over the model of classes;
@@ -418,10 +512,10 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     by_class = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cls") + 1)
     in_group = Window.partitionBy("cls", "grp")
     own = classed.where(VECTORS).withColumn("grp", F.crc32("word") % by_class(groups))
-    own = own.withColumn("slot", F.row_number().over(in_group.orderBy("word")) - 1).withColumn("parts", F.floor(F.sum("c").over(in_group) / PART_TOKENS) + 1)
+    own = own.withColumn("slot", F.row_number().over(in_group.orderBy("word")) - 1).withColumn("parts", F.least(F.floor(F.sum("c").over(in_group) / PART_TOKENS) + 1, F.lit(MOST_PARTS)))
     own = stored(own.select("word", "c", "cls", "grp", "slot", "parts"), "vectors", "zstd")
-    by_counts = classed.where(f"not ({VECTORS}) and (c != 1 or cls <= {COMMON})").select("word", "c", "cls", F.lit(-1).cast("long").alias("grp"), F.lit(0).alias("slot"), F.lit(1).cast("long").alias("parts"))
-    dictionary = words.join(own.unionByName(by_counts), "word").select("block", "idx", "c", "cls", "grp", "slot", "parts")
+    by_counts = classed.where(f"not ({VECTORS}) and (c != 1 or cls <= {COMMON})").select("word", "c", F.col("cls").cast("long").alias("place"))
+    dictionary = words.select("block", "idx", "word").join(own.select("word", "c", F.expr(_PLACE).alias("place")).unionByName(by_counts), "word").select("block", "idx", "c", "place")
     documents = blocks.where("ids is not null").select((F.col("block") + 0).alias("doc_block"), "doc_id", "held_out", "ids", "ends")
     schema = "block long, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary, node long, part int, data binary"
     ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass, groups, class_parts), schema), "classes", "zstd")
@@ -444,16 +538,18 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     groups_of = sizes.groupBy("cls").agg(listed("grp").alias("x")).select(F.shiftleft(F.col("cls").cast("long"), 40).alias("node"), by_class(class_parts).cast("long").alias("parts"), F.col("x.grp").alias("at"), F.col("x.c").alias("counts"))
     each_part = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part")
     heads = stored(words_of.unionByName(groups_of).select("node", each_part, "parts", "at", "counts"), "heads", "zstd")
-    sent = heads.select("node", "part", "at", "counts", F.lit(None).cast("binary").alias("data"), F.lit(-1).cast("long").alias("block"))
-    train = sent.unionByName(passing.where("not held_out").select("node", "part", "data", "block"), allowMissingColumns=True)
+    sent = heads.select("node", "part", "parts", "at", "counts", F.lit(None).cast("binary").alias("data"), F.lit(-1).cast("long").alias("block"), F.lit(False).alias("held_out"))
+    train = sent.unionByName(passing.select("node", "part", "data", "block", "held_out"), allowMissingColumns=True)
     dealt = lambda rows, *columns: rows.repartition("node", "part").sortWithinPartitions("node", "part", "block").select(*columns)
-    first = stored(dealt(train, "node", "part", "at", "counts", "data").mapInArrow(_train_nodes(share, params, node_rate), "node long, part int, n long, children long, params binary"), "nodes", "zstd")
-    split = heads.where("parts > 1").select("node", "part")
-    several = first.join(split, ["node", "part"], "left_semi")
-    halfway = several.groupBy("node", (F.col("part") % 64).alias("salt")).applyInArrow(_mean_params, _MEAN)
-    averaged = halfway.groupBy("node").applyInArrow(_mean_params, _MEAN).join(split, "node").select("node", "part", "children", "params")
-    models = first.join(split, ["node", "part"], "left_anti").select("node", "part", "children", "params").unionByName(averaged)
-    score = models.select("node", "part", "children", "params", F.lit(None).cast("binary").alias("data"), F.lit(-1).cast("long").alias("block")).unionByName(passing.select("node", "part", "data", "block"), allowMissingColumns=True)
-    sums = dealt(score, "block", "children", "params", "data").mapInArrow(_score_nodes(share, params), "block long, pos binary, logs binary")
-    scored = docs_ready.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_score(share, params), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    learnt = dealt(train, "node", "part", "parts", "at", "counts", "data", "block", "held_out").mapInArrow(_learn_nodes(share, params, node_rate), _LEARNT)
+    first = stored(learnt, "nodes", "zstd", batch=1000)
+    sums, split = first.where("block is not null").select("block", "pos", "logs"), heads.where("parts > 1").select("node", "part")
+    if not split.isEmpty():  # nodes of several parts score after their parameters are averaged
+        halfway = first.where("node is not null").groupBy("node", (F.col("part") % 64).alias("salt")).applyInArrow(_mean_params, _MEAN)
+        models = halfway.groupBy("node").applyInArrow(_mean_params, _MEAN).join(split, "node")
+        score = models.select("node", "part", "children", "params", F.lit(None).cast("binary").alias("data"), F.lit(-1).cast("long").alias("block"))
+        score = score.unionByName(passing.join(F.broadcast(split.select("node").distinct()), "node", "left_semi").select("node", "part", "data", "block"), allowMissingColumns=True)
+        sums = sums.unionByName(dealt(score, "block", "children", "params", "data").mapInArrow(_score_nodes(share, params), "block long, pos binary, logs binary"))
+    known = docs_ready.select("block", "pos", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes").mapInArrow(_score_classes(share, params), _DOCUMENT)
+    scored = known.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_add_sums, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(told["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -314,6 +314,29 @@ def test_lm_node_is_normalised_and_learns():
     assert abs(np.exp(node.log_probabilities(np.repeat(q[:1], 40, 0), np.arange(40))).sum() - 1) < 1e-3
 
 
+def test_lm_node_scores_in_the_pass_that_trains():
+    """A node of one part gives the scores of its tokens, held out or not; one of several parts gives its parameters."""
+    import pyarrow as pa
+    import zstandard
+
+    rng, share = np.random.default_rng(1), np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)
+    params, counts = lm_scoring.LogBilinear(share).flat, [9, 30, 70]
+    doc, child, seen = np.array([0, 0, 3, 3, 3], np.int32), np.array([0, 1, 2, 2, 1], np.int32), rng.integers(0, 9, (5, lm_scoring.CONTEXT)).astype("<u2")
+    data = zstandard.compress(lm_scoring.planes(np.diff(doc, prepend=np.int32(0))) + lm_scoring.planes(child) + lm_scoring.planes(seen))
+    said = {}
+    for parts in (1, 2):
+        rows = [(7, 0, parts, [0, 1, 2], counts, None, -1, False), (7, 0, None, None, None, data, 5, False), (7, 0, None, None, None, data, 6, True)]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.bool_()]
+        batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [str(k) for k in range(8)])
+        said[parts] = [r for b in lm_scoring._learn_nodes(share, params, 0.1)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["node"], r["n"], r["children"], r["block"]) for r in said[2]] == [(7, 5, 3, None)]
+    learnt = lm_scoring.Node(np.ones(3), said[2][0]["params"])
+    logs = learnt.log_probabilities(lm_scoring.LogBilinear(share, params).predicted(seen), child) / np.log(10)
+    assert [(r["block"], r["node"], list(lm_scoring.unpack(r["pos"]))) for r in said[1]] == [(5, None, [0, 3]), (6, None, [0, 3])]
+    for r in said[1]:
+        assert np.allclose(np.frombuffer(r["logs"], np.float32), [logs[:2].sum(), logs[2:].sum()], atol=1e-4)
+
+
 def test_lm_tree_brute_force(spark, monkeypatch):
     """Without training, nodes of several groups and parts must give each word its share of its class's counts."""
     monkeypatch.setattr(lm_scoring, "GROUP", 24)
