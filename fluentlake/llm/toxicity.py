@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ ORDER, DECAY, POWER = 4, 0.75, 3
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 24, 8
 #: Longer words are looked at in overlapping windows.
 WINDOW = 32
+#: Words whose kernel values are worked out at once, few enough for the processor's cache.
+ROWS = 256
 MAX_WORDS = 400_000
 _SPELT = re.compile(rb"(?:(?<=\s)|^)\S(?: \S){2,}(?=\s|\Z)")
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -54,7 +56,8 @@ def words_of(raw: bytes) -> list[bytes]:
 
 def plain(word: bytes) -> str:
     """Lower case, without punctuation at the ends."""
-    return _EDGES.sub("", word.decode("utf-8", "replace").lower())
+    lowered = word.decode("utf-8", "replace").lower()
+    return lowered if lowered.isalnum() else _EDGES.sub("", lowered)
 
 
 def windows(word: str) -> list[str]:
@@ -66,28 +69,43 @@ def subsequence_kernel(words: list[str], marks: list[str]) -> np.ndarray:
     """Gap-weighted subsequence kernel of order ORDER of each word with each mark."""
     out = np.zeros((len(words), len(marks)), np.float32)
     width = max(map(len, marks))
+    span = width - ORDER + 1
+    if span < 1:
+        return out
     codes = np.zeros((len(marks), width), np.int32)
     for k, m in enumerate(marks):
         codes[k, : len(m)] = [ord(c) for c in m]
+    # match[b, x, k]: whether place b of mark k has the character x of the marks; the last x stands for all others
+    letters = np.unique(codes[codes > 0])
+    match = np.zeros((width, len(letters) + 1, len(marks)), np.float32)
+    match[:, :-1] = (codes.T[:, None, :] == letters[None, :, None]) * np.float32(DECAY * DECAY)
     lengths = np.array([len(w) for w in words])
-    squared = np.float32(DECAY * DECAY)
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        for begin in range(0, len(at), 2048):
-            rows = at[begin : begin + 2048]
+        for begin in range(0, len(at), ROWS):
+            rows = at[begin : begin + ROWS]
             chars = np.frombuffer("".join(words[k] for k in rows).encode("utf-32-le"), np.int32).reshape(len(rows), n)
-            # level[i][b]: weight of common subsequences of length i in the word so far and the mark before place b
-            level = [np.ones((width + 1, len(rows), len(marks)), np.float32)] + [np.zeros((width + 1, len(rows), len(marks)), np.float32) for _ in range(ORDER - 1)]
-            total = np.zeros((len(rows), len(marks)), np.float32)
+            letter = np.minimum(np.searchsorted(letters, chars), len(letters) - 1)
+            letter[letters[letter] != chars] = len(letters)
+            # level[i][b]: weight of common subsequences of length i in the word so far and the mark before place b + i;
+            # where fewer than ORDER - i characters of the mark or of the word are left, it is of no use
+            level = [np.zeros((span, len(rows), len(marks)), np.float32) for _ in range(ORDER)]
+            total, fresh, part = np.zeros((len(rows), len(marks)), np.float32), np.empty_like(level[0]), np.empty_like(level[0][0])
             for a in range(n):
-                same = (chars[:, a, None, None] == codes[None]).transpose(2, 0, 1).astype(np.float32) * squared
-                total += (same * level[ORDER - 1][:-1]).sum(axis=0)
-                for i in range(ORDER - 1, 0, -1):
-                    fresh = same * level[i - 1][:-1]
-                    for b in range(1, width):
-                        fresh[b] += DECAY * fresh[b - 1]
+                same = match.take(letter[:, a], axis=1)
+                if a >= ORDER - 1:
+                    np.multiply(same[ORDER - 1 :], level[ORDER - 1], out=fresh)
+                    for b in range(span):
+                        total += fresh[b]
+                for i in range(min(ORDER - 1, a + 1), max(0, a + ORDER - n), -1):
+                    if i == 1:
+                        fresh[:] = same[:span]
+                    else:
+                        np.multiply(same[i - 1 : i - 1 + span], level[i - 1], out=fresh)
+                    for b in range(1, span):
+                        fresh[b] += np.multiply(fresh[b - 1], np.float32(DECAY), out=part)
                     level[i] *= np.float32(DECAY)
-                    level[i][1:] += fresh
+                    level[i] += fresh
             out[rows] = total
     return out
 
@@ -108,23 +126,22 @@ class ToxicityModel:
         self.weight: list[float] = []
         self.ends: list[bool] = []
 
-    def learn_words(self, raw: Iterable[bytes]) -> None:
-        words = set(raw)
+    def learn_words(self, words: set[bytes]) -> None:
         new = list(words - self.known.keys())
         if len(self.known) + len(new) > MAX_WORDS:
             self.known, self.weight, self.ends, new = {}, [], [], list(words)
-        forms = sorted({plain(w) for w in new})
+        own = [plain(w) for w in new]
+        forms = sorted(set(own))
         weight = dict(zip(forms, (features(forms, self.marks, self.own) @ self.weights).tolist(), strict=True))
-        for w in new:
-            self.known[w] = len(self.weight)
-            self.weight.append(weight[plain(w)])
-            self.ends.append(w[-1:] in (b".", b"!", b"?"))
+        self.known.update(zip(new, range(len(self.weight), len(self.weight) + len(new)), strict=True))
+        self.weight.extend(map(weight.__getitem__, own))
+        self.ends.extend(w.endswith((b".", b"!", b"?")) for w in new)
 
     def figures(self, texts: list[bytes]) -> np.ndarray:
         """For each text: sum of words' positive weights, the best margin of a sentence, that sum by root of length, and
         the logarithm of the length."""
         split = [words_of(x) for x in texts]
-        self.learn_words(w for ws in split for w in ws)
+        self.learn_words(set().union(*split))
         weight, ends = np.array(self.weight + [0.0]), np.array([*self.ends, True])
         out = np.zeros((len(texts), 4))
         for k, ws in enumerate(split):

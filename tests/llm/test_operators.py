@@ -545,3 +545,28 @@ def test_subsequence_kernel_brute_force():
     for i, w in enumerate(words):
         for k, m in enumerate(marks):
             assert abs(found[i, k] - plain(w, m)) < 1e-4 * max(1, plain(w, m))
+
+
+def test_subsequence_kernel_is_frugal(monkeypatch):
+    """Short words and marks, characters of no mark; few words at once, and a word is brought to its plain form once."""
+    import itertools
+    import tracemalloc
+
+    words, marks = ["", "^a$", "^ab$", "^abc$", "^☃ab$", "^xabyczd$"], ["^ab", "^abc", "abczd$"]
+    found = toxicity.subsequence_kernel(words, marks)
+    assert (found[:3] == 0).all() and (found[:, 0] == 0).all() and found[4, 2] == 0
+    assert found[3, 1:].tolist() == pytest.approx([toxicity.DECAY**8, toxicity.DECAY**10])
+    at, of = {"a": 2, "b": 3, "c": 5, "z": 6, "d": 7, "$": 8}, "abczd$"
+    want = sum(toxicity.DECAY ** (at[c[3]] - at[c[0]] + 1 + of.index(c[3]) - of.index(c[0]) + 1) for c in itertools.combinations(of, 4))
+    assert found[5, 2] == pytest.approx(want, rel=1e-4)
+    tracemalloc.start()
+    toxicity.subsequence_kernel([f"^{k:06d}$" for k in range(4096)], [f"^{k:06d}" for k in range(32)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 << 20
+
+    calls, plain = collections.Counter(), toxicity.plain
+    monkeypatch.setattr(toxicity, "plain", lambda w: calls.update([w]) or plain(w))
+    model = toxicity.ToxicityModel(["^idiot$"], np.ones(1, np.float32), np.ones(1), 0.0, np.zeros(5))
+    model.scores([b"You idiot. You Idiot!", b"you, idiot."])
+    assert set(calls.values()) == {1} and len(model.known) == 4
