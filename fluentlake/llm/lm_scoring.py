@@ -14,8 +14,8 @@ gives the normalised probabilities.
    first, compressed) and a row per distinct word of the block (its training count there). This is written once.
 2. Counts per word are summed, and joined back to the blocks' dictionaries, but for words with count 1, whose class
    follows from how they end; each block's documents meet their dictionary by a cogroup, whose groups are bounded by the
-   block. It writes a row per document and, for each node, the tokens of the block that pass it. Nothing that grows with
-   the corpus is broadcast.
+   block. It writes a row per document, and one with the block's tokens, from which the tokens that pass each node are
+   taken when they are dealt. Nothing that grows with the corpus is broadcast.
 3. Each training round of the model of classes, every task trains on the documents that it reads, from the same start, and
    the parameters are averaged by tokens, in two levels. All training documents take part. Then tokens are dealt by node and
    part of a node (a part has about PART_TOKENS), and each node learns the vectors of its children, with the classes' vectors
@@ -112,15 +112,15 @@ def planes(numbers: np.ndarray) -> bytes:
 
 
 def tokens_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents (places in the block, kept as steps), children and contexts of the tokens of a node; see _score_counts."""
+    """Documents (places in the block, kept as steps), children and contexts of the tokens of a node; see _passing."""
     data = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(_TOKEN, -1).T
     pick = lambda at, end, kind: np.ascontiguousarray(data[:, at:end]).view(kind)
     return np.cumsum(pick(0, 4, "<i4").ravel(), dtype=np.int32), pick(4, 8, "<i4").ravel(), pick(8, _TOKEN, "<u2")
 
 
-def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_parts: np.ndarray):
+def _score_counts(total: float, mass: np.ndarray):
     """For a block: its documents and its dictionary with corpus counts, classes and places of the words in their groups.
-    A row per document, and one per node of the tree and side of the split with the tokens that pass it."""
+    A row per document, and one for the block with the lengths of its documents, their sides of the split, and its tokens."""
 
     def run(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
         block, n = key[0].as_py(), len(docs)
@@ -129,28 +129,43 @@ def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_part
         at = words.column("idx").to_numpy()
         place = words.column("place").to_numpy()  # see _PLACE
         c[at], cls[at] = words.column("c").to_numpy(), place & 255
-        group, slot, parts = np.full(len(ends), -1, np.int32), np.zeros(len(ends), np.int32), np.ones(len(ends), np.int32)
-        group[at], slot[at], parts[at] = (place >> 8 & (1 << 24) - 1) - 1, place >> 32 & (1 << 18) - 1, place >> 50
+        spot = cls.astype(np.int64)
+        spot[at] = place
         base = np.log10((c + 1) / total)
-        within = np.where(group < 0, np.log10((c + 1) / mass[cls]), 0)
+        within = np.where(spot < 256, np.log10((c + 1) / mass[cls]), 0)  # words without vectors
         texts = [unpack(raw) for raw in docs.column("ids").to_pylist()]
         out: list[list] = [[] for _ in range(5)]
         for ids in texts:
             for column, value in zip(out, (len(ids), int((c[ids] > 0).sum()), float(base[ids].sum()), float(within[ids].sum()), cls[ids].tobytes()), strict=True):
                 column.append(value)
-        rows = pa.table({"block": np.full(n, block), "pos": pa.array(np.arange(n), pa.int32()), "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "within": pa.array(out[3], pa.float64()), "classes": pa.array(out[4], pa.binary()), "node": pa.nulls(n, pa.int64()), "part": pa.nulls(n, pa.int32()), "data": pa.nulls(n, pa.binary())})
-
-        seen = np.concatenate([contexts(part)[0].astype("<u2") for _, part in _runs(rows.column("classes").combine_chunks())])
-        tokens, doc = np.concatenate(texts), np.repeat(np.arange(n, dtype=np.int32), out[0])
-        places = np.flatnonzero(group[tokens] >= 0).astype(np.int32)
-        word = tokens[places]
-        inner = groups[cls[word]] > 1  # classes of several groups have a node that predicts the group
-        k = cls[word].astype(np.int64)
-        node = np.concatenate([(k << 40) + (group[word] + 1), k[inner] << 40])
-        child = np.concatenate([slot[word], group[word][inner]])
-        of = np.concatenate([parts[word], class_parts[k[inner]]])
+        rows = pa.table({"block": np.full(n, block), "pos": pa.array(np.arange(n), pa.int32()), "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "within": pa.array(out[3], pa.float64()), "classes": pa.array(out[4], pa.binary()), "data": pa.nulls(n, pa.binary())})
+        data = zstandard.compress(np.array([n], "<i8").tobytes() + np.array(out[0], "<i4").tobytes() + np.asarray(docs.column("held_out"), np.uint8).tobytes() + planes(spot[np.concatenate(texts)]), 1)
+        tokens = pa.table({f.name: pa.array([{"block": block, "data": data}.get(f.name)], f.type) for f in rows.schema})
+        return pa.concat_tables([rows, tokens])
+
+    return run
+
+
+def _passing(groups: np.ndarray, class_parts: np.ndarray):
+    """From the tokens of blocks, a row per node of the tree and side of the split with the tokens that pass it. They are
+    not stored, as they take far more room than the blocks."""
+
+    def rows_of(block: int, raw: bytes) -> pa.RecordBatch:
+        whole = zstandard.decompress(raw)
+        n = int(np.frombuffer(whole, "<i8", 1)[0])
+        lengths, away = np.frombuffer(whole, "<i4", n, 8), np.frombuffer(whole, np.uint8, n, 8 + 4 * n)
+        spot = np.ascontiguousarray(np.frombuffer(whole, np.uint8, -1, 8 + 5 * n).reshape(8, -1).T).view("<i8").ravel()
+        cls, group, slot, parts = (spot & 255).astype(np.uint8), ((spot >> 8 & (1 << 24) - 1) - 1).astype(np.int32), (spot >> 32 & (1 << 18) - 1).astype(np.int32), (spot >> 50).astype(np.int32)
+        cuts = np.cumsum(lengths)[:-1]
+        seen = np.concatenate([contexts(part)[0].astype("<u2") for _, part in _runs(pa.array([x.tobytes() for x in np.split(cls, cuts)], pa.binary()))])
+        doc, places = np.repeat(np.arange(n, dtype=np.int32), lengths), np.flatnonzero(group >= 0).astype(np.int32)
+        k = cls[places].astype(np.int64)
+        inner = groups[k] > 1  # classes of several groups have a node that predicts the group
+        node = np.concatenate([(k << 40) + (group[places] + 1), k[inner] << 40])
+        child = np.concatenate([slot[places], group[places][inner]])
+        of = np.concatenate([parts[places], class_parts[k[inner]]])
         places = np.concatenate([places, places[inner]])
-        side = node * 2 + np.asarray(docs.column("held_out"), np.int64)[doc[places]]
+        side = node * 2 + away[doc[places]]
         order = np.argsort(side, kind="stable")
         cuts = np.flatnonzero(np.diff(side[order], prepend=-1))
         first, number = order[cuts], zlib.crc32(b"%d" % block)
@@ -159,9 +174,12 @@ def _score_counts(total: float, mass: np.ndarray, groups: np.ndarray, class_part
         seen, steps = seen[places], np.diff(doc[places], prepend=np.int32(0))
         steps[cuts] = doc[places[cuts]]
         data = [press(planes(steps[a:b]) + planes(child[a:b]) + planes(seen[a:b])) for a, b in zip(cuts, [*cuts[1:], len(order)][: len(cuts)], strict=True)]
-        m, nothing = len(cuts), lambda kind: pa.nulls(len(cuts), kind)
-        more = pa.table({"block": np.full(m, block), "pos": nothing(pa.int32()), "doc_id": nothing(pa.int64()), "held_out": (side[first] & 1).astype(bool), "n_tokens": nothing(pa.int64()), "n_known": nothing(pa.int64()), "base_score": nothing(pa.float64()), "within": nothing(pa.float64()), "classes": nothing(pa.binary()), "node": node[first], "part": pa.array(number % of[first], pa.int32()), "data": pa.array(data, pa.binary())})
-        return pa.concat_tables([rows, more])
+        return pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(number % of[first], pa.int32()), pa.array(np.full(len(cuts), block)), pa.array((side[first] & 1).astype(bool)), pa.array(data, pa.binary())], ["node", "part", "block", "held_out", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column(0), batch.column(1), strict=True):
+                yield rows_of(block.as_py(), raw.as_py())
 
     return run
 
@@ -517,10 +535,11 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     by_counts = classed.where(f"not ({VECTORS}) and (c != 1 or cls <= {COMMON})").select("word", "c", F.col("cls").cast("long").alias("place"))
     dictionary = words.select("block", "idx", "word").join(own.select("word", "c", F.expr(_PLACE).alias("place")).unionByName(by_counts), "word").select("block", "idx", "c", "place")
     documents = blocks.where("ids is not null").select((F.col("block") + 0).alias("doc_block"), "doc_id", "held_out", "ids", "ends")
-    schema = "block long, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary, node long, part int, data binary"
-    ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass, groups, class_parts), schema), "classes", "zstd")
+    schema = "block long, pos int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary, data binary"
+    ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass), schema), "classes", "zstd")
     delete_between(spark, mark, encoded)  # no later plan reads the encoded blocks and the counts
-    docs_ready, passing = ready.where("node is null"), ready.where("node is not null")
+    docs_ready = ready.where("data is null")
+    passing = ready.where("data is not null").select("block", "data").mapInArrow(_passing(groups, class_parts), "node long, part int, block long, held_out boolean, data binary")
 
     # the model of classes, by all tasks
     params = None

@@ -337,6 +337,25 @@ def test_lm_node_scores_in_the_pass_that_trains():
         assert np.allclose(np.frombuffer(r["logs"], np.float32), [logs[:2].sum(), logs[2:].sum()], atol=1e-4)
 
 
+def test_lm_passing_tokens_come_from_blocks():
+    """A block's row holds its tokens once; the nodes they pass, their documents, children and contexts come from it."""
+    import pyarrow as pa
+    import zstandard
+
+    spot = lambda cls, group=-1, slot=0, parts=0: cls + (group + 1 << 8) + (slot << 32) + (parts << 50)
+    tokens, lengths = np.array([spot(3), spot(250, 1, 9, 1), spot(0), spot(250, 0, 4, 1), spot(240, 0, 7, 2), spot(0)]), [3, 3]
+    data = zstandard.compress(np.array([2], "<i8").tobytes() + np.array(lengths, "<i4").tobytes() + bytes([0, 1]) + lm_scoring.planes(tokens))
+    groups = np.ones(lm_scoring.CLASSES, np.int64)
+    groups[250] = 2
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([data], pa.binary())], ["block", "data"])
+    rows = [r for b in lm_scoring._passing(groups, np.ones(lm_scoring.CLASSES, np.int64))(iter([batch])) for r in b.to_pylist()]
+    found = {(r["node"], r["held_out"]): [x.tolist() for x in lm_scoring.tokens_of(r["data"])] for r in rows}
+    none, top = lm_scoring.CLASSES, 250 << 40
+    first, second = [[3, none, none]], [[none] * 3]
+    assert found == {(top + 2, False): [[0], [9], first], (top, False): [[0], [1], first], (top + 1, True): [[1], [4], second], (top, True): [[1], [0], second], ((240 << 40) + 1, True): [[1], [7], [[250, none, none]]]}
+    assert {r["block"] for r in rows} == {5} and {r["part"] for r in rows if r["node"] >> 40 == 250} == {0}
+
+
 def test_lm_tree_brute_force(spark, monkeypatch):
     """Without training, nodes of several groups and parts must give each word its share of its class's counts."""
     monkeypatch.setattr(lm_scoring, "GROUP", 24)
