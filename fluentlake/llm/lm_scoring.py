@@ -51,6 +51,10 @@ BLOCK_BYTES = 10 << 20
 #: that one task trains on at a time, and the start of AdaGrad's sums.
 VECTORS = f"cls >= {1 + COMMON + 2 * BY_END}"
 GROUP, PART_TOKENS, NODE_BATCH, DAMPING = 256, 1 << 22, 1024, 4.0
+#: Tokens after a class from which on the sums of a softmax are made for all contexts that end with it; see Softmax.
+OFTEN = 2000
+#: Tokens of a node that are scored at once, of some blocks.
+SCORED = 1 << 15
 #: Parts of a group at most (of 13 bits), and documents whose sums a task holds before it hands them on.
 MOST_PARTS, SUMS = 4096, 1 << 20
 _TOKEN = 8 + 2 * CONTEXT
@@ -60,33 +64,55 @@ _PLACE = "cls + shiftleft(grp + 1L, 8) + shiftleft(cast(slot as long), 32) + shi
 _BLOCKS = "block long, doc_id long, held_out boolean, ids binary, ends binary, idx int, word binary, count long"
 
 
+_press, _open = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def press(data: bytes | np.ndarray) -> bytes:
+    return _press.compress(data)
+
+
+def opened(raw: bytes) -> bytes:
+    return _open.decompress(raw)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Compressed numbers: all lowest bytes first, then the next ones."""
-    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return press(planes(ids.astype("<i4", copy=False)))
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    return _whole(np.frombuffer(opened(raw), np.uint8).reshape(4, -1), np.int32)
+
+
+class _Endings(dict):
+    def __missing__(self, end: bytes) -> int:
+        self[end] = place = zlib.crc32(end) % BY_END
+        return place
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     names = ["block", "doc_id", "held_out", "ids", "ends", "idx", "word", "count"]
-    number = TaskContext.get().partitionId() << 24
+    number, ending = TaskContext.get().partitionId() << 24, _Endings()
     for batch in batches:
         k, total = 0, pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
         most = total / max(1, -(-total // BLOCK_BYTES))
         while k < len(batch):
-            ids: dict[bytes, int] = {b"": 0}
+            ids = _Numbers({b"": 0})
             encoded, trained, size, begin = [], [], 0, k
             while k < len(batch) and (k == begin or size < most):
                 raw = batch.column(2)[k].as_py()
                 words = raw.lower().split()
                 words.append(b"")
-                for w in set(words):
-                    if w not in ids:
-                        ids[w] = len(ids)
                 tokens = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
                 encoded.append(tokens)
                 if not batch.column(1)[k].as_py():
@@ -99,7 +125,7 @@ def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             place = np.empty(m, np.int32)
             place[common] = np.arange(m)
             ends = np.empty(m, np.uint8)
-            ends[place] = np.fromiter((zlib.crc32(w[-2:]) % BY_END for w in ids), np.uint8, m)
+            ends[place] = np.fromiter((ending[w[-2:]] for w in ids), np.uint8, m)
             nothing = lambda count, kind: pa.nulls(count, kind)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), pa.array([pack(place[x]) for x in encoded], pa.binary()), pa.array([zstandard.compress(ends.tobytes(), 1)] + [None] * (n - 1), pa.binary()), nothing(n, pa.int32()), nothing(n, pa.binary()), nothing(n, pa.int64())], names)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), nothing(m, pa.int64()), nothing(m, pa.bool_()), nothing(m, pa.binary()), nothing(m, pa.binary()), pa.array(place, pa.int32()), pa.array(list(ids), pa.binary()), pa.array(counts, pa.int64())], names)
@@ -107,15 +133,24 @@ def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """All lowest bytes first, then the next ones: the high bytes are mostly alike."""
-    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    """All lowest bytes first, then the next ones: the high bytes are mostly alike. For rows, those of a column together."""
+    return b"".join((column >> 8 * k).astype(np.uint8).tobytes() for column in (numbers.T if numbers.ndim > 1 else [numbers]) for k in range(numbers.itemsize))
+
+
+def _whole(parts: np.ndarray, kind: type) -> np.ndarray:
+    """Numbers from their planes."""
+    out = parts[0].astype(kind)
+    for k in range(1, len(parts)):
+        if parts[k].any():
+            out |= parts[k].astype(kind) << 8 * k
+    return out
 
 
 def tokens_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents (places in the block, kept as steps), children and contexts of the tokens of a node; see _passing."""
-    data = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(_TOKEN, -1).T
-    pick = lambda at, end, kind: np.ascontiguousarray(data[:, at:end]).view(kind)
-    return np.cumsum(pick(0, 4, "<i4").ravel(), dtype=np.int32), pick(4, 8, "<i4").ravel(), pick(8, _TOKEN, "<u2")
+    data = np.frombuffer(opened(raw), np.uint8).reshape(_TOKEN, -1)
+    seen = np.stack([_whole(data[k : k + 2], np.int64) for k in range(8, _TOKEN, 2)])
+    return np.cumsum(_whole(data[:4], np.int32), dtype=np.int32), _whole(data[4:8], np.int64), seen.T
 
 
 def _score_counts(total: float, mass: np.ndarray):
@@ -146,53 +181,65 @@ def _score_counts(total: float, mass: np.ndarray):
     return run
 
 
-def _passing(groups: np.ndarray, class_parts: np.ndarray):
+def _passing(groups: np.ndarray, class_parts: np.ndarray, split: bool = False):
     """From the tokens of blocks, a row per node of the tree and side of the split with the tokens that pass it. They are
-    not stored, as they take far more room than the blocks."""
+    not stored, as they take far more room than the blocks. split: of nodes of several parts alone."""
+    offsets = np.cumsum(groups + 1) - groups - 1  # nodes numbered one after the other
 
-    def rows_of(block: int, raw: bytes) -> pa.RecordBatch:
-        whole = zstandard.decompress(raw)
+    def rows_of(block: int, raw: bytes) -> pa.RecordBatch | None:
+        whole = opened(raw)
         n = int(np.frombuffer(whole, "<i8", 1)[0])
         lengths, away = np.frombuffer(whole, "<i4", n, 8), np.frombuffer(whole, np.uint8, n, 8 + 4 * n)
-        spot = np.ascontiguousarray(np.frombuffer(whole, np.uint8, -1, 8 + 5 * n).reshape(8, -1).T).view("<i8").ravel()
-        cls, group, slot, parts = (spot & 255).astype(np.uint8), ((spot >> 8 & (1 << 24) - 1) - 1).astype(np.int32), (spot >> 32 & (1 << 18) - 1).astype(np.int32), (spot >> 50).astype(np.int32)
-        cuts = np.cumsum(lengths)[:-1]
-        seen = np.concatenate([contexts(part)[0].astype("<u2") for _, part in _runs(pa.array([x.tobytes() for x in np.split(cls, cuts)], pa.binary()))])
-        doc, places = np.repeat(np.arange(n, dtype=np.int32), lengths), np.flatnonzero(group >= 0).astype(np.int32)
-        k = cls[places].astype(np.int64)
-        inner = groups[k] > 1  # classes of several groups have a node that predicts the group
-        node = np.concatenate([(k << 40) + (group[places] + 1), k[inner] << 40])
-        child = np.concatenate([slot[places], group[places][inner]])
-        of = np.concatenate([parts[places], class_parts[k[inner]]])
-        places = np.concatenate([places, places[inner]])
-        side = node * 2 + away[doc[places]]
-        order = np.argsort(side, kind="stable")
-        cuts = np.flatnonzero(np.diff(side[order], prepend=-1))
-        first, number = order[cuts], zlib.crc32(b"%d" % block)
-        press = zstandard.ZstdCompressor(level=1).compress
-        places, child = places[order], child[order]
-        seen, steps = seen[places], np.diff(doc[places], prepend=np.int32(0))
+        spot = _whole(np.frombuffer(whole, np.uint8, -1, 8 + 5 * n).reshape(8, -1), np.int64)
+        cls = spot.astype(np.uint8)
+        places = np.flatnonzero(spot >= 256)  # tokens with vectors
+        spot = spot[places]
+        k, group, parts = spot & 255, (spot >> 8 & (1 << 24) - 1) - 1, spot >> 50
+        below, inner = np.flatnonzero(parts > split), np.flatnonzero((groups[k] > 1) & (class_parts[k] > split))  # classes of several groups have a node that predicts the group
+        if not len(below) + len(inner):
+            return None
+        dense = np.concatenate([(offsets[k] + group + 1)[below], offsets[k[inner]]])
+        child = np.concatenate([(spot >> 32 & (1 << 18) - 1)[below], group[inner]])
+        of = np.concatenate([parts[below], class_parts[k[inner]]])
+        doc = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        places = np.concatenate([places[below], places[inner]])
+        dense = dense * 2 + away[doc[places]]
+        order = np.argsort(dense.astype(np.uint16), kind="stable")
+        if dense.max() >> 16:
+            order = order[np.argsort((dense >> 16).astype(np.uint32)[order], kind="stable")]
+        side = dense[order]
+        cuts = np.flatnonzero(np.diff(side, prepend=-1))
+        first, side = order[cuts], side[cuts]
+        kind = np.searchsorted(offsets, side >> 1, "right") - 1
+        node, number = (kind << 40) + (side >> 1) - offsets[kind], zlib.crc32(b"%d" % block)
+        places, child = places[order], child[order].astype("<i4")
+        steps = np.diff(doc[places], prepend=np.int32(0))
         steps[cuts] = doc[places[cuts]]
-        data = [press(planes(steps[a:b]) + planes(child[a:b]) + planes(seen[a:b])) for a, b in zip(cuts, [*cuts[1:], len(order)][: len(cuts)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(number % of[first], pa.int32()), pa.array(np.full(len(cuts), block)), pa.array((side[first] & 1).astype(bool)), pa.array(data, pa.binary())], ["node", "part", "block", "held_out", "data"])
+        seen = contexts_of(cls, lengths)
+        whole = np.concatenate([np.frombuffer(planes(x), np.uint8).reshape(-1, len(order)) for x in (steps, child, *(x.astype("<u2")[places] for x in seen))])
+        data = [press(np.ascontiguousarray(whole[:, a:b])) for a, b in zip(cuts, [*cuts[1:], len(order)][: len(cuts)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array((number % of[first]).astype(np.int32)), pa.array(np.full(len(cuts), block)), pa.array((side & 1).astype(bool)), pa.array(data, pa.binary())], ["node", "part", "block", "held_out", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column(0), batch.column(1), strict=True):
-                yield rows_of(block.as_py(), raw.as_py())
+                if (rows := rows_of(block.as_py(), raw.as_py())) is not None:
+                    yield rows
 
     return run
 
 
-_cells = np.arange(WIDTH).reshape(1, WIDTH)
+_cells = np.arange(WIDTH // 2).reshape(1, WIDTH // 2)
 
 
 def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """n rows: the sums of the rows with the same place."""
+    """n rows: the sums of the rows with the same place. Two columns are added at a time, as a complex number."""
     global _cells
     if len(_cells) < n:
-        _cells = np.arange(n * WIDTH).reshape(n, WIDTH)
-    return np.bincount(_cells.take(at, axis=0).ravel(), rows.ravel(), n * WIDTH).reshape(n, WIDTH)
+        _cells = np.arange(n * (WIDTH // 2)).reshape(n, WIDTH // 2)
+    total = np.zeros((n, WIDTH), np.float32)
+    np.add.at(total.reshape(-1).view(np.complex64), _cells.take(at, axis=0).reshape(-1), rows.reshape(-1).view(np.complex64))
+    return total
 
 
 _room: dict[str, np.ndarray] = {}
@@ -205,98 +252,169 @@ def _buffer(name: str, rows: int, columns: int) -> np.ndarray:
     return _room[name][: rows * columns].reshape(rows, columns)
 
 
-def _log_softmax(q: np.ndarray, target: np.ndarray, bias: np.ndarray, child: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the normalised probabilities of children, from predicted vectors. Few rows at once stay in the
-    processor's cache."""
-    n, out = len(bias), np.empty(len(child), np.float32)
-    vectors, ones, most = np.concatenate([target, bias[:, None]], axis=1).T, np.ones(n, np.float32), max(16, (1 << 17) // n)
+def _log_softmax(q: np.ndarray, rows: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the normalised probabilities of children, from predicted vectors, for scores of any size."""
+    out, most = np.empty(len(child), np.float32), max(16, (1 << 17) // len(rows))
     for k in range(0, len(child), most):
-        some = child[k : k + most]
-        known = _buffer("known", len(some), WIDTH + 1)  # the last column is for the bias
-        known[:, :WIDTH], known[:, WIDTH] = q[k : k + most], 1
-        scores = np.matmul(known, vectors, out=_buffer("scores", len(some), n))
-        if scores.max() > 60 or scores.min() < -60:  # else the exponentials are in the range of floats as they are
-            scores -= scores.max(axis=1)[:, None]
-        picked = scores[np.arange(len(some)), some]
-        np.exp(scores, out=scores)
-        out[k : k + most] = picked - np.log(scores @ ones)
+        scores = q[k : k + most] @ rows.T
+        scores -= scores.max(axis=1)[:, None]
+        out[k : k + most] = scores[np.arange(len(scores)), child[k : k + most]] - np.log(np.exp(scores).sum(axis=1))
     return out
 
 
-def _contrast(q: np.ndarray, target: np.ndarray, bias: np.ndarray, log_share: np.ndarray, child: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Noise-contrastive estimation: for a batch with shared noise words, the gradients of the true children's scores, of the
-    noise's vectors and of its biases, and the true children's vectors and the noise's. Noise counts as wrong."""
-    true, wrong = target.take(child, axis=0), target[noise]
-    real = np.einsum("bd,bd->b", q, true) + (bias - log_share)[child]
-    up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-    down = np.matmul(q, wrong.T, out=_buffer("down", len(child), len(noise)))
-    np.subtract((log_share - bias)[noise], down, out=down)
-    np.minimum(down, 30, out=down)
-    np.exp(down, out=down)
-    down += 1
-    np.reciprocal(down, out=down)
-    return up, -(q.T @ down).T, -down.sum(axis=0), true, wrong, down
+class Softmax:
+    """Natural logarithms of the normalised probabilities of a node's children, by the classes of the context. A score is a
+    sum over the places of the context, so its exponential is a product of a factor for each place, and the sum over the
+    children is a product of three rows of factors. For a class that comes often right before, a matrix product makes these
+    sums for all pairs of classes in the other places."""
+
+    def __init__(self, places: np.ndarray, rows: np.ndarray):
+        self.places, self.rows, self.n = places, rows, len(rows)
+        self.scores = places @ rows.T
+        self.factors = np.exp(self.scores) if np.abs(self.scores).max(axis=(1, 2)).sum() < 60 else None  # else out of the range of floats
+        self.sums, self.met, self.made = None, np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, bool)
+
+    def __call__(self, seen: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """seen: by place of the context, the last class first; child: both as whole numbers of 64 bits."""
+        if self.factors is None:
+            return _log_softmax(_predicted(self.places, seen), self.rows, child)
+        picked = self.scores[0].reshape(-1).take(seen[0] * self.n + child)
+        for k in range(1, CONTEXT):
+            picked += self.scores[k].reshape(-1).take(seen[k] * self.n + child)
+        return picked - self.log_sums(seen)
+
+    def log_sums(self, seen: np.ndarray) -> np.ndarray:
+        last, later, (first, *rest) = seen[0], seen[1:], self.factors
+        self.met += np.bincount(last, minlength=CLASSES + 1)
+        for x in np.flatnonzero(~self.made & (self.met > OFTEN)):
+            if self.sums is None:
+                self.sums = np.empty((CLASSES + 1,) * CONTEXT, np.float32)
+            self.sums[x] = np.log((rest[0] * first[x]) @ rest[1].T)
+            self.made[x] = True
+        if self.sums is None:
+            return self._few(seen)
+        known = self.made.take(last)
+        out = self.sums.reshape(-1).take(((last * (CLASSES + 1) + later[0]) * (CLASSES + 1) + later[1]) * known)
+        if not known.all():
+            others = np.flatnonzero(~known)
+            out[others] = self._few(seen[:, others])
+        return out
+
+    def _few(self, seen: np.ndarray) -> np.ndarray:
+        out, most = np.empty(seen.shape[1], np.float32), max(16, (1 << 16) // self.n)  # few rows at once stay in the processor's cache
+        for k in range(0, len(out), most):
+            some = seen[:, k : k + most]
+            product = self.factors[0].take(some[0], axis=0, out=_buffer("product", some.shape[1], self.n), mode="clip")
+            product *= self.factors[1].take(some[1], axis=0, out=_buffer("factor", some.shape[1], self.n), mode="clip")
+            out[k : k + most] = np.vecdot(product, self.factors[2].take(some[2], axis=0, out=_buffer("factor", some.shape[1], self.n), mode="clip"))
+        return np.log(out)
+
+
+def _predicted(places: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Predicted vectors and a one each, from contexts by place (CONTEXT x tokens)."""
+    out = places[0].take(seen[0], axis=0)
+    for k in range(1, CONTEXT):
+        out += places[k].take(seen[k], axis=0)
+    return out
+
+
+def _contrast(q: np.ndarray, rows: np.ndarray, log_share: np.ndarray, child: np.ndarray, noise: np.ndarray, pull: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Noise-contrastive estimation: for a batch with shared noise words, the gradients of the rows (vector and bias) and, if
+    asked for, those of the predicted vectors. Noise counts as wrong. The logistic function is taken as 1/2 + tanh(x/2)/2."""
+    odds = rows.copy()
+    odds[:, WIDTH] -= log_share
+    true, half = odds.take(child, axis=0), odds.take(noise, axis=0) / 2
+    ones, by_column = np.ones(len(q), np.float32), np.ascontiguousarray(half.T)
+    up = 0.5 - 0.5 * np.tanh((q * true) @ np.full(WIDTH + 1, 0.5, np.float32))
+    wrong, dq, most = np.tile(-(ones @ q), (len(noise), 1)), None, 512  # rows at once stay in the processor's cache
+    if pull:
+        dq = up[:, None] * true[:, :WIDTH]
+        dq -= half[:, :WIDTH].sum(axis=0)
+    for k in range(0, len(child), most):
+        some = q[k : k + most]
+        tanh = np.matmul(some, by_column, out=_buffer("tanh", len(some), len(noise)))
+        np.tanh(tanh, out=tanh)
+        wrong -= tanh.T @ some
+        if pull:
+            dq[k : k + most] -= tanh @ half[:, :WIDTH]
+    wrong /= 2
+    grad = np.empty_like(rows)
+    np.add(_sum_rows(child, up[:, None] * q[:, :WIDTH], len(rows)), _sum_rows(noise, wrong[:, :WIDTH].copy(), len(rows)), out=grad[:, :WIDTH])
+    grad[:, WIDTH] = np.bincount(child, up, len(rows)) + np.bincount(noise, wrong[:, WIDTH], len(rows))
+    return grad, dq
 
 
 class LogBilinear:
-    """Class vectors as context and as target, a diagonal weight per place of the context, and a bias per target class."""
+    """Class vectors as context and as target, a diagonal weight per place of the context, and a bias per target class, which
+    is the last column of the targets' rows."""
 
     def __init__(self, share: np.ndarray, params: np.ndarray | None = None):
         self.share, self.log_share, self.drawn = share, np.log(share * NOISE).astype(np.float32), np.cumsum(share)
         self.drawn /= self.drawn[-1]
-        self.shapes = [(CLASSES + 1, WIDTH), (CLASSES, WIDTH), (CONTEXT, WIDTH), (CLASSES,)]
+        shapes = [(CLASSES + 1, WIDTH), (CLASSES, WIDTH + 1), (CONTEXT, WIDTH)]
         if params is None:
             rng = np.random.default_rng(3)
-            params = np.concatenate([rng.normal(0, 0.1, int(np.prod(s))) for s in self.shapes[:2]] + [np.full(CONTEXT * WIDTH, 0.5), np.log(share)])
+            context, target = rng.normal(0, 0.1, shapes[0]), rng.normal(0, 0.1, (CLASSES, WIDTH))
+            params = np.concatenate([context.ravel(), np.column_stack([target, np.log(share)]).ravel(), np.full(CONTEXT * WIDTH, 0.5)])
         self.flat = params.astype(np.float32)
-        cuts = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes)])
-        self.context, self.target, self.place, self.bias = (self.flat[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], self.shapes, strict=True))
+        self.cut = lambda flat: (flat[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], shapes, strict=True))
+        cuts = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
+        self.context, self.rows, self.place = self.cut(self.flat)
+
+    def places(self) -> np.ndarray:
+        """Class vectors weighed for each place of the context, with a column whose sum over the places is one."""
+        out = np.zeros((CONTEXT, CLASSES + 1, WIDTH + 1), np.float32)
+        np.multiply(self.context, self.place[:, None], out=out[:, :, :WIDTH])
+        out[0, :, WIDTH] = 1
+        return out
 
     def predicted(self, seen: np.ndarray) -> np.ndarray:
         """Predicted vectors from contexts (tokens x CONTEXT)."""
-        out = (self.context * self.place[0]).take(seen[:, 0], axis=0)
-        for k in range(1, CONTEXT):
-            out += (self.context * self.place[k]).take(seen[:, k], axis=0)
-        return out
+        return _predicted(self.places(), by_place(seen))[:, :WIDTH]
 
     def log_probabilities(self, seen: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of the target classes."""
-        return _log_softmax(self.predicted(seen), self.target, self.bias, targets)
+        return Softmax(self.places(), self.rows)(by_place(seen), targets)
 
     def train(self, seen: np.ndarray, targets: np.ndarray, rate: float, state: np.ndarray, rng: np.random.Generator) -> None:
-        """A step of noise-contrastive estimation (AdaGrad) on a batch; the noise words are shared by the batch."""
+        """A step of noise-contrastive estimation (AdaGrad) on a batch (contexts by place); the noise words are shared by the
+        batch."""
         noise = self.drawn.searchsorted(rng.random(NOISE), "right")
-        q = self.predicted(seen)
-        up, wrong_vectors, wrong_biases, true, wrong, down = _contrast(q, self.target, self.bias, self.log_share, targets, noise)
-        dq = up[:, None] * true
-        dq -= down @ wrong
         grad = np.zeros_like(self.flat)
-        cuts = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes)])
-        g_context, g_target, g_place, g_bias = (grad[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], self.shapes, strict=True))
-        g_target += _sum_rows(targets, up[:, None] * q, CLASSES)
-        np.add.at(g_target, noise, wrong_vectors)
-        g_bias += np.bincount(targets, up, CLASSES)
-        g_bias += np.bincount(noise, wrong_biases, CLASSES)
+        g_context, g_rows, g_place = self.cut(grad)
+        g_rows[:], dq = _contrast(_predicted(self.places(), seen), self.rows, self.log_share, targets, noise, True)
         for k in range(CONTEXT):
-            sums = _sum_rows(seen[:, k], dq, CLASSES + 1)
-            g_place[k] = (sums * self.context).sum(axis=0)
+            sums = _sum_rows(seen[k], dq, CLASSES + 1)
+            g_place[k] = np.einsum("cd,cd->d", sums, self.context)
             g_context += sums * self.place[k]
         grad /= len(targets)
         state += grad * grad
         self.flat += rate * grad / np.sqrt(state + 1e-8)
 
 
+def by_place(seen: np.ndarray) -> np.ndarray:
+    """Contexts (tokens x CONTEXT) by place, as indices."""
+    return np.ascontiguousarray(seen.T, np.int64)
+
+
+def contexts_of(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """By place of the context, the classes before each token of texts of these lengths. Before a text, the extra class
+    CLASSES."""
+    starts = (np.cumsum(lengths) - lengths)[np.asarray(lengths) > 0]
+    seen = np.full((CONTEXT, len(classes)), CLASSES, np.int64)
+    for k in range(CONTEXT):
+        seen[k, k + 1 :] = classes[: -k - 1]
+        for j in range(k + 1):
+            at = starts + j
+            seen[k, at[at < len(classes)]] = CLASSES
+    return seen
+
+
 def contexts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and targets of texts given as classes, and where texts begin. Before a text, the extra class CLASSES."""
+    """Contexts (tokens x CONTEXT) and targets of texts given as classes, and where texts begin."""
     lengths = np.array([len(x) for x in raw])
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    targets = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-    seen = np.full((len(targets), CONTEXT), CLASSES, np.int64)
-    nth = np.arange(len(targets)) - np.repeat(bounds[:-1], lengths)
-    for k in range(CONTEXT):
-        ok = np.flatnonzero(nth > k)
-        seen[ok, k] = targets[ok - k - 1]
-    return seen, targets, bounds
+    classes = np.frombuffer(b"".join(raw), np.uint8)
+    return contexts_of(classes, lengths).T, classes.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])
 
 
 def _runs(column: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, list[bytes]]]:
@@ -318,9 +436,9 @@ def _train(share: np.ndarray, params: np.ndarray | None, rate: float):
             for _, part in _runs(batch.column(0)):
                 seen, targets, _ = contexts(part)
                 order = rng.permutation(len(targets))
+                seen, targets = by_place(seen).take(order, axis=1), targets[order]
                 for k in range(0, len(order), BATCH):
-                    at = order[k : k + BATCH]
-                    model.train(seen[at], targets[at], rate, state, rng)
+                    model.train(seen[:, k : k + BATCH], targets[k : k + BATCH], rate, state, rng)
                 count += len(targets)
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([(model.flat.astype(np.float64) * count).tobytes()], pa.binary())], ["n", "params"])
@@ -342,27 +460,25 @@ class Node:
     def __init__(self, counts: np.ndarray, params: bytes | None = None):
         n = len(counts)
         self.share = (counts + 1e-3) / (counts + 1e-3).sum()
-        self.flat = np.concatenate([np.zeros(n * WIDTH), np.log(self.share)]).astype(np.float32) if params is None else np.frombuffer(params, np.float32)
-        self.target, self.bias = self.flat[: n * WIDTH].reshape(n, WIDTH), self.flat[n * WIDTH :]
+        self.flat = np.column_stack([np.zeros((n, WIDTH)), np.log(self.share)]).astype(np.float32).ravel() if params is None else np.frombuffer(params, np.float32)
+        self.rows = self.flat.reshape(n, WIDTH + 1)  # the last column has the biases
         self.log_share, self.drawn = np.log(self.share * NOISE).astype(np.float32), np.cumsum(self.share)
         self.drawn /= self.drawn[-1]
-        self.state = np.full(len(self.flat), DAMPING, np.float32)
+        self.state = np.full((n, WIDTH + 1), DAMPING, np.float32)
 
     def log_probabilities(self, q: np.ndarray, child: np.ndarray) -> np.ndarray:
-        return _log_softmax(q, self.target, self.bias, child)
+        return _log_softmax(_with_ones(q), self.rows, child)
 
     def train(self, q: np.ndarray, child: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         """A step of noise-contrastive estimation (AdaGrad); a word's first steps are short, as the state begins at DAMPING."""
-        n = len(self.share)
         noise = self.drawn.searchsorted(rng.random(NOISE), "right")
-        up, wrong_vectors, wrong_biases, *_ = _contrast(q, self.target, self.bias, self.log_share, child, noise)
-        grad = np.zeros_like(self.flat)
-        g_target, g_bias = grad[: n * WIDTH].reshape(n, WIDTH), grad[n * WIDTH :]
-        g_target += _sum_rows(child, up[:, None] * q, n)
-        np.add.at(g_target, noise, wrong_vectors)
-        g_bias += np.bincount(child, up, n) + np.bincount(noise, wrong_biases, n)
+        grad, _ = _contrast(q if q.shape[1] > WIDTH else _with_ones(q), self.rows, self.log_share, child, noise, False)
         self.state += grad * grad
-        self.flat += rate * grad / np.sqrt(self.state)
+        self.rows += rate * grad / np.sqrt(self.state)
+
+
+def _with_ones(q: np.ndarray) -> np.ndarray:
+    return np.column_stack([q, np.ones(len(q), np.float32)])
 
 
 class Sums:
@@ -371,9 +487,21 @@ class Sums:
     def __init__(self):
         self.held, self.size = {}, 0
 
-    def add(self, base: LogBilinear, node: Node, block: int, data: bytes) -> None:
-        doc, child, seen = tokens_of(data)
-        logs = np.concatenate([node.log_probabilities(base.predicted(seen[k : k + BATCH]), child[k : k + BATCH]) for k in range(0, len(doc), BATCH)])
+    def add(self, softmax: Softmax, found: list[tuple[int, bytes]]) -> None:
+        """found: tokens of the node by block. Those of some blocks are scored at once, as a block has few."""
+        held, size = [], 0
+        for k, (block, data) in enumerate(found):
+            held.append((block, *tokens_of(data)))
+            size += len(held[-1][1])
+            if size >= SCORED or k == len(found) - 1:
+                logs = softmax(by_place(np.concatenate([x[3] for x in held])), np.concatenate([x[2] for x in held])).astype(np.float64)
+                logs /= np.log(10)
+                for block, doc, *_ in held:
+                    self._sum(block, doc, logs[: len(doc)])
+                    logs = logs[len(doc) :]
+                held, size = [], 0
+
+    def _sum(self, block: int, doc: np.ndarray, logs: np.ndarray) -> None:
         total = self.held.get(block, np.zeros(0))
         if len(total) <= doc[-1]:  # documents ascend
             longer = np.zeros(max(int(doc[-1]) + 1, 2 * len(total)))
@@ -381,7 +509,7 @@ class Sums:
             self.size += len(longer) - len(total)
             self.held[block] = total = longer
         begin = np.flatnonzero(np.diff(doc, prepend=-1))
-        total[doc[begin]] += np.add.reduceat(logs.astype(np.float64), begin) / np.log(10)
+        total[doc[begin]] += np.add.reduceat(logs, begin)
 
     def rows(self) -> list[tuple[int, bytes, bytes]]:
         out = [(block, pack(at := np.flatnonzero(total)), total[at].astype(np.float32).tobytes()) for block, total in self.held.items()]
@@ -397,37 +525,36 @@ def _learn_nodes(share: np.ndarray, params: np.ndarray, rate: float):
     of one part scores its tokens, those of held-out documents too, and one of several hands on its parameters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, at, node, size, held, kept, sums = LogBilinear(share, params), None, None, 0, [], [], Sums()
+        places, at, node, size, held, kept, sums = LogBilinear(share, params).places(), None, None, 0, [], [], Sums()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in _LEARNT.split(", ")]
         table = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         def step() -> int:
-            child, seen = (np.concatenate(x) for x in zip(*held, strict=True))
+            child, seen = np.concatenate([x for x, _ in held]), by_place(np.concatenate([x for _, x in held]))
             held.clear()
             order = np.random.default_rng(len(child)).permutation(len(child))
             for k in range(0, len(order), NODE_BATCH):
                 some = order[k : k + NODE_BATCH]
-                node.train(base.predicted(seen[some]), child[some], rate, rng)
+                node.train(_predicted(places, seen.take(some, axis=1)), child[some], rate, rng)
             return len(child)
 
         def done() -> list[tuple]:
             n = size + (step() if held else 0)
             if at[2] > 1:
                 return [(*at[:2], n, len(node.share), node.flat.tobytes(), None, None, None)]
-            for block, data in kept:
-                sums.add(base, node, block, data)
+            sums.add(Softmax(places, node.rows), kept)
             kept.clear()
             return [(None,) * 5 + x for x in sums.rows()] if sums.size > SUMS else []
 
         for batch in batches:
-            for key, part, parts, places, counts, data, block, away in zip(*(batch.column(k) for k in range(8)), strict=True):
+            for key, part, parts, children, counts, data, block, away in zip(*(batch.column(k) for k in range(8)), strict=True):
                 if data.as_py() is None:
                     if node is not None and (rows := done()):
                         yield table(rows)
-                    at, size, rng, places = (key.as_py(), part.as_py(), parts.as_py()), 0, np.random.default_rng(11), np.array(places.as_py())
-                    of = np.zeros(places.max() + 1)
-                    of[places] = counts.as_py()
+                    at, size, rng, children = (key.as_py(), part.as_py(), parts.as_py()), 0, np.random.default_rng(11), np.array(children.as_py())
+                    of = np.zeros(children.max() + 1)
+                    of[children] = counts.as_py()
                     node = Node(of)
                     continue
                 if at[2] == 1:
@@ -452,16 +579,24 @@ def _score_nodes(share: np.ndarray, params: np.ndarray):
     """Rows come by node and part, its parameters first: sums of log10 probabilities per document of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, node, sums = LogBilinear(share, params), None, Sums()
+        places, softmax, kept, sums = LogBilinear(share, params).places(), None, [], Sums()
         table = lambda: pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*sums.rows(), strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "pos", "logs"])
         for batch in batches:
             for block, children, learnt, data in zip(*(batch.column(k) for k in range(4)), strict=True):
                 if data.as_py() is None:
-                    node = Node(np.ones(children.as_py()), learnt.as_py())
+                    if kept:
+                        sums.add(softmax, kept)
+                        kept.clear()
+                    softmax = Softmax(places, Node(np.ones(children.as_py()), learnt.as_py()).rows)
                     continue
-                sums.add(base, node, block.as_py(), data.as_py())
+                kept.append((block.as_py(), data.as_py()))
+                if len(kept) >= 16:
+                    sums.add(softmax, kept)
+                    kept.clear()
                 if sums.size > SUMS:
                     yield table()
+        if kept:
+            sums.add(softmax, kept)
         if sums.size:
             yield table()
 
@@ -476,11 +611,12 @@ def _score_classes(share: np.ndarray, params: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LogBilinear(share, params)
+        softmax = Softmax(model.places(), model.rows)
         for batch in batches:
             found, docs = np.zeros(len(batch)), pa.Table.from_batches([batch])
             for begin, part in _runs(batch.column(batch.schema.get_field_index("classes"))):
                 seen, targets, bounds = contexts(part)
-                logs = np.concatenate([model.log_probabilities(seen[k : k + BATCH], targets[k : k + BATCH]) for k in range(0, len(targets), BATCH)])
+                logs = softmax(by_place(seen), targets)
                 found[begin : begin + len(part)] = np.add.reduceat(logs.astype(np.float64), bounds[:-1]) / np.log(10)
             found += docs.column("within").to_numpy()
             yield from docs.drop_columns(["classes", "within"]).append_column("score", pa.array(found)).to_batches()
@@ -539,7 +675,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     ready = stored(documents.groupBy("doc_block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_counts(told["n"] + told["v"] + 1.0, mass), schema), "classes", "zstd")
     delete_between(spark, mark, encoded)  # no later plan reads the encoded blocks and the counts
     docs_ready = ready.where("data is null")
-    passing = ready.where("data is not null").select("block", "data").mapInArrow(_passing(groups, class_parts), "node long, part int, block long, held_out boolean, data binary")
+    passing = lambda split: ready.where("data is not null").select("block", "data").mapInArrow(_passing(groups, class_parts, split), "node long, part int, block long, held_out boolean, data binary")
 
     # the model of classes, by all tasks
     params = None
@@ -558,7 +694,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     each_part = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part")
     heads = stored(words_of.unionByName(groups_of).select("node", each_part, "parts", "at", "counts"), "heads", "zstd")
     sent = heads.select("node", "part", "parts", "at", "counts", F.lit(None).cast("binary").alias("data"), F.lit(-1).cast("long").alias("block"), F.lit(False).alias("held_out"))
-    train = sent.unionByName(passing.select("node", "part", "data", "block", "held_out"), allowMissingColumns=True)
+    train = sent.unionByName(passing(False).select("node", "part", "data", "block", "held_out"), allowMissingColumns=True)
     dealt = lambda rows, *columns: rows.repartition("node", "part").sortWithinPartitions("node", "part", "block").select(*columns)
     learnt = dealt(train, "node", "part", "parts", "at", "counts", "data", "block", "held_out").mapInArrow(_learn_nodes(share, params, node_rate), _LEARNT)
     first = stored(learnt, "nodes", "zstd", batch=1000)
@@ -567,7 +703,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
         halfway = first.where("node is not null").groupBy("node", (F.col("part") % 64).alias("salt")).applyInArrow(_mean_params, _MEAN)
         models = halfway.groupBy("node").applyInArrow(_mean_params, _MEAN).join(split, "node")
         score = models.select("node", "part", "children", "params", F.lit(None).cast("binary").alias("data"), F.lit(-1).cast("long").alias("block"))
-        score = score.unionByName(passing.join(F.broadcast(split.select("node").distinct()), "node", "left_semi").select("node", "part", "data", "block"), allowMissingColumns=True)
+        score = score.unionByName(passing(True).select("node", "part", "data", "block"), allowMissingColumns=True)
         sums = sums.unionByName(dealt(score, "block", "children", "params", "data").mapInArrow(_score_nodes(share, params), "block long, pos binary, logs binary"))
     known = docs_ready.select("block", "pos", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes").mapInArrow(_score_classes(share, params), _DOCUMENT)
     scored = known.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_add_sums, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

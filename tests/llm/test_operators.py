@@ -356,6 +356,35 @@ def test_lm_passing_tokens_come_from_blocks():
     assert {r["block"] for r in rows} == {5} and {r["part"] for r in rows if r["node"] >> 40 == 250} == {0}
 
 
+def test_lm_sums_by_context_equal_the_softmax(monkeypatch):
+    """Products of factors, tables of sums and scores that are out of range must all give the plain softmax."""
+    monkeypatch.setattr(lm_scoring, "OFTEN", 300)
+    rng = np.random.default_rng(4)
+    model, rows = lm_scoring.LogBilinear(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)), rng.normal(0, 1, (90, lm_scoring.WIDTH + 1)).astype(np.float32)
+    seen, child = np.minimum(rng.zipf(1.3, (lm_scoring.CONTEXT, 3000)), lm_scoring.CLASSES), rng.integers(0, 90, 3000)
+    for scale in (1, 60):
+        softmax = lm_scoring.Softmax(model.places(), rows * np.float32(scale))
+        scores = (lm_scoring._predicted(model.places(), seen) @ softmax.rows.T).astype(np.float64)
+        want = scores[np.arange(3000), child] - scores.max(axis=1) - np.log(np.exp(scores - scores.max(axis=1)[:, None]).sum(axis=1))
+        assert np.allclose(softmax(seen, child), want, atol=1e-3)
+        assert (softmax.factors is None) == (scale == 60) and (scale == 60 or 0 < softmax.made.sum() < 9)
+
+
+def test_lm_second_deal_has_nodes_of_several_parts_alone():
+    import pyarrow as pa
+    import zstandard
+
+    spot = lambda cls, group, slot, parts: cls + (group + 1 << 8) + (slot << 32) + (parts << 50)
+    tokens = np.array([spot(250, 1, 9, 1), spot(0, -1, 0, 0), spot(250, 0, 4, 3), spot(240, 0, 7, 1)])
+    data = zstandard.compress(np.array([1], "<i8").tobytes() + np.array([4], "<i4").tobytes() + bytes([0]) + lm_scoring.planes(tokens))
+    groups, parts = np.ones(lm_scoring.CLASSES, np.int64), np.ones(lm_scoring.CLASSES, np.int64)
+    groups[250], parts[250] = 70_000, 2  # more nodes than numbers of 16 bits
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([data], pa.binary())], ["block", "data"])
+    nodes = [[r["node"] for b in lm_scoring._passing(groups, parts, split)(iter([batch])) for r in b.to_pylist()] for split in (False, True)]
+    top = 250 << 40
+    assert sorted(nodes[0]) == [(240 << 40) + 1, top, top + 1, top + 2] and sorted(nodes[1]) == [top, top + 1]
+
+
 def test_lm_tree_brute_force(spark, monkeypatch):
     """Without training, nodes of several groups and parts must give each word its share of its class's counts."""
     monkeypatch.setattr(lm_scoring, "GROUP", 24)
