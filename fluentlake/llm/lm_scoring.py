@@ -29,7 +29,9 @@ Null text counts as empty, a null id as an empty one. Repeated rows count and ar
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,27 +79,21 @@ def opened(raw: bytes) -> bytes:
 
 def pack(ids: np.ndarray) -> bytes:
     """Compressed numbers: all lowest bytes first, then the next ones."""
-    return press(planes(ids.astype("<i4", copy=False)))
+    return press(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return _whole(np.frombuffer(opened(raw), np.uint8).reshape(4, -1), np.int32)
+    return np.ascontiguousarray(np.frombuffer(opened(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 class _Endings(dict):
+    """Classes of words by their ends."""
+
     def __missing__(self, end: bytes) -> int:
         self[end] = place = zlib.crc32(end) % BY_END
         return place
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -107,7 +103,8 @@ def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         k, total = 0, pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
         most = total / max(1, -(-total // BLOCK_BYTES))
         while k < len(batch):
-            ids = _Numbers({b"": 0})
+            ids = defaultdict(itertools.count().__next__)  # numbers words as they come
+            ids[b""]
             encoded, trained, size, begin = [], [], 0, k
             while k < len(batch) and (k == begin or size < most):
                 raw = batch.column(2)[k].as_py()
@@ -125,7 +122,7 @@ def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             place = np.empty(m, np.int32)
             place[common] = np.arange(m)
             ends = np.empty(m, np.uint8)
-            ends[place] = np.fromiter((ending[w[-2:]] for w in ids), np.uint8, m)
+            ends[place] = np.fromiter(map(ending.__getitem__, [w[-2:] for w in ids]), np.uint8, m)
             nothing = lambda count, kind: pa.nulls(count, kind)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), pa.array([pack(place[x]) for x in encoded], pa.binary()), pa.array([zstandard.compress(ends.tobytes(), 1)] + [None] * (n - 1), pa.binary()), nothing(n, pa.int32()), nothing(n, pa.binary()), nothing(n, pa.int64())], names)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), nothing(m, pa.int64()), nothing(m, pa.bool_()), nothing(m, pa.binary()), nothing(m, pa.binary()), pa.array(place, pa.int32()), pa.array(list(ids), pa.binary()), pa.array(counts, pa.int64())], names)
@@ -169,14 +166,13 @@ def _score_counts(total: float, mass: np.ndarray):
         base = np.log10((c + 1) / total)
         within = np.where(spot < 256, np.log10((c + 1) / mass[cls]), 0)  # words without vectors
         texts = [unpack(raw) for raw in docs.column("ids").to_pylist()]
-        out: list[list] = [[] for _ in range(5)]
-        for ids in texts:
-            for column, value in zip(out, (len(ids), int((c[ids] > 0).sum()), float(base[ids].sum()), float(within[ids].sum()), cls[ids].tobytes()), strict=True):
-                column.append(value)
-        rows = pa.table({"block": np.full(n, block), "pos": pa.array(np.arange(n), pa.int32()), "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "within": pa.array(out[3], pa.float64()), "classes": pa.array(out[4], pa.binary()), "data": pa.nulls(n, pa.binary())})
-        data = zstandard.compress(np.array([n], "<i8").tobytes() + np.array(out[0], "<i4").tobytes() + np.asarray(docs.column("held_out"), np.uint8).tobytes() + planes(spot[np.concatenate(texts)]), 1)
-        tokens = pa.table({f.name: pa.array([{"block": block, "data": data}.get(f.name)], f.type) for f in rows.schema})
-        return pa.concat_tables([rows, tokens])
+        tokens, lengths = np.concatenate(texts), np.array([len(ids) for ids in texts])
+        starts, cut = np.cumsum(lengths) - lengths, cls[tokens].tobytes()
+        known, bases, rare = (np.add.reduceat(x[tokens], starts) for x in ((c > 0).astype(np.int64), base, within))
+        rows = pa.table({"block": np.full(n, block), "pos": pa.array(np.arange(n), pa.int32()), "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(known), "base_score": pa.array(bases), "within": pa.array(rare), "classes": pa.array([cut[a : a + k] for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)], pa.binary()), "data": pa.nulls(n, pa.binary())})
+        data = zstandard.compress(np.array([n], "<i8").tobytes() + lengths.astype("<i4").tobytes() + np.asarray(docs.column("held_out"), np.uint8).tobytes() + planes(spot[tokens]), 1)
+        whole = pa.table({f.name: pa.array([{"block": block, "data": data}.get(f.name)], f.type) for f in rows.schema})
+        return pa.concat_tables([rows, whole])
 
     return run
 
@@ -324,20 +320,22 @@ def _contrast(q: np.ndarray, rows: np.ndarray, log_share: np.ndarray, child: np.
     odds = rows.copy()
     odds[:, WIDTH] -= log_share
     true, half = odds.take(child, axis=0), odds.take(noise, axis=0) / 2
-    ones, by_column = np.ones(len(q), np.float32), np.ascontiguousarray(half.T)
+    # a last row, whose tanh is 1, for the sums of the halves
+    always = np.zeros((1, WIDTH + 1), np.float32)
+    always[0, WIDTH] = 30
+    by_column = np.ascontiguousarray(np.concatenate([half, always]).T)
+    half = np.concatenate([half[:, :WIDTH], half[:, :WIDTH].sum(axis=0)[None]])
     up = 0.5 - 0.5 * np.tanh((q * true) @ np.full(WIDTH + 1, 0.5, np.float32))
-    wrong, dq, most = np.tile(-(ones @ q), (len(noise), 1)), None, 512  # rows at once stay in the processor's cache
-    if pull:
-        dq = up[:, None] * true[:, :WIDTH]
-        dq -= half[:, :WIDTH].sum(axis=0)
+    wrong, most = np.zeros((len(noise) + 1, WIDTH + 1), np.float32), 512  # rows at once stay in the processor's cache
+    dq = up[:, None] * true[:, :WIDTH] if pull else None
     for k in range(0, len(child), most):
         some = q[k : k + most]
-        tanh = np.matmul(some, by_column, out=_buffer("tanh", len(some), len(noise)))
+        tanh = np.matmul(some, by_column, out=_buffer("tanh", len(some), len(noise) + 1))
         np.tanh(tanh, out=tanh)
         wrong -= tanh.T @ some
         if pull:
-            dq[k : k + most] -= tanh @ half[:, :WIDTH]
-    wrong /= 2
+            dq[k : k + most] -= tanh @ half
+    wrong = (wrong[:-1] + wrong[-1]) / 2
     grad = np.empty_like(rows)
     np.add(_sum_rows(child, up[:, None] * q[:, :WIDTH], len(rows)), _sum_rows(noise, wrong[:, :WIDTH].copy(), len(rows)), out=grad[:, :WIDTH])
     grad[:, WIDTH] = np.bincount(child, up, len(rows)) + np.bincount(noise, wrong[:, WIDTH], len(rows))
@@ -380,12 +378,12 @@ class LogBilinear:
         """A step of noise-contrastive estimation (AdaGrad) on a batch (contexts by place); the noise words are shared by the
         batch."""
         noise = self.drawn.searchsorted(rng.random(NOISE), "right")
-        grad = np.zeros_like(self.flat)
+        grad, ones = np.zeros_like(self.flat), np.ones(CLASSES + 1, np.float32)
         g_context, g_rows, g_place = self.cut(grad)
         g_rows[:], dq = _contrast(_predicted(self.places(), seen), self.rows, self.log_share, targets, noise, True)
         for k in range(CONTEXT):
             sums = _sum_rows(seen[k], dq, CLASSES + 1)
-            g_place[k] = np.einsum("cd,cd->d", sums, self.context)
+            g_place[k] = ones @ (sums * self.context)
             g_context += sums * self.place[k]
         grad /= len(targets)
         state += grad * grad
