@@ -21,7 +21,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluentlake.llm.shared import give_back, text_bytes
+from fluentlake.llm.shared import give_back, text_bytes, worker_tables
 
 #: Encoded words that a worker keeps, in either table; beyond it, those stay that were in more than one block.
 MAX_CHUNKS = 120_000
@@ -258,9 +257,9 @@ class MergeReplay:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@worker_tables(2)
 def replayer(path: str, pattern: str) -> MergeReplay:
-    """One for each worker."""
+    """One for each worker, until it turns to another operator."""
     return MergeReplay(path, pattern)
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluentlake.llm.shared import give_back, mix, span_hashes, spread_join, stored, text_blocks, text_bytes, word_spans
+from fluentlake.llm.shared import give_back, mix, rows_at_once, span_hashes, spread_join, stored, text_blocks, text_bytes, word_spans
 
 #: Bytes of texts in a block, and rows with whole texts or sets that a Python worker gets at once.
 BLOCK, ROWS = 1 << 19, 1000
@@ -54,6 +54,8 @@ CHUNK = 1024
 HEADS = 8
 #: Shingles of a chunk whose whole sets are compared (or one set, if larger).
 SHINGLES = 1 << 20
+#: Shingles of a group from which its worker returns the memory at once.
+MANY = 1 << 16
 #: Pairs of a pair of chunks that are compared at once.
 MATRIX = 1 << 14
 _UPPER = np.arange(256, dtype=np.uint8)
@@ -153,7 +155,9 @@ def commonness(texts: DataFrame, n: int) -> np.ndarray:
     partial = texts.mapInArrow(_sketch(n), "block int, counts binary").withColumn("salt", F.spark_partition_id() % 16)
     summed = partial.groupBy("block", "salt").applyInArrow(_add_sketches(np.int32), "block int, counts binary")
     level = np.zeros(CELLS, np.uint8)
-    for row in summed.groupBy("block").applyInArrow(_add_sketches(np.int64), "block int, counts binary").collect():
+    with rows_at_once(texts.sparkSession, ROWS):
+        total = summed.groupBy("block").applyInArrow(_add_sketches(np.int64), "block int, counts binary").collect()
+    for row in total:
         counts = np.frombuffer(row["counts"], np.int64)
         level[row["block"] * CELL_BLOCK : (row["block"] + 1) * CELL_BLOCK] = np.minimum(255, np.round(8 * np.log2(counts + 1)))
     return level
@@ -218,6 +222,7 @@ def _fitting(percent: int):
                 x, y = (fold(np.frombuffer(z, np.uint8)[None, :], width) for z in (x, y))
                 good[k] = may_link(na[k], x, nb[k], y, percent)[0]
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+        give_back()
 
     return run
 
@@ -380,6 +385,9 @@ def _join_components(percent: int):
                             out.append((ids[x], ids[y]))
                 own[items[x]] = False
         a, b = np.array(out, np.int64).reshape(-1, 2).T
+        if len(number) >= MANY:
+            del table, items, raw, own, folded
+            give_back()
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,19 +89,27 @@ def delete_between(spark: SparkSession, begin: int, end: int) -> None:
     delete(spark, gone)
 
 
+@contextlib.contextmanager
+def rows_at_once(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """Plans that run within it send a Python worker so many rows at once, at most."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        if most:
+            spark.conf.set(setting, min(most, int(before)) if int(before) > 0 else most)
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy", batch: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage so that it survives lost executors. batch: rows
     that go to a Python worker at once, where rows are long."""
     spark = df.sparkSession
     schema = df.schema
-    path, setting = scratch(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    try:
-        if batch:
-            spark.conf.set(setting, min(batch, int(before)) if int(before) > 0 else batch)
+    path = scratch(spark, name)
+    with rows_at_once(spark, batch):
         df.write.parquet(path, compression=compression)
-    finally:
-        spark.conf.set(setting, before)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -130,6 +140,29 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_tables: list = []
+
+
+def worker_tables(most: int) -> Callable:
+    """As lru_cache, for large tables that a Python worker keeps for its next task: they go when the worker, which later stages
+    use too, turns to another operator's texts (text_blocks)."""
+
+    def held(build: Callable) -> Callable:
+        _tables.append(found := lru_cache(maxsize=most)(build))
+        return found
+
+    return held
+
+
+def drop_tables() -> None:
+    """Lets go the tables of worker_tables, if there are any."""
+    if any(x.cache_info().currsize for x in _tables):
+        for x in _tables:
+            x.cache_clear()
+        gc.collect()
+        give_back()
+
+
 # --- numpy over blocks of texts -------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240101)
@@ -201,7 +234,9 @@ def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def text_blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Runs of rows of a batch whose texts have about `most` bytes (a longer text alone): rows, bytes, bounds."""
+    """Runs of rows of a batch whose texts have about `most` bytes (a longer text alone): rows, bytes, bounds. Tables that
+    another operator left in the worker go."""
+    drop_tables()
     col = batch.column(batch.schema.get_field_index(column))
     if not pa.types.is_large_binary(col.type):
         col = col.cast(pa.large_string() if pa.types.is_string(col.type) else pa.large_binary())

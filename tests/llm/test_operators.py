@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("fluentlake.llm")
@@ -13,7 +14,7 @@ import duckdb
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
-from fluentlake.llm import byte_bpe, exact_dedup, jaccard_join, license_scan, lm_scoring, quality_classifier, quality_rules, queries, source_mixing, token_counts, toxicity
+from fluentlake.llm import byte_bpe, exact_dedup, jaccard_join, license_scan, lm_scoring, quality_classifier, quality_rules, queries, shared, source_mixing, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -213,6 +214,46 @@ def test_jaccard_makes_no_rows_of_pairs(spark, monkeypatch, chunk, shingles):
     assert max(count for name, count in made.items() if name.startswith("rest")) <= 2 * len(docs), made
 
 
+def test_jaccard_sketch_gets_few_rows_at_once(spark, monkeypatch, tmp_path):
+    """Counting shingles reads whole texts, so a worker gets ROWS of them at once, as in the other steps."""
+    keep, seen = jaccard_join._sketch, str(tmp_path / "rows")
+
+    def sketch(n):
+        inner = keep(n)
+
+        def run(batches):
+            def watched():
+                for batch in batches:
+                    with open(seen, "a") as file:
+                        file.write(f"{batch.num_rows}\n")
+                    yield batch
+
+            yield from inner(watched())
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "_sketch", sketch)
+    monkeypatch.setattr(jaccard_join, "ROWS", 7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = spark.createDataFrame([(k, f"a b c {k}".encode()) for k in range(50)], "doc_id long, text binary").coalesce(1)
+    level = jaccard_join.commonness(texts, 3)
+    with open(seen) as file:
+        rows = [int(x) for x in file]
+    assert sum(rows) == 50 and max(rows) <= 7
+    assert (level > 0).sum() == 51 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_workers_drop_tables_of_another_operator():
+    """The merge tables of op9 stay in a worker while it encodes, and go once it handles another operator's texts."""
+    texts = pa.record_batch([pa.array([b"a b c d"])], ["text"])
+    for found in byte_bpe._encoded(byte_bpe.replayer(RANKS, P.PATTERN), texts.column(0)):
+        list(found)
+    coder = byte_bpe.replayer(RANKS, P.PATTERN)
+    assert coder.tails and byte_bpe.replayer(RANKS, P.PATTERN) is coder
+    assert [len(x) for x in jaccard_join.shingle_sets(*next(shared.text_blocks(texts, "text"))[1:], 3)] == [2]
+    assert byte_bpe.replayer.cache_info().currsize == 0
+
+
 def test_jaccard_join_of_hot_groups_and_repeated_ids(spark):
     """A third of all rows in one group of copies, a rare-looking shingle in many documents, and an id with two texts."""
     rng = np.random.default_rng(9)
