@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluentlake.llm import byte_bpe, exact_dedup, jaccard_join, quality_classifier, source_mixing
-from fluentlake.llm.shared import delete_since, documents, made, scratch
+from fluentlake.llm.shared import delete_since, documents, made, scratch, stored
 
 #: SQL can't express the classifier and what follows it; the stages of dedup, near copies and mixing are tested against brute-force
 #: versions or SQL, the classifier's against its operator's scores, the last against the chain of stages.
 ORACLE_SQL = None
 
+#: Rows with whole texts that a Python worker gets at once for encoding: its memory, and the JVM's, grow with them.
+ROWS = 1000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the weak-label classifier rejects."""
@@ -43,7 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and digests of ids and decoded bytes."""
-    return byte_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    digests = byte_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return stored(digests, "encoded", batch=ROWS)
 
 
 STAGES = [

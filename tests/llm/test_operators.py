@@ -243,6 +243,25 @@ def test_jaccard_sketch_gets_few_rows_at_once(spark, monkeypatch, tmp_path):
     assert (level > 0).sum() == 51 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_pipeline_encodes_few_rows_at_once(spark, monkeypatch, tmp_path):
+    """The last stage of the pipeline gives a worker ROWS whole texts at once, and returns what the operator does."""
+    keep, seen = byte_bpe._encoded, str(tmp_path / "rows")
+
+    def encoded(coder, texts):
+        with open(seen, "a") as file:
+            file.write(f"{len(texts)}\n")
+        return keep(coder, texts)
+
+    docs = spark.createDataFrame([(k, f"a word and {k}\nmore") for k in range(50)], "doc_id long, text string").coalesce(1)
+    plain = sorted(byte_bpe.round_trip_digests(docs, RANKS, P.PATTERN).collect())
+    monkeypatch.setattr(byte_bpe, "_encoded", encoded)
+    monkeypatch.setattr(corpus_pipeline, "ROWS", 7, raising=False)
+    found = sorted(corpus_pipeline.encode(spark, docs, DATA).collect())
+    with open(seen) as file:
+        rows = [int(x) for x in file]
+    assert found == plain and sum(rows) == 50 and max(rows) <= 7
+
+
 def test_workers_drop_tables_of_another_operator():
     """The merge tables of op9 stay in a worker while it encodes, and go once it handles another operator's texts."""
     texts = pa.record_batch([pa.array([b"a b c d"])], ["text"])
