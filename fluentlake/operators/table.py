@@ -1,7 +1,7 @@
 """An ordered list of records: a DataFrame with the columns that give its order.
 
 Operators are narrow or use aggregates, windows and joins, so Catalyst plans them. Order-sensitive ones need an order; a
-global position costs one partition, so it is worked out only where the result needs it, or per series (`by`).
+global position costs a sort by ranges, a position in a series (`by`) a window.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 
 class Record:
@@ -68,7 +69,14 @@ class Table:
         return Table(self.df.select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in made.items()]), tuple(c for c in (order or self.order) if c in made), tuple(c for c in self.by if c in made))
 
     def number(self, name: str = "n") -> Table:
-        return self._with(self.df.withColumn(name, (F.row_number().over(self._window()) - 1).cast("bigint")))
+        """Positions from 0. Over the whole table: rows are dealt by ranges of the order, and each range begins after the
+        number of rows in those before it, which Spark counts over the same shuffle files. Rows that the order leaves equal
+        are told apart by where they are in the input, so that they don't all land in one task."""
+        window = self._window()
+        if self.by:
+            return self._with(self.df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint")))
+        dealt = self.df.orderBy(*self._sorting(), F.monotonically_increasing_id())
+        return self._with(dealt.withColumn(name, InternalFunction.distributed_sequence_id()))
 
     def replace_list(self, f: Callable[[Table], Table]) -> Table:
         return f(self)

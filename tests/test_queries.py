@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fluentlake import catalogue
 from fluentlake.export.render import DataFile, to_html, to_json, to_text, to_xml, zip_files
 from fluentlake.functions import scalars as S
+from fluentlake.operators.table import Table
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,6 +49,33 @@ def test_whole_tables(spark):
     assert sorted((r["n"], r["k"], r["src"]) for r in found["merge_sorted"](spark, data).collect()) == [(n, k, src) for n, (k, _, src) in enumerate(merged)]
 
 
+@pytest.mark.parametrize("key", ["id", "7 * id % 1000", "if(id % 3 = 0, null, id % 5)", "cast(null as long)"])
+@pytest.mark.parametrize("kind", ["up", "down", "reverse"])
+def test_positions_need_no_single_task(spark, key, kind):
+    """No task numbers all rows, even where all have the same key; positions are whole and follow the order."""
+    listed = Table(spark.range(1000).selectExpr("id", f"{key} as k"), ("id",))
+    listed = {"up": lambda: listed.sort(lambda r: r.k), "down": lambda: listed.sort(lambda r: r.k, reverse=True), "reverse": lambda: Table(listed.df, ("k",)).reverse()}[kind]()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = sorted(listed.number().df.select("n", "k", "id", F.spark_partition_id().alias("task")).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["n"] for r in found] == list(range(1000)) and {r["id"] for r in found} == set(range(1000))
+    first = lambda k, id: ((k is not None, k or 0), id)
+    back = lambda k, id: ((k is None, -(k or 0)), id if kind == "down" else 0)
+    keys = [(first if kind == "up" else back)(r["k"], r["id"]) for r in found]
+    assert keys == sorted(keys)
+    tasks = [r["task"] for r in found]
+    assert len(set(tasks)) > 1 and max(map(tasks.count, set(tasks))) < 600
+
+
+def test_positions_of_nothing_and_without_order(spark):
+    assert Table(spark.range(0), ("id",)).number().df.collect() == []
+    with pytest.raises(ValueError):
+        Table(spark.range(3)).number()
+    assert Table(spark.range(3), ("id",)).number("id").df.schema.simpleString() == "struct<id:bigint>"
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
