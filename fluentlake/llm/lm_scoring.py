@@ -29,9 +29,7 @@ Null text counts as empty, a null id as an empty one. Repeated rows count and ar
 
 from __future__ import annotations
 
-import itertools
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,38 +92,51 @@ class _Endings(dict):
         return place
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of texts as bytes: tokens per text, numbers of all tokens and the words with these numbers, in the order in which they
+    come, after the end of a text with 0. Words are those of bytes.lower().split(): Arrow's blanks of ASCII are the same."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    lower = pc.ascii_lower(pa.Array.from_buffers(kind, len(texts), texts.buffers(), offset=texts.offset))
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(lower))
+    coded = pa.concat_arrays([pa.array([""], kind), split.flatten()]).dictionary_encode()
+    codes, lengths = coded.indices.to_numpy()[1:], split.value_lengths().to_numpy()
+    lengths = lengths - (codes[np.cumsum(lengths) - 1] == 0)  # an empty text gives one empty word
+    codes, lengths = codes[codes > 0], lengths + 1
+    tokens, inner = np.zeros(len(codes) + len(lengths), np.int32), np.ones(len(codes) + len(lengths), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    tokens[inner] = codes
+    return lengths, tokens, coded.dictionary.cast(pa.binary())
+
+
 def _encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     names = ["block", "doc_id", "held_out", "ids", "ends", "idx", "word", "count"]
     number, ending = TaskContext.get().partitionId() << 24, _Endings()
     for batch in batches:
-        k, total = 0, pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
+        sizes = pc.binary_length(batch.column(2)).to_pylist()
+        k, total = 0, sum(sizes)
         most = total / max(1, -(-total // BLOCK_BYTES))
         while k < len(batch):
-            ids = defaultdict(itertools.count().__next__)  # numbers words as they come
-            ids[b""]
-            encoded, trained, size, begin = [], [], 0, k
+            size, begin = 0, k
             while k < len(batch) and (k == begin or size < most):
-                raw = batch.column(2)[k].as_py()
-                words = raw.lower().split()
-                words.append(b"")
-                tokens = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-                encoded.append(tokens)
-                if not batch.column(1)[k].as_py():
-                    trained.append(tokens)
-                size += len(raw)
+                size += sizes[k]
                 k += 1
-            counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *trained]), minlength=len(ids))
-            n, m = k - begin, len(ids)
-            common = np.argsort(-np.bincount(np.concatenate(encoded), minlength=m), kind="stable")
+            n = k - begin
+            lengths, tokens, words = _words(batch.column(2).slice(begin, n))
+            m, away = len(words), np.array([bool(x) for x in batch.column(1).slice(begin, n).to_pylist()])
+            counts = np.bincount(tokens[np.repeat(~away, lengths)], minlength=m)
+            common = np.argsort(-np.bincount(tokens, minlength=m), kind="stable")
             place = np.empty(m, np.int32)
             place[common] = np.arange(m)
+            last = pc.binary_slice(words, -2).dictionary_encode()
             ends = np.empty(m, np.uint8)
-            ends[place] = np.fromiter(map(ending.__getitem__, [w[-2:] for w in ids]), np.uint8, m)
+            ends[place] = np.array([ending[w] for w in last.dictionary.to_pylist()], np.uint8)[last.indices.to_numpy()]
+            cut, whole = np.cumsum(lengths).tolist(), np.frombuffer(planes(place[tokens]), np.uint8).reshape(4, -1)
+            encoded = [press(whole[:, a:b].tobytes()) for a, b in zip([0, *cut[:-1]], cut, strict=True)]  # as pack has it
             nothing = lambda count, kind: pa.nulls(count, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), pa.array([pack(place[x]) for x in encoded], pa.binary()), pa.array([zstandard.compress(ends.tobytes(), 1)] + [None] * (n - 1), pa.binary()), nothing(n, pa.int32()), nothing(n, pa.binary()), nothing(n, pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), nothing(m, pa.int64()), nothing(m, pa.bool_()), nothing(m, pa.binary()), nothing(m, pa.binary()), pa.array(place, pa.int32()), pa.array(list(ids), pa.binary()), pa.array(counts, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), pa.array(encoded, pa.binary()), pa.array([zstandard.compress(ends.tobytes(), 1)] + [None] * (n - 1), pa.binary()), nothing(n, pa.int32()), nothing(n, pa.binary()), nothing(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), nothing(m, pa.int64()), nothing(m, pa.bool_()), nothing(m, pa.binary()), nothing(m, pa.binary()), pa.array(place, pa.int32()), words, pa.array(counts, pa.int64())], names)
             number += 1
 
 
@@ -316,29 +327,31 @@ def _predicted(places: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 def _contrast(q: np.ndarray, rows: np.ndarray, log_share: np.ndarray, child: np.ndarray, noise: np.ndarray, pull: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Noise-contrastive estimation: for a batch with shared noise words, the gradients of the rows (vector and bias) and, if
-    asked for, those of the predicted vectors. Noise counts as wrong. The logistic function is taken as 1/2 + tanh(x/2)/2."""
+    asked for, those of the predicted vectors. Noise counts as wrong; a word that is drawn often is worked out once."""
+    times = np.bincount(noise, minlength=len(rows)).astype(np.float32)
+    noise = np.flatnonzero(times)
     odds = rows.copy()
     odds[:, WIDTH] -= log_share
-    true, half = odds.take(child, axis=0), odds.take(noise, axis=0) / 2
-    # a last row, whose tanh is 1, for the sums of the halves
-    always = np.zeros((1, WIDTH + 1), np.float32)
-    always[0, WIDTH] = 30
-    by_column = np.ascontiguousarray(np.concatenate([half, always]).T)
-    half = np.concatenate([half[:, :WIDTH], half[:, :WIDTH].sum(axis=0)[None]])
-    up = 0.5 - 0.5 * np.tanh((q * true) @ np.full(WIDTH + 1, 0.5, np.float32))
-    wrong, most = np.zeros((len(noise) + 1, WIDTH + 1), np.float32), 512  # rows at once stay in the processor's cache
+    true, drawn = odds.take(child, axis=0), odds.take(noise, axis=0)
+    times = times.take(noise)[:, None]
+    by_column, weighed = np.ascontiguousarray(-drawn.T), drawn[:, :WIDTH] * times
+    up = 1 / (1 + np.exp(np.minimum((q * true) @ np.ones(WIDTH + 1, np.float32), 80)))
+    wrong, most = np.zeros((len(noise), WIDTH + 1), np.float32), 1024  # rows at once stay in the processor's cache
     dq = up[:, None] * true[:, :WIDTH] if pull else None
     for k in range(0, len(child), most):
         some = q[k : k + most]
-        tanh = np.matmul(some, by_column, out=_buffer("tanh", len(some), len(noise) + 1))
-        np.tanh(tanh, out=tanh)
-        wrong -= tanh.T @ some
+        share = np.matmul(some, by_column, out=_buffer("share", len(some), len(noise)))
+        with np.errstate(over="ignore"):  # beyond the range of floats the share is 0
+            np.exp(share, out=share)
+        share += 1
+        np.reciprocal(share, out=share)
+        wrong -= share.T @ some
         if pull:
-            dq[k : k + most] -= tanh @ half
-    wrong = (wrong[:-1] + wrong[-1]) / 2
+            dq[k : k + most] -= share @ weighed
     grad = np.empty_like(rows)
-    np.add(_sum_rows(child, up[:, None] * q[:, :WIDTH], len(rows)), _sum_rows(noise, wrong[:, :WIDTH].copy(), len(rows)), out=grad[:, :WIDTH])
-    grad[:, WIDTH] = np.bincount(child, up, len(rows)) + np.bincount(noise, wrong[:, WIDTH], len(rows))
+    grad[:, :WIDTH] = _sum_rows(child, up[:, None] * q[:, :WIDTH], len(rows))
+    grad[:, WIDTH] = np.bincount(child, up, len(rows))
+    grad[noise] += wrong * times
     return grad, dq
 
 

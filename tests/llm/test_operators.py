@@ -355,6 +355,37 @@ def test_lm_base_scores(spark, odd):
     assert {r["train_tokens"] for r in found} == {n}
 
 
+def test_lm_words_are_those_of_bytes():
+    """Splitting whole columns gives the same words, tokens and order as lower().split() of each text's bytes."""
+    rng = np.random.default_rng(1)
+    some = list(bytes(range(256)) + b" \t\n\r\x0b\x0c" * 12 + "É \u00a0\u0085 ẞ".encode() * 4)
+    for k in range(300):
+        texts = [bytes(rng.choice(some, rng.integers(0, 12)).astype(np.uint8)) for _ in range(k % 5 + 1)]
+        for kind in (pa.binary(), pa.large_binary()):
+            lengths, tokens, words = lm_scoring._words(pa.array([b"not this", *texts], kind).slice(1))
+            words = words.to_pylist()
+            wanted = [w for x in texts for w in [*x.lower().split(), b""]]
+            assert [words[i] for i in tokens] == wanted and lengths.tolist() == [len(x.split()) + 1 for x in texts]
+            assert words == list(dict.fromkeys([b"", *wanted]))
+
+
+def test_lm_noise_drawn_twice_is_worked_out_once(monkeypatch):
+    rng, widths, buffer = np.random.default_rng(2), [], lm_scoring._buffer
+    monkeypatch.setattr(lm_scoring, "_buffer", lambda name, rows, columns: widths.append(columns) or buffer(name, rows, columns))
+    q, rows = lm_scoring._with_ones(rng.normal(0, 1, (1500, lm_scoring.WIDTH)).astype(np.float32)), rng.normal(0, 1, (9, lm_scoring.WIDTH + 1)).astype(np.float32)
+    q[7] *= 1000  # shares beyond the range of floats
+    child, noise, log_share = rng.integers(0, 9, 1500), np.repeat([2, 5, 8], [60, 1, 3]), rng.normal(0, 1, 9).astype(np.float32)
+    grad, dq = lm_scoring._contrast(q, rows, log_share, child, noise, True)
+    odds = rows.astype(np.float64) - np.eye(lm_scoring.WIDTH + 1)[-1] * log_share[:, None]
+    share = lambda x: 0.5 + 0.5 * np.tanh(x / 2)
+    up, down = 1 - share((q * odds[child]).sum(axis=1)), share(q @ odds[noise].T)
+    wanted = np.zeros(rows.shape)
+    np.add.at(wanted, child, up[:, None] * q)
+    np.add.at(wanted, noise, -(down.T @ q))
+    assert np.allclose(grad, wanted, rtol=1e-3, atol=0.02) and np.allclose(dq, up[:, None] * odds[child, :-1] - down @ odds[noise, :-1], rtol=1e-3, atol=0.02)
+    assert set(widths) == {3}
+
+
 def test_lm_is_normalised():
     model = lm_scoring.LogBilinear(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES))
     seen = np.full((lm_scoring.CLASSES, lm_scoring.CONTEXT), 5)
